@@ -8,10 +8,10 @@ _loaded = False
 def load_catalog():
     """Names to builders, and names to the SQL used to check them."""
     global _loaded
-    from ticklane.plans import catalog, price_volume
+    from ticklane.plans import catalog, price_volume, spot
 
     if not _loaded:
-        for module in (price_volume,):
+        for module in (price_volume, spot):
             module.register()
         _loaded = True
     return catalog.QUERIES, catalog.SQL

@@ -72,3 +72,72 @@ def staged(base: str, stages: list[Stage], select: str, ctes: str = "", tail: st
         current = f"stage{i}"
     head = "WITH " + ",\n".join(parts) if parts else ""
     return f"{head}\nSELECT {select} FROM {current} {tail}".strip()
+
+
+LEVELS = range(1, 11)
+STOCK = "PARTITION BY tscode, date ORDER BY time"
+WHOLE = "(PARTITION BY tscode, date ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+def _levels(side: str, depth: int, weighted: bool = False) -> str:
+    return "(" + " + ".join(f"{side}_price{i} * {side}_volume{i}" + (f" * {depth + 1 - i}" if weighted else "")
+                            for i in range(1, depth + 1)) + ")"
+
+
+TICKS = f"""
+daily AS (
+  SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day,
+    CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) AS cents,
+    CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units,
+    CAST(sum(CAST(round(l_extendedprice * (1 - l_discount) * 10000) AS BIGINT)) AS BIGINT) AS paid,
+    count(*) AS trades,
+    {', '.join(f'''CAST(sum(CASE WHEN l_linestatus = '{flag}' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END) AS DOUBLE) AS {side}_cents,
+    CAST(sum(CASE WHEN l_linestatus = '{flag}' THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS {side}_units'''
+               for side, flag in (('bid', 'O'), ('ask', 'F')))}
+  FROM lineitem GROUP BY ALL),
+placed AS (
+  SELECT *, CAST(date_trunc('quarter', day) AS DATE) AS date,
+    CAST(day - CAST(date_trunc('quarter', day) AS DATE) AS BIGINT) AS d FROM daily),
+quotes AS (
+  SELECT CASE l_suppkey % 4 WHEN 0 THEN '600' WHEN 1 THEN '000' WHEN 2 THEN '300' ELSE '688' END
+         || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS tscode, date,
+    CASE WHEN d < 16 THEN 33300 + d * 18 WHEN d < 32 THEN 33600 + (d - 16) * 18
+         WHEN d < 62 THEN 34200 + (d - 32) * 240 ELSE 46800 + (d - 62) * 240 END AS second,
+    cents / 100.0::DOUBLE / units AS price,
+    CASE WHEN d >= 28 AND units % 7 <> 0 THEN units ELSE 0 END AS volume,
+    CASE WHEN d >= 28 AND units % 7 <> 0 THEN paid ELSE 0 END AS paid,
+    CASE WHEN d >= 28 AND units % 7 <> 0 THEN trades ELSE 0 END AS trades,
+    coalesce(bid_cents / 100.0::DOUBLE / bid_units, 0.0) AS bid_price, coalesce(bid_units, 0) AS bid_volume,
+    coalesce(ask_cents / 100.0::DOUBLE / ask_units, 0.0) AS ask_price, coalesce(ask_units, 0) AS ask_volume
+  FROM placed),
+timed AS (
+  SELECT *, printf('%02d:%02d:%02d.000', second // 3600, second % 3600 // 60, second % 60) AS time,
+    paid / 10000.0::DOUBLE AS amount FROM quotes),
+booked AS (
+  SELECT tscode, date, time, price, volume, amount,
+    CAST(sum(trades) OVER w AS BIGINT) AS transaction_number,
+    CAST(sum(volume) OVER w AS BIGINT) AS daily_accumulated_volume,
+    CAST(sum(paid) OVER w AS DOUBLE) / 10000.0::DOUBLE AS daily_amount,
+    max(price) OVER w AS high, min(price) OVER w AS low, first_value(price) OVER w AS open,
+    {', '.join(f"coalesce(lag({s}_{f}, {i - 1}) OVER w, 0) AS {s}_{f}{i}" for s in ('ask', 'bid') for f in ('price', 'volume') for i in LEVELS)}
+  FROM timed WINDOW w AS (PARTITION BY tscode, date ORDER BY time)),
+closes AS (
+  SELECT tscode, date, lag(last_price) OVER (PARTITION BY tscode ORDER BY date) AS previous_close
+  FROM (SELECT tscode, date, arg_max(price, time) AS last_price FROM booked GROUP BY ALL)),
+totals AS (
+  SELECT booked.*, coalesce(previous_close, open) AS close,
+    {', '.join("(" + " + ".join(f"{s}_volume{i}" for i in LEVELS) + f") AS total_{s}_volume" for s in ('bid', 'ask'))}
+  FROM booked JOIN closes USING (tscode, date)),
+ticks AS (
+  SELECT *, {', '.join(f"coalesce({_levels(s, 10)} / nullif(total_{s}_volume, 0), 0.0) AS weighted_average_{s}_price" for s in ('bid', 'ask'))},
+    {', '.join(f"{_levels(s, d)} AS grade{d}_{s}_amount" for d in (10, 5) for s in ('bid', 'ask'))}
+  FROM totals)"""
+
+MEMBERS = """
+constituents AS (
+  SELECT r_name AS product,
+    CASE s_suppkey % 4 WHEN 0 THEN '600' WHEN 1 THEN '000' WHEN 2 THEN '300' ELSE '688' END
+      || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS tscode,
+    CASE WHEN s_suppkey % 2 = 1 THEN DATE '1998-01-01' ELSE DATE '1990-01-01' END AS start_date,
+    DATE '2030-12-31' AS end_date
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""

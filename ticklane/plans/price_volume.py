@@ -202,7 +202,8 @@ def _support_stages(n: int) -> list[o.Stage]:
 
 
 def _filled(stages: list[o.Stage], suffix: str = "") -> list[o.Stage]:
-    return [*stages, {f"base{suffix}": "coalesce(raw, 0)"}]
+    last = {("raw0" if name == "raw" else name): expression for name, expression in stages[-1].items()}
+    return [*stages[:-1], last, {f"base{suffix}": "coalesce(raw0, 0)"}]
 
 
 def _linear_deviation_stages(n: int) -> list[o.Stage]:
@@ -282,8 +283,8 @@ def _stages(number: int, n: int) -> list[o.Stage]:
         44: volume_indicator("<"),
         46: [*normal, {"raw": "nv * np"}],
         47: [*normal, {"raw": "CASE WHEN np >= 0 THEN nv + np WHEN np < 0 THEN -(nv - np) END"}],
-        50: [{"hh": o.full("max", "close", n), "at": f"arg_max(pos, (close, pos)) {o.frame(n)}"},
-             {"raw": f"CASE WHEN hh IS NOT NULL THEN 100.0 * ((CASE WHEN hh = close THEN {n + 1} ELSE pos - at END) - 1)"
+        50: [{"hh": o.full("max", "close", n), "top_pos": f"arg_max(pos, (close, pos)) {o.frame(n)}"},
+             {"raw": f"CASE WHEN hh IS NOT NULL THEN 100.0 * ((CASE WHEN hh = close THEN {n + 1} ELSE pos - top_pos END) - 1)"
                      f" / {n} - 50 END"}],
         51: [_beyond("close", n, "<"), _beyond_value(n)],
         52: [TR_STAGE, _beyond("tr", n, "<"), _beyond_value(n)],

@@ -30,6 +30,7 @@ BAR_KEYS = ["instrument"]
 HOURLY = continuous_session(3600)
 SIDES = ("bid", "ask")
 JOIN_DATE = "1998-01-01"
+FIRST_TRADE_DAY = 28
 
 
 class Market:
@@ -95,14 +96,17 @@ class Market:
         daily = line.groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("_day")).agg(*sums)
         quarter = F.date_trunc("quarter", F.col("_day")).cast("date")
         offset = F.datediff("_day", quarter)
+        # before the opening trade, and for every seventh volume, a tick only quotes
+        traded = (offset >= FIRST_TRADE_DAY) & (F.col("volume") % 7 != 0)
         ticks = daily.select(
             stock_code(F.col("l_suppkey")).alias("tscode"),
             quarter.alias("date"),
             time_string(quarter_second(offset)).alias("time"),
             (F.col("_cents") / F.lit(100.0) / F.col("volume")).alias("price"),
-            F.col("volume"),
-            (F.col("_paid") / F.lit(10_000.0)).alias("amount"),
-            "_paid", "_trades",
+            F.when(traded, F.col("volume")).otherwise(0).alias("volume"),
+            (F.when(traded, F.col("_paid")).otherwise(0) / F.lit(10_000.0)).alias("amount"),
+            F.when(traded, F.col("_paid")).otherwise(0).alias("_paid"),
+            F.when(traded, F.col("_trades")).otherwise(0).alias("_trades"),
             *[F.coalesce(F.try_divide(F.col(f"_{name}_cents") / F.lit(100.0), F.col(f"_{name}_units")),
                          F.lit(0.0)).alias(f"_{name}_price") for name in SIDES],
             *[F.coalesce(F.col(f"_{name}_units"), F.lit(0)).alias(f"_{name}_volume") for name in SIDES],
