@@ -34,10 +34,10 @@ def whole_seconds(time: ColumnOrName) -> Column:
 
 def time_string(seconds: ColumnOrName) -> Column:
     """``HH:MM:SS.000`` of whole seconds since midnight."""
-    seconds = _col(seconds).cast("int")
-    part = lambda value: F.lpad(F.floor(value).cast("string"), 2, "0")
-    return F.concat(part(seconds / 3600), F.lit(":"), part(seconds % 3600 / 60), F.lit(":"),
-                    part(seconds % 60), F.lit(".000"))
+    # a timestamp without zone prints its clock time; the seconds enter the expression once
+    midnight = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+    moment = midnight + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), _col(seconds).cast("int"))
+    return F.concat(moment.cast("string").substr(12, 8), F.lit(".000"))
 
 
 def time_difference(start: ColumnOrName, end: ColumnOrName) -> Column:

@@ -209,3 +209,17 @@ def _grouped_column(df: DataFrame, groups: list[str], position: str, kind: str,
         return chunk
 
     return df.groupBy(*groups).applyInPandas(extend, schema)
+
+
+def next_value(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: str, name: str) -> DataFrame:
+    """Value of the row after, across buckets: the last row of a bucket takes the first later one."""
+    firsts = df.groupBy(*keys, bucket).agg(F.min_by(value, F.struct(*order)).alias("_next"))
+    later = Window.partitionBy(*keys).orderBy(bucket)
+    carried = firsts.select(*keys, bucket, F.lead("_next").over(later).alias("_carry"))
+    within = Window.partitionBy(*keys, bucket).orderBy(*order)
+    is_last = F.lead(F.lit(1)).over(within).isNull()
+    return (
+        df.join(carried, [*keys, bucket])
+        .withColumn(name, F.when(is_last, F.col("_carry")).otherwise(F.lead(value).over(within)))
+        .drop("_carry")
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklane import constants as K
-from ticklane.functions.series import SeriesColumns, previous_value
+from ticklane.functions.series import SeriesColumns, next_value, previous_value
 
 
 @dataclass(frozen=True)
@@ -168,30 +168,31 @@ def percent_returns(bars: DataFrame, keys: list[str], lengths: list[int], positi
         for n in lengths])
 
 
-def fill_gaps(ticks: DataFrame, keys: list[str], order: list[str], moment: str, step: float,
+def fill_gaps(ticks: DataFrame, keys: list[str], order: list[str], moment: str, step: float, bucket: str,
               zero: list[str] | None = None, break_seconds: int = K.NOON_BREAK_SECONDS,
               break_start: str = "11:30:00") -> DataFrame:
     """Repeat a tick every ``step`` seconds until the next one of the same keys.
 
     A gap of at least the noon break is shortened by it; copies of a tick at exactly 11:30:00
-    continue after the break. Columns in ``zero`` are 0 in the copies.
+    continue after the break. Columns in ``zero`` are 0 in the copies. ``bucket`` (an hour, say)
+    splits the ticks of a busy contract and day over tasks.
     """
-    day = Window.partitionBy(*keys).orderBy(*order)
-    here, there = F.col(moment), F.lead(moment).over(day)
-    gap = (F.timestamp_diff("MICROSECOND", here, there) / 1e6)
+    here = F.col(moment)
+    ahead = next_value(ticks, keys, order, bucket, moment, "_there")
+    gap = F.timestamp_diff("MICROSECOND", here, F.col("_there")) / 1e6
     gap = F.when(gap >= break_seconds, gap - break_seconds).otherwise(gap)
-    # k-th copy sits k steps later while k * step < gap
+    # the k-th copy sits k steps later while k * step < gap
     copies = F.when(gap > step, F.ceil(F.round(gap / step, 6)) - 1).otherwise(0)
-    spread = ticks.withColumn("_copies", F.coalesce(copies, F.lit(0)).cast("int")).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(0), F.col("_copies")))).drop("_copies")
-    at_break = F.col(moment).cast("string").substr(12, 20) == break_start
+    spread = ahead.withColumn("_copies", F.coalesce(copies, F.lit(0)).cast("int")).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0), F.col("_copies"))))
+    at_break = here.cast("string").substr(12, 20) == break_start
     seconds = F.col("_copy") * step + F.when(at_break & (F.col("_copy") > 0), break_seconds).otherwise(0)
-    shifted = F.col(moment) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    shifted = here + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
     filled = spread.withColumn(moment, shifted)
     for column in zero or []:
         filled = filled.withColumn(
             column, F.when(F.col("_copy") > 0, F.lit(0)).otherwise(F.col(column)).cast(ticks.schema[column].dataType))
-    return filled.withColumn("filled", F.col("_copy") > 0).drop("_copy")
+    return filled.select(*ticks.columns, (F.col("_copy") > 0).alias("filled"))
 
 
 def drop_limit_days(bars: DataFrame, keys: list[str], date: str, position: str = "pos", volume_over: int = 100,

@@ -141,3 +141,48 @@ constituents AS (
     CASE WHEN s_suppkey % 2 = 1 THEN DATE '1998-01-01' ELSE DATE '1990-01-01' END AS start_date,
     DATE '2030-12-31' AS end_date
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def tick_second(time: str = "time") -> str:
+    return (f"(CAST(substr({time}, 1, 2) AS BIGINT) * 3600 + CAST(substr({time}, 4, 2) AS BIGINT) * 60 "
+            f"+ CAST(substr({time}, 7, 2) AS BIGINT))")
+
+
+def clock(second: str) -> str:
+    return f"printf('%02d:%02d:%02d.000', ({second}) // 3600, ({second}) % 3600 // 60, ({second}) % 60)"
+
+
+RAW = TICKS + f""",
+numbered AS (SELECT *, CAST(substr(tscode, 4) AS BIGINT) AS num, {tick_second()} AS sec FROM ticks),
+keyed AS (SELECT *, (num * 31 + sec // 3) % 97 AS k FROM numbered),
+moved AS (
+  SELECT * REPLACE (
+    CASE WHEN time = '11:26:00.000' AND num % 3 = 0 THEN '11:31:00.000'
+         WHEN time = '11:26:00.000' AND num % 3 = 1 THEN '11:30:00.000'
+         WHEN time = '14:56:00.000' AND num % 5 = 0 THEN '15:00:03.000'
+         WHEN time = '14:56:00.000' AND num % 5 < 3 THEN '15:00:00.000'
+         WHEN time < '09:30:00.000' THEN time
+         ELSE {clock("sec + CASE WHEN k % 7 = 2 THEN 1 WHEN k % 7 = 3 THEN 2 ELSE 0 END")} END AS time,
+    CASE WHEN k % 19 = 4 THEN 0.0 ELSE price END AS price,
+    CASE WHEN k % 23 = 7 THEN 0 ELSE transaction_number END AS transaction_number,
+    CASE WHEN k % 29 = 8 AND volume = 0 THEN 10 ELSE volume END AS volume) FROM keyed),
+raw AS (
+  SELECT * EXCLUDE (copy, volume), CASE WHEN copy = 1 AND k % 20 = 3 THEN 0 ELSE volume END AS volume,
+    sec * 2 + copy AS tick_order
+  FROM (SELECT *, unnest(CASE WHEN k % 10 = 3 THEN [0, 1] ELSE [0] END) AS copy FROM moved))"""
+
+CLEAN = RAW + """,
+trading AS (
+  SELECT * FROM raw WHERE time >= '09:15:00.000'
+    AND NOT (time > '15:00:00.000' AND (price = 0 OR transaction_number = 0))
+    AND NOT (time > '11:30:00.000' AND time < '13:00:00.000')),
+crowd AS (
+  SELECT *, count(*) OVER s AS n, max(CASE WHEN volume > 0 THEN 1 ELSE 0 END) OVER s AS has_trade,
+    row_number() OVER (PARTITION BY tscode, date, time ORDER BY CASE WHEN volume = 0 THEN 0 ELSE 1 END, tick_order) AS rn
+  FROM trading WINDOW s AS (PARTITION BY tscode, date, time)),
+clean AS (
+  SELECT * EXCLUDE (n, has_trade, rn) FROM crowd
+  WHERE NOT (n > 1 AND time >= '09:25:00' AND volume = 0 AND (has_trade = 1 OR rn = 1)))"""
+
+IN_SESSION = ("(time >= '09:30:00.000' AND time <= '15:00:00.000' AND (time >= '13:00:00.000' OR time <= '11:30:00.000'))")
+ROWS = "PARTITION BY tscode, date ORDER BY time, tick_order"

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticklane import constants as K
-from ticklane.functions.scalar import level_amount, time_string
+from ticklane.functions.scalar import level_amount, time_string, whole_seconds
 from ticklane.functions.series import with_position
 from ticklane.operators.bars import continuous_session, session_bars
 
@@ -40,6 +40,8 @@ class Market:
         self.spark = spark
         self.folder = folder
         self._bars: DataFrame | None = None
+        self._raw_ticks: DataFrame | None = None
+        self._ticks: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -74,14 +76,23 @@ class Market:
         return with_position(self._bars, BAR_KEYS, ["slot"], "date")
 
     def release(self) -> None:
-        if self._bars is not None:
-            self._bars.unpersist()
-            self._bars = None
+        for stored in (self._bars, self._raw_ticks):
+            if stored is not None:
+                stored.unpersist()
+        self._bars = self._raw_ticks = None
 
     # --- stocks ------------------------------------------------------------------------
 
     def stock_ticks(self) -> DataFrame:
-        """Level-2 ticks per stock, date and time with ten book levels and cumulative columns."""
+        """Level-2 ticks per stock, date and time with ten book levels and cumulative columns.
+
+        Only the plan is kept; nothing is stored, so a query reads just the columns it needs.
+        """
+        if self._ticks is None:
+            self._ticks = self._quoted_ticks()
+        return self._ticks
+
+    def _quoted_ticks(self) -> DataFrame:
         line = self.table("lineitem")
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         units = F.col("l_quantity").cast("bigint")
@@ -142,6 +153,44 @@ class Market:
                 ticks = ticks.withColumn(f"grade{depth}_{name}_amount", level_amount(name, depth))
         return ticks
 
+    def raw_stock_ticks(self) -> DataFrame:
+        """The stock ticks with the defects the quality rules look for, placed by a rule on stock and time.
+
+        Repeated rows, zero prices and transaction numbers, volume without a trade, off-grid times,
+        rows inside the noon break, closing trades at and after 15:00. ``tick_order`` is the file order.
+        It stands for the stored original layer that validation and repair read several times in one
+        job, so it is persisted (memory, then disk).
+        """
+        if self._raw_ticks is None:
+            self._raw_ticks = self._defective_ticks().persist()
+        return self._raw_ticks
+
+    def _defective_ticks(self) -> DataFrame:
+        number = F.col("tscode").substr(4, 20).cast("bigint")
+        second = whole_seconds("time")
+        ticks = self.stock_ticks().withColumn("_k", (number * 31 + second / 3).cast("bigint") % 97)
+        last_morning, last_row = F.col("time") == "11:26:00.000", F.col("time") == "14:56:00.000"
+        shift = F.when(F.col("time") < K.SESSION_START, 0).when(F.col("_k") % 7 == 2, 1) \
+            .when(F.col("_k") % 7 == 3, 2).otherwise(0)
+        time = (
+            F.when(last_morning & (number % 3 == 0), "11:31:00.000").when(last_morning & (number % 3 == 1), K.NOON_END)
+            .when(last_row & (number % 5 == 0), "15:00:03.000").when(last_row & (number % 5 < 3), K.SESSION_END)
+            .otherwise(time_string(second + shift)))
+        copies = F.when(F.col("_k") % 10 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        return (
+            ticks.withColumn("_volume", F.when((F.col("_k") % 29 == 8) & (F.col("volume") == 0), 10)
+                             .otherwise(F.col("volume")))
+            .withColumn("tick_order", second * 2)
+            .withColumns({
+                "time": time,
+                "price": F.when(F.col("_k") % 19 == 4, 0.0).otherwise(F.col("price")),
+                "transaction_number": F.when(F.col("_k") % 23 == 7, 0).otherwise(F.col("transaction_number"))})
+            .withColumn("_copy", F.explode(copies))
+            .withColumn("volume", F.when((F.col("_copy") == 1) & (F.col("_k") % 20 == 3), 0).otherwise(F.col("_volume")))
+            .withColumn("tick_order", (F.col("tick_order") + F.col("_copy")).cast("bigint"))
+            .drop("_copy", "_volume", "_k")
+        )
+
     def constituents(self) -> DataFrame:
         """(product, tscode, start_date, end_date)."""
         members = (
