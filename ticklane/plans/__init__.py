@@ -8,10 +8,10 @@ _loaded = False
 def load_catalog():
     """Names to builders, and names to the SQL used to check them."""
     global _loaded
-    from ticklane.plans import catalog, price_volume, quality, spot
+    from ticklane.plans import catalog, evaluation, price_volume, quality, spot
 
     if not _loaded:
-        for module in (price_volume, spot, quality):
+        for module in (evaluation, price_volume, spot, quality):
             module.register()
         _loaded = True
     return catalog.QUERIES, catalog.SQL
