@@ -332,6 +332,25 @@ def _register_factors() -> None:
         add(name, build, _factor_sql(number, lengths, digits))
 
 
+def _register_modes() -> None:
+    """The intended form of operators whose reference formula differs."""
+    n = 10
+    over = o.frame(n)
+    guard = f"count(close) {over} = {n}"
+    residual = "power(y - (a + b * i), 2)"
+    _indicator("c004_linear_deviation_intended", lambda c: pv.linear_deviation(c, n, "intended"), [
+        {"b": f"CASE WHEN {guard} THEN regr_slope(close, pos) {over} END", "ys": f"list(close) {over}", "m": f"avg(close) {over}"},
+        {"a": f"m - b * {(n + 1) / 2}"},
+        {"v": o.ratio(f"close - (a + b * {n})", f"(sqrt(list_sum([{residual} for y, i in ys]) / {n - 1}) / sqrt({n}))")}], "v", 5)
+    for name, column, lower in (("c051_n_day_low_intended", "close", True), ("c053_n_day_wider_intended", "tr", False)):
+        best, pick, order = ("min", "arg_min", f"({column}, -pos)") if lower else ("max", "arg_max", f"({column}, pos)")
+        _indicator(name, lambda c, column=column, lower=lower: pv.oldest_beyond(
+            c, n, ind.true_range(c) if column == "tr" else column, lower, "intended"),
+            [TR_STAGE, {"best": o.full(best, column, n), "best_pos": f"{pick}(pos, {order}) {over}"},
+             {"v": f"CASE WHEN best IS NOT NULL THEN 100.0 * ((CASE WHEN best = {column} THEN {n + 1} ELSE pos - best_pos END) "
+                   f"- 1) / {n} - 50 END"}], "v")
+
+
 def _factor_sql(number: int, lengths: tuple[int, ...], digits: int) -> str:
     if number == 57:
         select = ", ".join(f"CASE WHEN rsi{n} >= 70 THEN 1.0 WHEN rsi{n} <= 30 THEN -1.0 ELSE 0.0 END::DOUBLE AS value{i}"
@@ -358,3 +377,4 @@ def _factor_sql(number: int, lengths: tuple[int, ...], digits: int) -> str:
 def register() -> None:
     _register_indicators()
     _register_factors()
+    _register_modes()

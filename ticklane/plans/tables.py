@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticklane import constants as K
 from ticklane.functions import scalar as s
 from ticklane.functions.series import SeriesColumns
 from ticklane.operators import calendar as cal
@@ -13,9 +14,11 @@ from ticklane.operators import explore as ex
 from ticklane.operators import factor_tables as ft
 from ticklane.operators import repair as rp
 from ticklane.operators import ticks as tk
+from ticklane.operators.bars import strip_contract_prefix
 from ticklane.plans import oracle as o
 from ticklane.plans.catalog import add, rounded
 from ticklane.plans.evaluation import FACTORED, factored
+from ticklane.sources import files
 
 DATE = F.col("date").cast("string").alias("date")
 KEYS_SQL = "tscode, CAST(date AS VARCHAR) AS date"
@@ -71,7 +74,6 @@ def _register_calendar() -> None:
         "status").agg(F.count(F.lit(1)).alias("rows")),
         f"WITH {BASE}, t AS (SELECT DISTINCT tscode, date FROM ticks WHERE volume > 30) SELECT CAST(CASE WHEN t.tscode IS NULL "
         f"THEN 1 ELSE status END AS INTEGER) AS status, count(*) AS rows FROM config LEFT JOIN t USING (tscode, date) GROUP BY 1")
-    names = ["FCT_01_001_WILLIAM_1.0", "FCT_02_002_10_GRADE_COMMISSION_RATIO_1.0"]
     contracts = (o.BARS + ", daily AS (SELECT instrument, date, sum(delta_volume) AS v FROM trades GROUP BY ALL), calendar AS "
                           "(SELECT 'EV' AS product, instrument, date, CASE WHEN row_number() OVER (PARTITION BY date ORDER BY v "
                           "DESC, instrument) = 1 THEN 0 ELSE 1 END AS is_main FROM daily)")
@@ -91,8 +93,7 @@ def _register_calendar() -> None:
     days = lambda m: m.contract_calendar().select("date").distinct()
     for name, backward, more in (("m10_last_n_dates", True, False), ("m10_next_n_dates", False, False),
                                  ("m10_last_n_dates_strict", True, True)):
-        step, order = ("lag", "n PRECEDING") if backward else ("lead", "n FOLLOWING")
-        del order
+        step = "lag" if backward else "lead"
         frame = "ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING" if backward else "ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING"
         single = f"{step}(date, 3) OVER (ORDER BY date)"
         if more:
@@ -141,7 +142,6 @@ def _register_calendar() -> None:
         config(m), config(m).where("is_st = 1"), ["tscode"]), "status"),
         f"WITH {BASE} SELECT {KEYS_SQL}, CAST(status AS INTEGER) AS status FROM config WHERE tscode NOT IN (SELECT tscode FROM "
         f"config WHERE is_st = 1)")
-    del names
 
 
 def _register_joins() -> None:
@@ -229,7 +229,8 @@ def _register_exploration() -> None:
     add("y03_last_trade_at_close", lambda m: _pairs(ex.last_trade_at(raw(m), "15:00:00.000", first_only=False)),
         f"WITH {o.RAW} SELECT {KEYS_SQL} FROM raw GROUP BY tscode, raw.date HAVING {last} = '15:00:00.000'")
     add("y01_first_hit_only", lambda m: ex.last_trade_at(raw(m), "15:00:00.000").agg(F.count(F.lit(1)).alias("hits")),
-        "SELECT CAST(1 AS BIGINT) AS hits FROM (SELECT count(*) FROM lineitem)")
+        f"WITH {o.RAW}, found AS (SELECT tscode, date FROM raw GROUP BY tscode, date HAVING {last} = '15:00:00.000') SELECT "
+        f"least(count(*), 1) AS hits FROM found")
     add("y04_trades_after_close", lambda m: _pairs(ex.trades_after_close(raw(m)), "time", "volume"),
         f"WITH {o.RAW} SELECT {KEYS_SQL}, time, CAST(volume AS BIGINT) AS volume FROM raw WHERE time >= '15:00:00.000' AND volume > 0")
     add("y05_repeated_trades", lambda m: _pairs(ex.repeated_trades(raw(m)), "time", F.col("tick_order").cast("bigint"),
@@ -409,7 +410,35 @@ def _register_registry() -> None:
         f"WITH {FACTORED} SELECT instrument, datetime, {o.r('william')} AS william, {o.r('momentum')} AS momentum FROM factored")
 
 
+def _register_layouts() -> None:
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    add("s01_s05_s06_pruned_read", lambda m: files.read_table(
+        m.spark, f"{m.folder}/lineitem.parquet", columns=[*keys, "l_quantity"]).where(F.col("l_quantity") > 45),
+        "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 45")
+    add("s07_read_requested_keys", lambda m: files.read_pairs(
+        m.spark, f"{m.folder}/lineitem.parquet", m.table("orders").where("o_orderstatus = 'F'").select(
+            F.col("o_orderkey").alias("l_orderkey")), ("l_orderkey",)).select(*keys),
+        "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE "
+        "o_orderstatus = 'F')")
+
+    def positional(m):
+        ticks = m.stock_ticks().withColumn("surplus", F.lit(1))
+        named = [F.col(c) if c in ticks.columns else F.lit(None).cast("string") for c in K.STOCK_TICK_COLUMNS]
+        return ticks.select(*[c.alias(f"_c{i}") for i, c in enumerate(named)], "surplus")
+
+    add("p02_name_columns_by_position", lambda m: tk.name_stock_columns(positional(m)).select(
+        "tscode", DATE, "time", rounded("price", 9), rounded("bid_price1", 9), F.col("total_bid_volume").cast("bigint")),
+        f"WITH {o.TICKS} SELECT {KEYS_SQL}, time, round(price, 9) + 0.0 AS price, round(bid_price1, 9) + 0.0 AS bid_price1, "
+        f"CAST(total_bid_volume AS BIGINT) AS total_bid_volume FROM ticks")
+    prefixed = lambda m: m.future_ticks().select(
+        F.col("tick_id"), F.col("last_price").alias("CFFEX.IF2401.last_price"), F.col("delta_volume").alias("CFFEX.IF2401.volume"))
+    add("p01_strip_contract_prefix", lambda m: strip_contract_prefix(prefixed(m), "IF2401").select(
+        "tick_id", rounded("last_price", 4), "volume"),
+        f"WITH {o.BARS} SELECT tick_id, round(last_price, 4) + 0.0 AS last_price, delta_volume AS volume FROM trades")
+
+
 def register() -> None:
+    _register_layouts()
     _register_calendar()
     _register_joins()
     _register_exploration()
