@@ -89,6 +89,8 @@ class SeriesColumns:
         self._steps: list[tuple[str, str, object]] = []
         self._back: dict[str, int] = {}
         self._ahead: dict[str, int] = {}
+        # columns of one level need only earlier levels and are added in one projection
+        self._level: dict[str, int] = {}
 
     # recording ---------------------------------------------------------------------------
 
@@ -96,6 +98,7 @@ class SeriesColumns:
             back: int = 0, ahead: int = 0) -> str:
         if name not in self._back:
             inputs = list(inputs)
+            self._level[name] = 1 + max((self._level.get(i, 0) for i in inputs), default=0)
             self._back[name] = max((self._back.get(i, 0) for i in inputs), default=0) + back
             self._ahead[name] = max((self._ahead.get(i, 0) for i in inputs), default=0) + ahead
             self._steps.append(("window", name, build))
@@ -127,6 +130,7 @@ class SeriesColumns:
         """Recursive smoothing y = αx + (1−α)y₋₁ with α = 2/(span+1)."""
         name = f"{column}__ema{span}"
         if name not in self._back:
+            self._level[name] = 1 + self._level.get(column, 0)
             self._back[name] = self._back.get(column, 0) + smoothing_reach(span)
             self._ahead[name] = self._ahead.get(column, 0)
             self._steps.append(("smooth", name, (column, span)))
@@ -135,6 +139,7 @@ class SeriesColumns:
     def rolling_apply(self, column: str, rows: int, function: Callable, name: str) -> str:
         """Arbitrary numpy function of the last ``rows`` values, run on Arrow batches of one chunk."""
         if name not in self._back:
+            self._level[name] = 1 + self._level.get(column, 0)
             self._back[name] = self._back.get(column, 0) + rows - 1
             self._ahead[name] = self._ahead.get(column, 0)
             self._steps.append(("apply", name, (column, rows, function)))
@@ -162,11 +167,14 @@ class SeriesColumns:
         last = F.floor((F.col(position) + self.rows_back) / chunk_rows)
         chunked = df.withColumn("_chunk", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
         window = Window.partitionBy(*keys, "_chunk").orderBy(position)
-        for kind, name, detail in self._steps:
-            if kind == "window":
-                chunked = chunked.withColumn(name, detail(window))
-            else:
-                chunked = _grouped_column(chunked, [*keys, "_chunk"], position, kind, name, detail)
+        for level in range(1, max(self._level.values(), default=0) + 1):
+            steps = [step for step in self._steps if self._level[step[1]] == level]
+            in_spark = {name: detail(window) for kind, name, detail in steps if kind == "window"}
+            in_pandas = [step for step in steps if step[0] != "window"]
+            if in_spark:
+                chunked = chunked.withColumns(in_spark)
+            if in_pandas:
+                chunked = _grouped_columns(chunked, [*keys, "_chunk"], position, in_pandas)
         own = chunked.where(F.floor(F.col(position) / chunk_rows) == F.col("_chunk"))
         added = [name for _, name, _ in self._steps] if keep is None else list(keep)
         return own.select(*source, *[name for name in added if name not in source])
@@ -193,19 +201,18 @@ def _prefix_sum(w: WindowSpec, column: str, rows: int, average: bool) -> Column:
     return F.when((present == rows) & origin.isNotNull(), total / rows if average else total)
 
 
-def _grouped_column(df: DataFrame, groups: list[str], position: str, kind: str, name: str,
-                    detail: tuple) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-    if kind == "smooth":
-        column, span = detail
-        compute = lambda series: series.ewm(span=span, adjust=False).mean()
-    else:
-        column, rows, function = detail
-        compute = lambda series: series.rolling(rows).apply(function, raw=True)
+def _grouped_columns(df: DataFrame, groups: list[str], position: str, steps: list[tuple]) -> DataFrame:
+    """Columns that Spark windows cannot express, for all chunks in one grouped map."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for _, name, _ in steps]])
 
     def extend(chunk: pd.DataFrame) -> pd.DataFrame:
         chunk = chunk.sort_values(position)
-        chunk[name] = compute(chunk[column].astype("float64"))
+        for kind, name, detail in steps:
+            values = chunk[detail[0]].astype("float64")
+            if kind == "smooth":
+                chunk[name] = values.ewm(span=detail[1], adjust=False).mean()
+            else:
+                chunk[name] = values.rolling(detail[1]).apply(detail[2], raw=True)
         return chunk
 
     return df.groupBy(*groups).applyInPandas(extend, schema)

@@ -9,7 +9,7 @@ up to and including 09:30:00.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,8 +60,12 @@ class SpotFactor:
     enrich: Enrich | None = None
     params: tuple[int, ...] = ()
     session: bool = True
-    after: Callable[["SpotFactor", DataFrame, tuple], DataFrame] | None = None
-    needs: tuple[str, ...] = field(default=())
+    # aggregates per product and date, and windows over these dates, available to ``value``
+    daily: Callable[[], dict[str, Column]] | None = None
+    over_dates: Callable[[Window], dict[str, Column]] | None = None
+    # columns ``value`` needs first: of other factors, or its own
+    needs: tuple[str, ...] = ()
+    first: Callable[[], dict[str, Column]] | None = None
     version: str = "1.0"
     action_delay: int = 1
 
@@ -88,10 +92,9 @@ def _add(code: str, **parts) -> SpotFactor:
 
 def _with(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are not there yet, so that factors can share them."""
-    for name, column in columns.items():
-        if name not in df.columns:
-            df = df.withColumn(name, column)
-    return df
+    present = set(df.columns)
+    new = {name: column for name, column in columns.items() if name not in present}
+    return df.withColumns(new) if new else df
 
 
 def _total_amount(side: str) -> Column:
@@ -130,18 +133,17 @@ def _first_when(value: Column, condition: Column, window) -> Column:
 
 # --- commission ratios ---------------------------------------------------------------------
 
-def _commission(code: str, name: str, bid: Column, ask: Column) -> None:
-    _add(code, sums=lambda params: {f"{name}_bid": F.sum(bid), f"{name}_both": F.sum(bid + ask)},
-         value=_share(f"{name}_bid", f"{name}_both"))
+def _commission(code: str, name: str, amount: Callable[[str], Column]) -> None:
+    """``amount`` gives the book amount of a side."""
+    _add(code, value=_share(f"{name}_bid", f"{name}_both"),
+         sums=lambda params: {f"{name}_bid": F.sum(amount("bid")), f"{name}_both": F.sum(amount("bid") + amount("ask"))})
 
 
-_commission("FCT_02_001_TOTAL_COMMISSION_RATIO", "total", _total_amount("bid"), _total_amount("ask"))
-_commission("FCT_02_002_10_GRADE_COMMISSION_RATIO", "grade10", F.col("grade10_bid_amount"), F.col("grade10_ask_amount"))
-_commission("FCT_02_003_10_GRADE_WEIGHTED_COMMISSION_RATIO", "weighted10",
-            weighted_levels("bid", 10), weighted_levels("ask", 10))
-_commission("FCT_02_004_5_GRADE_COMMISSION_RATIO", "grade5", F.col("grade5_bid_amount"), F.col("grade5_ask_amount"))
-_commission("FCT_02_005_5_GRADE_WEIGHTED_COMMISSION_RATIO", "weighted5",
-            weighted_levels("bid", 5), weighted_levels("ask", 5))
+_commission("FCT_02_001_TOTAL_COMMISSION_RATIO", "total", _total_amount)
+_commission("FCT_02_002_10_GRADE_COMMISSION_RATIO", "grade10", lambda side: F.col(f"grade10_{side}_amount"))
+_commission("FCT_02_003_10_GRADE_WEIGHTED_COMMISSION_RATIO", "weighted10", lambda side: weighted_levels(side, 10))
+_commission("FCT_02_004_5_GRADE_COMMISSION_RATIO", "grade5", lambda side: F.col(f"grade5_{side}_amount"))
+_commission("FCT_02_005_5_GRADE_WEIGHTED_COMMISSION_RATIO", "weighted5", lambda side: weighted_levels(side, 5))
 
 GRADE_AMOUNTS = ("grade10_bid_amount", "grade10_ask_amount", "grade5_bid_amount", "grade5_ask_amount")
 _add("FCT_AUXILIARY_FILE_GENERATION",
@@ -154,10 +156,8 @@ _add("FCT_AUXILIARY_FILE_GENERATION",
 def _moves(df: DataFrame, params: tuple) -> DataFrame:
     started = F.col("time") >= K.SESSION_START
     session = Window.partitionBy(*STOCK_DAY, started).orderBy("time")
-    for n in params:
-        change = F.col("price") - F.coalesce(F.lag("price", n).over(session), F.col("close"))
-        df = _with(df, **{f"change_{n}": F.when(started, change).otherwise(0.0)})
-    return df
+    change = lambda n: F.col("price") - F.coalesce(F.lag("price", n).over(session), F.col("close"))
+    return _with(df, **{f"change_{n}": F.when(started, change(n)).otherwise(0.0) for n in params})
 
 
 _add("FCT_02_006_RISING_STOCK_RATIO", params=ROLLING, enrich=_moves,
@@ -279,59 +279,53 @@ _add("FCT_02_022_OVER_NIGHT_YIELD", enrich=_overnight, session=False,
 
 # --- large book amounts --------------------------------------------------------------------
 
-def _large_amount(side: str) -> Callable:
-    column = f"mean5_{side}"
-
-    def after(factor: SpotFactor, table: DataFrame, params: tuple) -> DataFrame:
-        daily = table.where(_in_session()).groupBy("product", "date").agg(F.avg(column).alias("_daily"))
-        earlier = Window.partitionBy("product").orderBy("date").rowsBetween(-3, -1)
-        usual = table.select("product", "date").distinct().join(daily, ["product", "date"], "left") \
-            .withColumn("_usual", F.avg("_daily").over(earlier)).select("product", "date", "_usual")
-        large = F.col(column) > F.col("_usual") * 1.5
-        return table.join(usual, ["product", "date"]).withColumn(
-            factor.code, F.when(large, 1.0).otherwise(0.0)).drop("_usual")
-
-    return after
+def _large_amount(side: str) -> dict:
+    """1 where the mean book amount is above 1.5 times its session mean of the previous three dates."""
+    column, usual = f"mean5_{side}", f"_usual5_{side}"
+    return {
+        "session": False,
+        "sums": lambda params: {column: F.avg(f"grade5_{side}_amount")},
+        "daily": lambda: {f"_day5_{side}": F.avg(F.when(_in_session(), F.col(column)))},
+        "over_dates": lambda dates: {usual: F.avg(f"_day5_{side}").over(dates.rowsBetween(-3, -1))},
+        "value": lambda factor, params: {factor.code: F.when(F.col(column) > F.col(usual) * 1.5, 1.0).otherwise(0.0)},
+    }
 
 
 for _number, _side in ((13, "bid"), (14, "ask")):
-    _add(f"FCT_02_0{_number}_{_side.upper()}_LARGE_AMOUNT_BILL", session=False,
-         sums=lambda params, side=_side: {f"mean5_{side}": F.avg(f"grade5_{side}_amount")},
-         after=_large_amount(_side))
+    _add(f"FCT_02_0{_number}_{_side.upper()}_LARGE_AMOUNT_BILL", **_large_amount(_side))
 
 
-def _change_rate(factor: SpotFactor, table: DataFrame, params: tuple) -> DataFrame:
+def _change_rate(factor: SpotFactor, params: tuple) -> dict[str, Column]:
+    """Ratio to the value at the same time of the previous date, 0 if that date has no such time."""
     base = "FCT_02_001_TOTAL_COMMISSION_RATIO"
-    table = _evaluate(SPOT_FACTORS[base], table, ())
-    session = table.where(_in_session())
-    # a few thousand dates per product at most
-    dates = session.select("product", "date").distinct().withColumn(
-        "_previous", F.lag("date").over(Window.partitionBy("product").orderBy("date")))
     same_time = Window.partitionBy("product", "time").orderBy("date")
-    table = table.join(dates, ["product", "date"], "left")
-    adjacent = F.lag("date").over(same_time) == F.col("_previous")
+    adjacent = F.lag("date").over(same_time) == F.col("_previous_date")
     rate = F.when(adjacent, divide_or_zero(F.col(base), F.lag(base).over(same_time))).otherwise(0.0)
-    return table.withColumn(factor.code, F.when(_in_session(), F.coalesce(rate, F.lit(0.0)))).drop("_previous")
+    return {factor.code: F.coalesce(rate, F.lit(0.0))}
 
 
-_add("FCT_02_015_TOTAL_COMMISSION_RATIO_CHANGE_RATE", after=_change_rate,
-     sums=lambda params: SPOT_FACTORS["FCT_02_001_TOTAL_COMMISSION_RATIO"].sums(()))
+_add("FCT_02_015_TOTAL_COMMISSION_RATIO_CHANGE_RATE", needs=("FCT_02_001_TOTAL_COMMISSION_RATIO",), value=_change_rate,
+     sums=lambda params: SPOT_FACTORS["FCT_02_001_TOTAL_COMMISSION_RATIO"].sums(()),
+     daily=lambda: {"_session_date": F.max(F.when(_in_session(), F.col("date")))},
+     over_dates=lambda dates: {"_previous_date": F.last("_session_date", ignorenulls=True).over(
+         dates.rowsBetween(Window.unboundedPreceding, -1))})
 
 
 # --- traded amount and book ----------------------------------------------------------------
 
-def _amount_and_book(code: str, name: str, bid: Column, ask: Column) -> None:
-    up, down = F.col("delta_price") > 0, F.col("delta_price") < 0
-    with_bid = bid + F.when(up, F.col("amount")).otherwise(0.0)
-    with_ask = ask + F.when(down, F.col("amount")).otherwise(0.0)
-    _add(code, enrich=_price_change, value=_share(f"{name}_up", f"{name}_all"),
-         sums=lambda params: {f"{name}_up": F.sum(with_bid), f"{name}_all": F.sum(with_bid + with_ask)})
+def _amount_and_book(code: str, name: str, book: Callable[[str], Column]) -> None:
+    def sums(params):
+        rising = F.when(F.col("delta_price") > 0, F.col("amount")).otherwise(0.0)
+        falling = F.when(F.col("delta_price") < 0, F.col("amount")).otherwise(0.0)
+        bid, ask = book("bid") + rising, book("ask") + falling
+        return {f"{name}_up": F.sum(bid), f"{name}_all": F.sum(bid + ask)}
+
+    _add(code, enrich=_price_change, sums=sums, value=_share(f"{name}_up", f"{name}_all"))
 
 
-_amount_and_book("FCT_02_016_AMOUNT_AND_COMMISSION_RATIO", "moved10",
-                 F.col("grade10_bid_amount"), F.col("grade10_ask_amount"))
+_amount_and_book("FCT_02_016_AMOUNT_AND_COMMISSION_RATIO", "moved10", lambda side: F.col(f"grade10_{side}_amount"))
 _amount_and_book("FCT_02_023_AMOUNT_AND_1ST_COMMISSION_RATIO", "moved1",
-                 F.col("bid_price1") * F.col("bid_volume1"), F.col("ask_price1") * F.col("ask_volume1"))
+                 lambda side: F.col(f"{side}_price1") * F.col(f"{side}_volume1"))
 
 _add("FCT_02_017_RISING_FALLING_AMOUNT_RATIO", enrich=_price_change, value=_share("amount_balance", "amount_all"),
      sums=lambda params: {
@@ -354,11 +348,9 @@ _add("FCT_02_019_DAILY_ACCUMULATED_LARGE_ORDER_RATIO", enrich=_accumulated,
 def _rolled(df: DataFrame, params: tuple) -> DataFrame:
     df = _amount_per_trade(df)
     day = _stock_window()
-    for n in params:
-        for side in ("rising", "falling"):
-            column = f"{side}_per_transaction"
-            df = _with(df, **{f"{side}_last_{n}": win.full_window(F.sum(column), F.col(column), day, n)})
-    return df
+    last = lambda column, n: win.full_window(F.sum(column), F.col(column), day, n)
+    return _with(df, **{f"{side}_last_{n}": last(f"{side}_per_transaction", n)
+                        for n in params for side in ("rising", "falling")})
 
 
 _add("FCT_02_020_ROLLING_ACCUMULATED_LARGE_ORDER_RATIO", params=ROLLING, enrich=_rolled,
@@ -397,16 +389,15 @@ for _number, _rising in ((24, True), (25, False)):
 
 # --- traded amount over book amount --------------------------------------------------------
 
-BOOK_AMOUNTS = {
-    ("BID", "TOTAL"): _total_amount("bid"), ("ASK", "TOTAL"): _total_amount("ask"),
-    ("BID", "10_GRADE"): F.col("grade10_bid_amount"), ("ASK", "10_GRADE"): F.col("grade10_ask_amount"),
-    ("BID", "5_GRADE"): F.col("grade5_bid_amount"), ("ASK", "5_GRADE"): F.col("grade5_ask_amount"),
-}
+def _book_amount(side: str, depth: str) -> Column:
+    """Book amount of a side: all of it, or its first ten or five levels."""
+    side = side.lower()
+    return _total_amount(side) if depth == "TOTAL" else F.col(f"grade{depth.split('_')[0]}_{side}_amount")
 
 
 def _book_sums(side: str, depth: str) -> Callable:
     return lambda params: {"amount_all": F.sum("amount"),
-                           f"book_{side}_{depth}": F.sum(BOOK_AMOUNTS[side, depth])}
+                           f"book_{side}_{depth}": F.sum(_book_amount(side, depth))}
 
 
 def _book_ratio(side: str, depth: str, deviation: bool) -> Callable:
@@ -416,22 +407,24 @@ def _book_ratio(side: str, depth: str, deviation: bool) -> Callable:
         # the first deviation of a date is the ratio itself
         rule = (lambda n: win.partial_std(ratio, window, n, F.col(ratio))) if deviation \
             else (lambda n: win.partial_mean(ratio, window, n))
-        return {ratio: divide_or_zero("amount_all", f"book_{side}_{depth}"),
-                **{factor.key(n): rule(n) for n in params}}
+        return {factor.key(n): rule(n) for n in params}
 
     return value
 
 
+def _book(side: str, depth: str, deviation: bool) -> dict:
+    return {"params": ROLLING, "sums": _book_sums(side, depth), "value": _book_ratio(side, depth, deviation),
+            "first": lambda: {f"_ratio_{side}_{depth}": divide_or_zero("amount_all", f"book_{side}_{depth}")}}
+
+
 for _number, (_side, _depth) in zip(range(26, 32), [
         ("BID", "TOTAL"), ("ASK", "TOTAL"), ("BID", "10_GRADE"), ("ASK", "10_GRADE"), ("BID", "5_GRADE"),
         ("ASK", "5_GRADE")]):
-    _add(f"FCT_02_0{_number}_AMOUNT_{_side}_{_depth}_COMMISSION_RATIO", params=ROLLING,
-         sums=_book_sums(_side, _depth), value=_book_ratio(_side, _depth, deviation=False))
+    _add(f"FCT_02_0{_number}_AMOUNT_{_side}_{_depth}_COMMISSION_RATIO", **_book(_side, _depth, False))
 for _number, (_side, _depth) in zip(range(50, 56), [
         ("BID", "TOTAL"), ("BID", "10_GRADE"), ("BID", "5_GRADE"), ("ASK", "TOTAL"), ("ASK", "10_GRADE"),
         ("ASK", "5_GRADE")]):
-    _add(f"FCT_02_0{_number}_AMOUNT_{_side}_{_depth}_COMMISSION_RATIO_STD", params=ROLLING,
-         sums=_book_sums(_side, _depth), value=_book_ratio(_side, _depth, deviation=True))
+    _add(f"FCT_02_0{_number}_AMOUNT_{_side}_{_depth}_COMMISSION_RATIO_STD", **_book(_side, _depth, True))
 
 
 # --- volatility of the book ----------------------------------------------------------------
@@ -439,12 +432,10 @@ for _number, (_side, _depth) in zip(range(50, 56), [
 def _volatility(depth: str) -> dict:
     def enrich(df, params):
         day = _stock_window()
-        for side in ("BID", "ASK"):
-            amount = f"_book_{side}_{depth}"
-            df = _with(df, **{amount: BOOK_AMOUNTS[side, depth]})
-            df = _with(df, **{f"std_{side}_{depth}_{n}": win.full_window(F.stddev_samp(amount), F.col(amount), day, n)
-                              for n in params})
-        return df
+        amounts = {side: f"_book_{side}_{depth}" for side in ("BID", "ASK")}
+        df = _with(df, **{name: _book_amount(side, depth) for side, name in amounts.items()})
+        return _with(df, **{f"std_{side}_{depth}_{n}": win.full_window(F.stddev_samp(name), F.col(name), day, n)
+                            for n in params for side, name in amounts.items()})
 
     return {
         "enrich": enrich,
@@ -463,27 +454,36 @@ _add("FCT_02_034_5_GRADE_COMMISSION_VOLATILITY_RATIO", **_volatility("5_GRADE"))
 
 # --- large orders --------------------------------------------------------------------------
 
+LARGE_ORDER_DAYS = (3, 4)
+
+
+def _usual_trade_size(df: DataFrame) -> DataFrame:
+    """Mean trade size of the stock over its previous 3 and 4 trading days, from one daily table."""
+    daily = df.groupBy(*STOCK_DAY).agg(
+        F.max_by("daily_amount", "time").alias("_amount"), F.max_by("transaction_number", "time").alias("_number"))
+    dates = Window.partitionBy("tscode").orderBy("date")
+    columns = []
+    for days in LARGE_ORDER_DAYS:
+        earlier = dates.rowsBetween(-days, -1)
+        columns += [F.try_divide(F.sum("_amount").over(earlier), F.sum("_number").over(earlier)).alias(f"_usual{days}"),
+                    (F.count("_amount").over(earlier) > 0).alias(f"_known{days}")]
+    return df.join(daily.select(*STOCK_DAY, *columns), STOCK_DAY)
+
+
 def _large_orders(days: int, fall_back: bool) -> Enrich:
     """Mark trades of more than twice the mean trade size of the previous trading days of the stock."""
     name = f"large{days}"
 
     def enrich(df, params):
-        daily = df.groupBy(*STOCK_DAY).agg(
-            F.max_by("daily_amount", "time").alias("_amount"),
-            F.max_by("transaction_number", "time").alias("_number"))
-        earlier = Window.partitionBy("tscode").orderBy("date").rowsBetween(-days, -1)
-        usual = daily.select(
-            *STOCK_DAY,
-            F.try_divide(F.sum("_amount").over(earlier), F.sum("_number").over(earlier)).alias("_usual"),
-            (F.count("_amount").over(earlier) > 0).alias("_known"))
-        df = _amount_per_trade(df).join(usual, STOCK_DAY)
+        df = _amount_per_trade(df)
+        if f"_usual{days}" not in df.columns:
+            df = _usual_trade_size(df)
+        usual = F.col(f"_usual{days}")
         if fall_back:
-            df = df.withColumn("_usual", F.when(F.col("_known"), F.col("_usual")).otherwise(
-                divide_or_zero("daily_amount", "transaction_number")))
-        large = (F.col("delta_transaction_number") != 0) & (F.col("amount_per_transaction") > F.col("_usual") * 2)
-        return df.withColumn(f"{name}_up", F.when(large & (F.col("delta_price") > 0), F.col("amount")).otherwise(0.0)) \
-            .withColumn(f"{name}_down", F.when(large & (F.col("delta_price") < 0), F.col("amount")).otherwise(0.0)) \
-            .drop("_usual", "_known")
+            usual = F.when(F.col(f"_known{days}"), usual).otherwise(divide_or_zero("daily_amount", "transaction_number"))
+        large = (F.col("delta_transaction_number") != 0) & (F.col("amount_per_transaction") > usual * 2)
+        return _with(df, **{f"{name}_up": F.when(large & (F.col("delta_price") > 0), F.col("amount")).otherwise(0.0),
+                            f"{name}_down": F.when(large & (F.col("delta_price") < 0), F.col("amount")).otherwise(0.0)})
 
     return enrich
 
@@ -549,18 +549,34 @@ def constituent_ticks(ticks: DataFrame, constituents: DataFrame, invalid: DataFr
     return ticks.join(member, inside).drop("_member", "start_date", "end_date")
 
 
-def _evaluate(factor: SpotFactor, table: DataFrame, params: tuple) -> DataFrame:
-    """Columns of one factor on the grouped table."""
-    for base in factor.needs:
-        table = _evaluate(SPOT_FACTORS[base], table, ())
-    if factor.value is not None:
-        for name, column in factor.value(factor, params).items():
-            if name not in table.columns:
-                keep = F.when(_in_session(), column) if factor.session else column
-                table = table.withColumn(name, keep)
-    if factor.after is not None:
-        table = factor.after(factor, table, params)
-    return table
+def _with_dates(table: DataFrame, factors: list[SpotFactor]) -> DataFrame:
+    """Join what the factors need to know about other dates, from one table with a row per product and date."""
+    dated = [f for f in factors if f.daily is not None]
+    if not dated:
+        return table
+    daily = {name: column for f in dated for name, column in f.daily().items()}
+    dates = table.groupBy("product", "date").agg(*[column.alias(name) for name, column in daily.items()])
+    order = Window.partitionBy("product").orderBy("date")
+    known = {name: column for f in dated for name, column in f.over_dates(order).items()}
+    return table.join(dates.select("product", "date", *[c.alias(n) for n, c in known.items()]), ["product", "date"])
+
+
+def _evaluate(table: DataFrame, chosen: list[tuple[SpotFactor, tuple]]) -> DataFrame:
+    """Add the values of all factors: what they need first, then themselves, one projection each."""
+    keep = lambda factor, column: F.when(_in_session(), column) if factor.session else column
+    first: dict[str, Column] = {}
+    second: dict[str, Column] = {}
+    for factor, params in chosen:
+        for code in factor.needs:
+            base = SPOT_FACTORS[code]
+            first.update({n: keep(base, c) for n, c in base.value(base, ()).items()})
+        if factor.first is not None:
+            first.update({n: keep(factor, c) for n, c in factor.first().items()})
+    for factor, params in chosen:
+        second.update({n: keep(factor, c) for n, c in factor.value(factor, params).items() if n not in first})
+    if first:
+        table = table.withColumns(first)
+    return table.withColumns(second) if second else table
 
 
 def spot_factors(ticks: DataFrame, constituents: DataFrame, requests: dict[str, tuple[int, ...] | None],
@@ -581,8 +597,7 @@ def spot_factors(ticks: DataFrame, constituents: DataFrame, requests: dict[str,
     table = members.groupBy(*POINT).agg(*[column.alias(name) for name, column in sums.items()])
     if any("LIMIT_STOCK" in factor.code for factor, _ in chosen):
         table = table.withColumn("_size", index_size(size))
-    for factor, lengths in chosen:
-        table = _evaluate(factor, table, lengths)
+    table = _evaluate(_with_dates(table, [factor for factor, _ in chosen]), chosen)
     result = table.select(*POINT, *dict.fromkeys(keep))
     if all(factor.session for factor, _ in chosen):
         result = result.where(_in_session())

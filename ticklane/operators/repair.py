@@ -15,7 +15,8 @@ from ticklane import constants as K
 from ticklane.functions.scalar import nearly_equal, price_limit_rate, swap_date_format, time_string, whole_seconds
 from ticklane.operators.ticks import BOOK_COLUMNS, KEYS, in_session
 
-DAY = Window.partitionBy(*KEYS)
+def _day():
+    return Window.partitionBy(*KEYS)
 
 
 def _ordered():
@@ -64,7 +65,7 @@ def restore_close_records(data: DataFrame, raw: DataFrame, step: int = K.STOCK_T
     flags = data.groupBy(*KEYS).agg(
         F.max((F.col("time") == K.SESSION_END).cast("int")).alias("_has_close"),
         F.max((F.col("time") == K.NOON_END).cast("int")).alias("_has_noon"))
-    summed = F.max(F.when(F.col("volume") > 0, F.col("time"))).over(DAY)
+    summed = F.max(F.when(F.col("volume") > 0, F.col("time"))).over(_day())
     source = raw.withColumn("_last_trade", summed).join(flags, KEYS)
     no_close = source.where((F.col("_has_close") == 0) & F.col("_last_trade").isNotNull())
     close_time = F.when(F.col("_last_trade") <= K.SESSION_END, F.lit(K.SESSION_END)).otherwise(F.col("_last_trade"))
@@ -83,7 +84,7 @@ def restore_close_records(data: DataFrame, raw: DataFrame, step: int = K.STOCK_T
 
 def volume_from_totals(data: DataFrame) -> DataFrame:
     """On days with more than 99.9 % zero volume, take volume and amount from the cumulative columns."""
-    zero_share = F.avg(F.when(F.col("volume") == 0, 1.0).otherwise(0.0)).over(DAY)
+    zero_share = F.avg(F.when(F.col("volume") == 0, 1.0).otherwise(0.0)).over(_day())
     change = lambda column: F.col(column) - F.lag(column).over(_ordered())
     repaired = data.withColumns({"_empty": zero_share > 0.999, "_volume": change("daily_accumulated_volume"),
                                  "_amount": change("daily_amount")})
@@ -152,7 +153,7 @@ def rebuild_closing_record(data: DataFrame, raw: DataFrame, step: int = K.STOCK_
     found = closing.select(*KEYS).withColumn("_found", F.lit(True))
     known = data.join(found, KEYS, "left")
     untouched = known.where(F.col("_found").isNull())
-    has_close = F.max((F.col("time") == K.SESSION_END).cast("int")).over(DAY)
+    has_close = F.max((F.col("time") == K.SESSION_END).cast("int")).over(_day())
     rank = F.row_number().over(Window.partitionBy(*KEYS, F.col("time") < K.SESSION_END).orderBy(
         F.desc("time"), "tick_order"))
     rest = known.where(F.col("_found")).withColumns({"_has_close": has_close, "_rank": rank}) \

@@ -52,5 +52,5 @@ def rounded(column: str | Column, digits: int = 6, name: str | None = None) -> C
     return result.alias(name or column) if (name or isinstance(column, str)) else result
 
 
-def text(column: str, name: str | None = None) -> Column:
-    return F.col(column).cast("string").alias(name or column)
+def date_text(name: str = "date") -> Column:
+    return F.col(name).cast("string").alias(name)

@@ -16,12 +16,11 @@ from ticklane.operators import price_volume as pv
 from ticklane.operators import reports as rp
 from ticklane.operators import training as tr
 from ticklane.plans import oracle as o
-from ticklane.plans.catalog import add, rounded
+from ticklane.plans.catalog import add, date_text, rounded
 
 CHUNK = 400
 KEYS = ["instrument"]
 WILLIAM, MOMENTUM = "FCT_01_001_WILLIAM__20", "FCT_01_035_VOLUME_MOMENTUM__10"
-DATE = F.col("date").cast("string").alias("date")
 
 RETURNS = """
 finals AS (SELECT instrument, arg_max(close, pos) AS final FROM bars GROUP BY ALL),
@@ -48,10 +47,10 @@ def factored(market) -> DataFrame:
 
 
 def _register_bars() -> None:
-    shown = ["instrument", "datetime", *[rounded(c, 4) for c in ("open", "close", "high", "low")], "volume", "interest"]
+    shown = lambda: ["instrument", "datetime", *[rounded(c, 4) for c in ("open", "close", "high", "low")], "volume", "interest"]
     shown_sql = ("instrument, datetime, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("open", "close", "high", "low"))
                  + ", volume, interest")
-    add("g15_t03_bars_on_session_grid", lambda m: m.bars().select(*shown), f"WITH {o.BARS} SELECT {shown_sql} FROM bars")
+    add("g15_t03_bars_on_session_grid", lambda m: m.bars().select(*shown()), f"WITH {o.BARS} SELECT {shown_sql} FROM bars")
     # a day with an opening slot, a noon break and half-hour slots
     session = b.Session(open=9 * 3600, first=1800 + 1800, step=1800, break_start=41400, break_end=46800, close=61200)
     slot = (f"CASE WHEN second < {session.open} THEN NULL WHEN second < {session.open + session.first} THEN 0 "
@@ -73,7 +72,7 @@ SELECT instrument, CAST(date + to_seconds({label}) AS VARCHAR) AS datetime,
   interest FROM filled"""
     add("t03_session_with_noon_break", lambda m: b.session_bars(
         m.future_ticks().where("delta_volume > 0"), ["instrument", "date"], session, F.col("second"),
-        ["datetime", "tick_id"]).select(*shown), f"WITH {broken}")
+        ["datetime", "tick_id"]).select(*shown()), f"WITH {broken}")
 
     def cumulative(m):
         ticks = m.future_ticks().withColumn("hour", F.hour("datetime")).drop("delta_volume").join(
@@ -85,10 +84,10 @@ SELECT instrument, CAST(date + to_seconds({label}) AS VARCHAR) AS datetime,
         "instrument", "tick_id", "volume", "delta_volume"),
         f"WITH {o.BARS}, run AS (SELECT *, CAST(sum(delta_volume) OVER (PARTITION BY instrument, date ORDER BY datetime) AS "
         f"BIGINT) AS volume FROM trades) SELECT instrument, tick_id, volume, delta_volume FROM run WHERE delta_volume > 0")
-    micro = F.timestamp_diff("MICROSECOND", F.col("date").cast("timestamp_ntz"), F.col("datetime")).alias("micros")
+    micro = lambda: F.timestamp_diff("MICROSECOND", F.col("date").cast("timestamp_ntz"), F.col("datetime")).alias("micros")
     add("t04_fill_future_gaps", lambda m: b.fill_gaps(
         m.future_ticks().withColumn("hour", F.hour("datetime")), ["instrument", "date"], ["datetime", "tick_id"], "datetime",
-        600.0, "hour").select("instrument", DATE, micro, "tick_id", F.col("filled").cast("int").alias("filled")),
+        600.0, "hour").select("instrument", date_text(), micro(), "tick_id", F.col("filled").cast("int").alias("filled")),
         f"WITH {o.BARS}, ahead AS (SELECT *, date_diff('microsecond', datetime, lead(datetime) OVER (PARTITION BY instrument, "
         f"date ORDER BY datetime)) / 1e6 AS g0 FROM trades), gapped AS (SELECT *, CASE WHEN g0 >= 5400 THEN g0 - 5400 ELSE g0 "
         f"END AS g FROM ahead), copied AS (SELECT *, unnest(range(0, 1 + CASE WHEN g > 600 THEN CAST(ceil(round(g / 600, 6)) "
@@ -162,7 +161,7 @@ def _register_reports() -> None:
         "WITH ends AS (SELECT min(l_quantity) AS a, max(l_quantity) AS z FROM lineitem) SELECT CAST(least(floor((l_quantity - "
         "a) / ((z - a) / 100)), 99) AS INTEGER) AS bin, count(*) AS count FROM lineitem, ends GROUP BY 1")
     add("g03_g09_daily_stability", lambda m: rp.daily_stability(factored(m), "william", ["instrument", "date"]).select(
-        "instrument", DATE, rounded("mean"), rounded("std")),
+        "instrument", date_text(), rounded("mean"), rounded("std")),
         f"{with_factors} SELECT instrument, CAST(date AS VARCHAR) AS date, {o.r('avg(william)')} AS mean, "
         f"{o.r('stddev_samp(william)')} AS std FROM factored GROUP BY instrument, date")
     timed = lambda m: factored(m).withColumn("time", F.col("datetime").substr(12, 8))
@@ -197,11 +196,11 @@ def _register_reports() -> None:
     daily_ic = lambda m: rp.daily_information_coefficient(factored(m), "william", "ret5", ["instrument", "date"])
     not_nan = lambda c: F.when(~F.isnan(c), F.col(c))
     add("g10_daily_information_coefficient", lambda m: daily_ic(m).select(
-        "instrument", DATE, rounded(not_nan("ic"), 6, "ic"), rounded(not_nan("rank_ic"), 6, "rank_ic")),
+        "instrument", date_text(), rounded(not_nan("ic"), 6, "ic"), rounded(not_nan("rank_ic"), 6, "rank_ic")),
         f"{ic} SELECT instrument, CAST(date AS VARCHAR) AS date, {o.r(clean('ic'))} AS ic, {o.r(clean('rank_ic'))} AS rank_ic "
         f"FROM daily")
     add("flagship_factor_information_coefficient", lambda m: daily_ic(m).select(
-        "instrument", DATE, rounded(not_nan("ic"), 6, "ic")),
+        "instrument", date_text(), rounded(not_nan("ic"), 6, "ic")),
         f"{ic} SELECT instrument, CAST(date AS VARCHAR) AS date, {o.r(clean('ic'))} AS ic FROM daily")
     add("g10_information_ratio", lambda m: rp.information_ratio(
         daily_ic(m).withColumn("ic", not_nan("ic")), KEYS).select("instrument", *[rounded(c) for c in ("mean", "std", "ratio")]),
@@ -228,7 +227,7 @@ def _register_reports() -> None:
         for measure in ("mean", "std") for side, order in (("largest", "DESC"), ("smallest", "ASC")))
     add("o04_extreme_days", lambda m: rp.extreme_days(
         rp.daily_stability(factored(m).where("pos >= 24"), "momentum", ["instrument", "date"]), KEYS, 3).select(
-        "instrument", DATE, "measure", "side", F.col("place").cast("bigint").alias("place"), rounded("value")),
+        "instrument", date_text(), "measure", "side", F.col("place").cast("bigint").alias("place"), rounded("value")),
         f"{with_factors}, days AS (SELECT instrument, date, avg(momentum) AS mean, stddev_samp(momentum) AS std FROM factored "
         f"WHERE pos >= 24 GROUP BY ALL), ranked AS ({parts}) SELECT instrument, CAST(date AS VARCHAR) AS date, measure, side, "
         f"place, {o.r('value')} AS value FROM ranked WHERE place <= 3")
@@ -315,7 +314,7 @@ def _register_backtests() -> None:
         + ", ".join(f"{o.r(v, 5)} AS {k}" for k, v in amounts.items())
         + " FROM grid LEFT JOIN gains USING (instrument, band) GROUP BY instrument, band")
     add("e01_daily_profit", lambda m: e.daily_profit(trades(m), ["instrument", "band"]).select(
-        "instrument", F.col("band").cast("bigint").alias("band"), DATE, rounded("profit", 5), rounded("total_profit", 5)),
+        "instrument", F.col("band").cast("bigint").alias("band"), date_text(), rounded("profit", 5), rounded("total_profit", 5)),
         f"{band_trades_sql(groups)}, d AS (SELECT instrument, band, date, sum(profit) AS profit FROM gains GROUP BY ALL) SELECT "
         f"instrument, band, CAST(date AS VARCHAR) AS date, {o.r('profit', 5)} AS profit, {o.r('sum(profit) OVER (PARTITION BY instrument, band ORDER BY date)', 5)} AS total_profit FROM d")
     points = 11

@@ -263,9 +263,9 @@ def _register_repairs() -> None:
                      "joined AS (SELECT * FROM clean UNION ALL SELECT * EXCLUDE (n) FROM twice)", "joined")
     untraded = ("untraded AS (SELECT * REPLACE (CASE WHEN time = '15:00:00.000' AND num % 5 = 1 THEN 0 ELSE volume END AS "
                 "volume) FROM clean)")
-    number = F.col("tscode").substr(4, 20).cast("bigint")
+    number = lambda: F.col("tscode").substr(4, 20).cast("bigint")
     hidden = lambda m: clean(m).withColumn("volume", F.when(
-        (F.col("time") == "15:00:00.000") & (number % 5 == 1), 0).otherwise(F.col("volume")))
+        (F.col("time") == "15:00:00.000") & (number() % 5 == 1), 0).otherwise(F.col("volume")))
     _ticks("x02_replace_closing_record", lambda m: x.replace_closing_record(hidden(m), raw(m)),
            o.CLEAN + f", {untraded}, good AS (SELECT DISTINCT tscode, date FROM untraded WHERE time = '15:00:00.000' AND "
                      "volume > 0), joined AS (SELECT * FROM untraded WHERE time <> '15:00:00.000' UNION ALL SELECT * FROM "
@@ -293,7 +293,7 @@ ended AS (SELECT * FROM clean UNION ALL SELECT * EXCLUDE (hc, hn, lt) FROM close
     empty = ("emptied AS (SELECT * REPLACE (CASE WHEN num % 4 = 0 THEN 0 ELSE volume END AS volume, CASE WHEN num % 4 = 0 "
              "THEN 0 ELSE amount END AS amount) FROM clean)")
     emptied = lambda m: clean(m).withColumns({
-        c: F.when(number % 4 == 0, F.lit(0)).otherwise(F.col(c)) for c in ("volume", "amount")})
+        c: F.when(number() % 4 == 0, F.lit(0)).otherwise(F.col(c)) for c in ("volume", "amount")})
     _ticks("x05_volume_from_totals", lambda m: x.volume_from_totals(emptied(m)),
            o.CLEAN + f", {empty}, shares AS (SELECT *, avg(CASE WHEN volume = 0 THEN 1.0::DOUBLE ELSE 0 END) OVER "
                      f"(PARTITION BY tscode, date) > 0.999 AS e, daily_accumulated_volume - lag(daily_accumulated_volume) "
@@ -343,12 +343,12 @@ ended AS (SELECT * FROM clean UNION ALL SELECT * EXCLUDE (hc, hn, lt) FROM close
         f"WITH {o.CLEAN}, zeros AS (SELECT * FROM raw WHERE {zero} QUALIFY row_number() OVER (PARTITION BY tscode, date, time "
         f"ORDER BY tick_order DESC) = 1), fixed AS (SELECT {others}, {restore} FROM clean c LEFT JOIN zeros r ON r.tscode = "
         f"c.tscode AND r.date = c.date AND r.time = c.time) SELECT {SHOWN_SQL}, {BOOK_SQL} FROM fixed")
-    micro = F.timestamp_diff("MICROSECOND", F.col("date").cast("timestamp_ntz"), F.col("datetime")).alias("micros")
+    micro = lambda: F.timestamp_diff("MICROSECOND", F.col("date").cast("timestamp_ntz"), F.col("datetime")).alias("micros")
     micro_sql = "date_diff('microsecond', CAST(date AS TIMESTAMP), datetime) AS micros"
     keep = "tick_id % 3 <> 0"
     add("x12_insert_patch_rows", lambda m: x.insert_patch_rows(
         m.future_ticks().where(keep), m.future_ticks().where(f"not ({keep})")).select(
-        "instrument", F.col("date").cast("string").alias("date"), micro, rounded("last_price", 9)),
+        "instrument", F.col("date").cast("string").alias("date"), micro(), rounded("last_price", 9)),
         f"WITH {o.BARS}, kept AS (SELECT * FROM trades WHERE {keep}), gaps AS (SELECT instrument AS gi, date AS gd, "
         f"lag(datetime) OVER (PARTITION BY instrument, date ORDER BY datetime) AS a, datetime AS b FROM kept), spans AS "
         f"(SELECT * FROM gaps WHERE date_diff('microsecond', a, b) / 1e6 > 300 AND date_diff('microsecond', a, b) / 1e6 < "

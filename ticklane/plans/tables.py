@@ -16,11 +16,10 @@ from ticklane.operators import repair as rp
 from ticklane.operators import ticks as tk
 from ticklane.operators.bars import strip_contract_prefix
 from ticklane.plans import oracle as o
-from ticklane.plans.catalog import add, rounded
+from ticklane.plans.catalog import add, date_text, rounded
 from ticklane.plans.evaluation import FACTORED, factored
 from ticklane.sources import files
 
-DATE = F.col("date").cast("string").alias("date")
 KEYS_SQL = "tscode, CAST(date AS VARCHAR) AS date"
 CHUNK = 400
 
@@ -45,7 +44,7 @@ def config(market) -> DataFrame:
 
 
 def _pairs(df: DataFrame, *more) -> DataFrame:
-    return df.select("tscode", DATE, *more)
+    return df.select("tscode", date_text(), *more)
 
 
 def _register_calendar() -> None:
@@ -57,7 +56,7 @@ def _register_calendar() -> None:
         f"FROM config WHERE status = 0 GROUP BY tscode")
     add("m02_invalid_pairs", lambda m: _pairs(cal.invalid_pairs(config(m))),
         f"WITH {BASE} SELECT DISTINCT {KEYS_SQL} FROM config WHERE status IN (1, 2)")
-    add("m02_invalid_dates", lambda m: cal.invalid_dates(config(m), (2,)).select(DATE),
+    add("m02_invalid_dates", lambda m: cal.invalid_dates(config(m), (2,)).select(date_text()),
         f"WITH {BASE} SELECT DISTINCT CAST(date AS VARCHAR) AS date FROM config WHERE status = 2")
     status = lambda df: df.groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
     add("m03_update_status", lambda m: status(rp.set_status(config(m), config(m).where("is_st = 1"), 2)),
@@ -82,12 +81,12 @@ def _register_calendar() -> None:
         F.col("end_date").cast("string").alias("end_date")),
         f"WITH {contracts} SELECT product, instrument, CAST(min(date) AS VARCHAR) AS start_date, CAST(max(date) AS VARCHAR) AS "
         f"end_date FROM calendar GROUP BY ALL")
-    add("m08_dates_outside", lambda m: cal.dates_outside(m.contract_calendar(), "2024-01-05", "2024-01-25").select(DATE),
+    add("m08_dates_outside", lambda m: cal.dates_outside(m.contract_calendar(), "2024-01-05", "2024-01-25").select(date_text()),
         f"WITH {contracts} SELECT DISTINCT CAST(date AS VARCHAR) AS date FROM calendar WHERE date < '2024-01-05' OR date > "
         f"'2024-01-25'")
-    add("m09_main_contracts", lambda m: cal.main_contracts(m.contract_calendar()).select("product", DATE, "instrument"),
+    add("m09_main_contracts", lambda m: cal.main_contracts(m.contract_calendar()).select("product", date_text(), "instrument"),
         f"WITH {contracts} SELECT product, CAST(date AS VARCHAR) AS date, instrument FROM calendar WHERE is_main = 0")
-    add("t15_main_contract_of_each_date", lambda m: m.contract_calendar().select("product", "instrument", DATE, "is_main"),
+    add("t15_main_contract_of_each_date", lambda m: m.contract_calendar().select("product", "instrument", date_text(), "is_main"),
         f"WITH {contracts} SELECT product, instrument, CAST(date AS VARCHAR) AS date, CAST(is_main AS INTEGER) AS is_main FROM "
         f"calendar")
     days = lambda m: m.contract_calendar().select("date").distinct()
@@ -100,11 +99,11 @@ def _register_calendar() -> None:
             single = f"CASE WHEN {step}(date, 4) OVER (ORDER BY date) IS NOT NULL THEN {single} END"
         add(name, lambda m, backward=backward, more=more: cal.neighbour_dates(
             days(m), 3, backward=backward, needs_more=more).select(
-            DATE, F.col("neighbour").cast("string").alias("neighbour"), F.concat_ws("|", "dates").alias("dates")),
+            date_text(), F.col("neighbour").cast("string").alias("neighbour"), F.concat_ws("|", "dates").alias("dates")),
             f"WITH {contracts}, d AS (SELECT DISTINCT date FROM calendar) SELECT CAST(date AS VARCHAR) AS date, CAST({single} AS "
             f"VARCHAR) AS neighbour, coalesce(array_to_string(list(date) OVER (ORDER BY date {frame}), '|'), '') AS dates FROM d")
     add("w14_trading_days_before", lambda m: cal.neighbour_dates(cal.trading_dates(config(m)), 2, ["tscode"]).select(
-        "tscode", DATE, F.col("neighbour").cast("string").alias("neighbour"), F.size("dates").cast("bigint").alias("n")),
+        "tscode", date_text(), F.col("neighbour").cast("string").alias("neighbour"), F.size("dates").cast("bigint").alias("n")),
         f"WITH {BASE}, d AS (SELECT DISTINCT tscode, date FROM config WHERE status = 0) SELECT {KEYS_SQL}, CAST(lag(date, 2) OVER w "
         f"AS VARCHAR) AS neighbour, count(*) OVER (PARTITION BY tscode ORDER BY date ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS n "
         f"FROM d WINDOW w AS (PARTITION BY tscode ORDER BY date)")
@@ -115,11 +114,11 @@ def _register_calendar() -> None:
         f"date, sum(n) OVER x AS n, sum(v) OVER x AS v FROM d WINDOW x AS (PARTITION BY tscode ORDER BY date ROWS BETWEEN 3 "
         f"PRECEDING AND 1 PRECEDING)) SELECT {KEYS_SQL}, CAST(n AS BIGINT) AS rows, CAST(v AS BIGINT) AS volume FROM w WHERE n IS "
         f"NOT NULL")
-    add("o05_latest_dates", lambda m: cal.latest_dates(m.contract_calendar(), 5).select(DATE),
+    add("o05_latest_dates", lambda m: cal.latest_dates(m.contract_calendar(), 5).select(date_text()),
         f"WITH {contracts} SELECT CAST(date AS VARCHAR) AS date FROM (SELECT DISTINCT date FROM calendar) ORDER BY 1 DESC LIMIT 5")
     quarters = lambda m: m.stock_ticks().select("date").distinct()
     add("m11_load_constituents", lambda m: cal.expand_intervals(m.constituents(), quarters(m)).select(
-        "product", DATE, "tscode", "status"),
+        "product", date_text(), "tscode", "status"),
         f"WITH {BASE}, d AS (SELECT DISTINCT date FROM ticks) SELECT DISTINCT product, CAST(date AS VARCHAR) AS date, tscode, 0 AS "
         f"status FROM constituents JOIN d ON date BETWEEN start_date AND end_date")
     runs = ("sets AS (SELECT product, date, list(DISTINCT tscode ORDER BY tscode) AS l FROM constituents JOIN (SELECT DISTINCT date "
@@ -161,7 +160,7 @@ def _register_joins() -> None:
         f"round(coalesce(b / nullif(t, 0), 0), 6) + 0.0 END AS ratio FROM grouped WHERE time >= '09:30:00.000'")
     add("j04_constituents_of_date", lambda m: cs.constituent_ticks(m.stock_ticks(), m.constituents()).groupBy(
         "product", "date").agg(F.count(F.lit(1)).alias("rows"), F.sum("volume").alias("volume")).select(
-        "product", DATE, "rows", "volume"),
+        "product", date_text(), "rows", "volume"),
         f"WITH {o.TICKS}, {o.MEMBERS} SELECT product, CAST(date AS VARCHAR) AS date, count(*) AS rows, CAST(sum(volume) AS BIGINT) "
         f"AS volume FROM ticks t JOIN constituents c ON t.tscode = c.tscode AND date BETWEEN start_date AND end_date GROUP BY ALL")
     add("j05_drop_invalid_pairs", lambda m: cs.constituent_ticks(
@@ -178,7 +177,7 @@ def _register_joins() -> None:
     daily = lambda m: m.stock_ticks().groupBy("tscode", "date").agg(F.min_by("price", "time").alias("open"))
     add("j07_t13_adjustment_factors", lambda m: ft.adjustment_factors(
         daily(m), daily(m).withColumn("open", F.col("open") * (1 + F.quarter("date") / 10)), ["tscode"]).select(
-        "tscode", DATE, rounded("value"), rounded("change")),
+        "tscode", date_text(), rounded("value"), rounded("change")),
         f"WITH {o.TICKS}, d AS (SELECT tscode, date, arg_min(price, time) AS open FROM ticks GROUP BY ALL), v AS (SELECT *, open * "
         f"(1 + quarter(date) / 10.0::DOUBLE) / open AS value FROM d) SELECT {KEYS_SQL}, {o.r('value')} AS value, "
         f"{o.r('value - lag(value) OVER (PARTITION BY tscode ORDER BY date)')} AS change FROM v")
@@ -212,7 +211,7 @@ def _register_joins() -> None:
         "instrument", "datetime", rounded(s.divide_or_zero("close", "close__lag1"), 6, "rate")),
         f"WITH {o.BARS} SELECT instrument, datetime, {o.r('coalesce(close / lag(close) OVER (PARTITION BY instrument, slot ORDER BY date), 0)')} AS rate FROM bars")
     add("j10_w10_duplicate_counts", lambda m: ex.auction_duplicates(m.raw_stock_ticks()).groupBy("tscode", "date", "time").agg(
-        F.max("repeats").alias("repeats")).select("tscode", DATE, "time", "repeats"),
+        F.max("repeats").alias("repeats")).select("tscode", date_text(), "time", "repeats"),
         f"WITH {o.RAW} SELECT {KEYS_SQL}, time, count(*) AS repeats FROM raw WHERE time >= '09:15:00.000' AND time < "
         f"'09:25:00.000' GROUP BY tscode, raw.date, time HAVING count(*) > 1")
     quarter = lambda m: m.stock_ticks().select(F.lit("IX").alias("product"), "date").distinct()
@@ -269,7 +268,7 @@ def _register_exploration() -> None:
         "instrument", "rows", since("first_time"), since("last_time")),
         f"WITH {o.BARS} SELECT instrument, count(*) AS rows, date_diff('microsecond', TIMESTAMP '2024-01-01', min(datetime)) AS "
         f"first_time, date_diff('microsecond', TIMESTAMP '2024-01-01', max(datetime)) AS last_time FROM trades GROUP BY 1")
-    add("g12_daily_counts", lambda m: ex.daily_counts(m.future_ticks(), ["instrument", "date"]).select("instrument", DATE, "rows"),
+    add("g12_daily_counts", lambda m: ex.daily_counts(m.future_ticks(), ["instrument", "date"]).select("instrument", date_text(), "rows"),
         f"WITH {o.BARS} SELECT instrument, CAST(date AS VARCHAR) AS date, count(*) AS rows FROM trades GROUP BY ALL")
     add("g14_monthly_stock_days", lambda m: ex.monthly_stock_days(m.stock_ticks()),
         f"WITH {o.TICKS} SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, count(DISTINCT (tscode, "
@@ -280,13 +279,13 @@ def _register_exploration() -> None:
         f"GROUP BY 1, 2")
     add("p05_p11_constituent_slice", lambda m: cs.constituent_ticks(m.stock_ticks(), m.constituents()).where(
         (F.col("product") == "ASIA") & F.col("date").between("1997-01-01", "1999-12-31")
-        & F.col("time").between("10:00:00.000", "14:00:00.000")).select("tscode", DATE, "time", rounded("price", 9)),
+        & F.col("time").between("10:00:00.000", "14:00:00.000")).select("tscode", date_text(), "time", rounded("price", 9)),
         f"WITH {o.TICKS}, {o.MEMBERS} SELECT t.tscode, CAST(date AS VARCHAR) AS date, time, round(price, 9) + 0.0 AS price FROM "
         f"ticks t JOIN constituents c ON t.tscode = c.tscode AND date BETWEEN start_date AND end_date WHERE product = 'ASIA' AND "
         f"date BETWEEN '1997-01-01' AND '1999-12-31' AND time BETWEEN '10:00:00.000' AND '14:00:00.000'")
-    slice_ = (F.col("instrument") == "view") & F.col("date").between("2024-01-03", "2024-01-06")
+    slice_ = lambda: (F.col("instrument") == "view") & F.col("date").between("2024-01-03", "2024-01-06")
     add("p14_u01_feeds_side_by_side", lambda m: ex.side_by_side(
-        {"first": m.bars(), "second": m.bars().withColumn("close", F.col("close") + 1)}, slice_).select(
+        {"first": m.bars(), "second": m.bars().withColumn("close", F.col("close") + 1)}, slice_()).select(
         "feed", "datetime", rounded("close", 4)),
         f"WITH {o.BARS} SELECT feed, datetime, round(close + d, 4) + 0.0 AS close FROM bars, (VALUES ('first', 0), ('second', 1)) "
         f"f(feed, d) WHERE instrument = 'view' AND date BETWEEN '2024-01-03' AND '2024-01-06'")
@@ -294,13 +293,13 @@ def _register_exploration() -> None:
         f"WITH {o.BARS} SELECT instrument, datetime, round(close, 4) + 0.0 AS close FROM bars WHERE pos % 7 = 0")
     add("o01_o03_first_and_last_row", lambda m: m.future_ticks().groupBy("instrument", "date").agg(
         F.min_by("last_price", "datetime").alias("first_price"), F.max_by("last_price", "datetime").alias("last_price")).select(
-        "instrument", DATE, rounded("first_price", 4), rounded("last_price", 4)).orderBy("instrument", "date"),
+        "instrument", date_text(), rounded("first_price", 4), rounded("last_price", 4)).orderBy("instrument", "date"),
         f"WITH {o.BARS} SELECT instrument, CAST(date AS VARCHAR) AS date, round(arg_min(last_price, datetime), 4) + 0.0 AS "
         f"first_price, round(arg_max(last_price, datetime), 4) + 0.0 AS last_price FROM trades GROUP BY ALL")
     add("p09_window_sample", lambda m: ex.window_sample(m.bars(), ["instrument"], "pos", 100, 2).select(
         "instrument", "datetime", rounded("close", 4)))
     add("p10_paired_sample", lambda m: ex.paired_sample(
-        raw(m), tk.clean_stock_ticks(raw(m)), ["tscode", "date"], 3).select("tscode", DATE, "time", "layer"))
+        raw(m), tk.clean_stock_ticks(raw(m)), ["tscode", "date"], 3).select("tscode", date_text(), "time", "layer"))
     add("p03_drop_incomplete", lambda m: tk.drop_incomplete(m.bars().withColumn(
         "gap", F.when(F.col("volume") > 0, F.col("volume")))).select("instrument", "datetime", "gap"),
         f"WITH {o.BARS} SELECT instrument, datetime, volume AS gap FROM bars WHERE volume > 0")
@@ -325,7 +324,7 @@ def _register_sets() -> None:
     add("u03_intersection", lambda m: busy(m).intersect(rich(m)), f"WITH {o.BARS} {a} INTERSECT {b}")
     add("u04_distinct_union", lambda m: busy(m).union(rich(m)).distinct(), f"WITH {o.BARS} {a} UNION {b}")
     add("u05_drop_duplicates_on_key", lambda m: m.future_ticks().select("instrument", "date").dropDuplicates(
-        ["instrument", "date"]).select("instrument", DATE),
+        ["instrument", "date"]).select("instrument", date_text()),
         f"WITH {o.BARS} SELECT DISTINCT instrument, CAST(date AS VARCHAR) AS date FROM trades")
     from ticklane.operators.quality import content_differences
     cols = lambda m: m.bars().select("instrument", "datetime", "volume")
@@ -338,7 +337,7 @@ def _register_sets() -> None:
 
 def _register_scalars() -> None:
     ticks = lambda m: m.raw_stock_ticks().select("tscode", "date", "time", "tick_order", "price", "close", "volume")
-    show = lambda m, *columns: ticks(m).select("tscode", DATE, F.col("tick_order").cast("bigint"), *columns)
+    show = lambda m, *columns: ticks(m).select("tscode", date_text(), F.col("tick_order").cast("bigint"), *columns)
     head = f"{KEYS_SQL}, CAST(tick_order AS BIGINT) AS tick_order"
     second = o.tick_second()
     add("f01_time_difference", lambda m: show(m, s.time_difference(F.lit("10:00:00.000"), "time").cast("bigint").alias("seconds")),
@@ -375,7 +374,7 @@ def _register_scalars() -> None:
              "WHEN st THEN 0.05 ELSE 0.1 END")
     add("f08_f09_price_limits", lambda m: m.stock_ticks().select(
         "tscode", "date", "time", "price", "close", (F.year("date") + 22).cast("string").alias("_y")).select(
-        "tscode", DATE, "time", s.price_limit_rate("tscode", F.concat("_y", F.lit("0901")), F.col("price") > 900).alias("rate"),
+        "tscode", date_text(), "time", s.price_limit_rate("tscode", F.concat("_y", F.lit("0901")), F.col("price") > 900).alias("rate"),
         s.nearly_equal(F.col("price") / F.col("close"), F.lit(1.0), 0.05).cast("int").alias("near")),
         f"WITH {o.TICKS}, x AS (SELECT *, CAST(year(date) + 22 AS VARCHAR) || '0901' AS day, price > 900 AS st FROM ticks) SELECT "
         f"{KEYS_SQL}, time, CAST({limit} AS DOUBLE) AS rate, CAST(abs(price / close - 1) < 0.05 AS INTEGER) AS near FROM x")
@@ -392,7 +391,7 @@ def _register_scalars() -> None:
         "SELECT o_orderkey, 'IF' || o_custkey AS contract, 'IF' AS product, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS stock FROM "
         "orders")
     add("f18_level_weighted_amounts", lambda m: m.stock_ticks().select(
-        "tscode", DATE, "time", *[rounded(s.weighted_levels(side, d), 3, f"{side}{d}") for side in ("bid", "ask") for d in (10, 5)]),
+        "tscode", date_text(), "time", *[rounded(s.weighted_levels(side, d), 3, f"{side}{d}") for side in ("bid", "ask") for d in (10, 5)]),
         f"WITH {o.TICKS} SELECT {KEYS_SQL}, time, " + ", ".join(
             f"round({o._levels(side, d, True)}, 3) + 0.0 AS {side}{d}" for side in ("bid", "ask") for d in (10, 5)) + " FROM ticks")
     add("f19_f21_parse_and_strip", lambda m: m.table("part").select(
@@ -427,7 +426,7 @@ def _register_layouts() -> None:
         return ticks.select(*[c.alias(f"_c{i}") for i, c in enumerate(named)], "surplus")
 
     add("p02_name_columns_by_position", lambda m: tk.name_stock_columns(positional(m)).select(
-        "tscode", DATE, "time", rounded("price", 9), rounded("bid_price1", 9), F.col("total_bid_volume").cast("bigint")),
+        "tscode", date_text(), "time", rounded("price", 9), rounded("bid_price1", 9), F.col("total_bid_volume").cast("bigint")),
         f"WITH {o.TICKS} SELECT {KEYS_SQL}, time, round(price, 9) + 0.0 AS price, round(bid_price1, 9) + 0.0 AS bid_price1, "
         f"CAST(total_bid_volume AS BIGINT) AS total_bid_volume FROM ticks")
     prefixed = lambda m: m.future_ticks().select(

@@ -51,6 +51,8 @@ def append_table(table: DataFrame, path: str) -> None:
 def read_stock_csv(spark: SparkSession, path: str, constituents: DataFrame | None = None,
                    encoding: str = "GBK") -> DataFrame:
     """Level-2 stock ticks from CSV with named columns, of constituents only if given."""
+    # Spark 4 reads encodings outside its short list only with this setting
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
     ticks = name_stock_columns(raw)
     text = {"tscode", "exchange_tscode", "date", "time", "transaction_flag", "bs_flag"}
