@@ -57,10 +57,15 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], bucket: str,
     )
 
 
+def _order_key(order: list[str]) -> Column:
+    # a single fixed-width column keeps min_by and max_by in a hash aggregate
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def previous_value(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: str,
                    name: str) -> DataFrame:
     """Value of the row before, across buckets: the first row of a bucket takes the last earlier one."""
-    lasts = df.groupBy(*keys, bucket).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    lasts = df.groupBy(*keys, bucket).agg(F.max_by(value, _order_key(order)).alias("_last"))
     earlier = Window.partitionBy(*keys).orderBy(bucket)
     carried = lasts.select(*keys, bucket, F.lag("_last").over(earlier).alias("_carry"))
     within = Window.partitionBy(*keys, bucket).orderBy(*order)
@@ -220,7 +225,7 @@ def _grouped_columns(df: DataFrame, groups: list[str], position: str, steps: lis
 
 def next_value(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: str, name: str) -> DataFrame:
     """Value of the row after, across buckets: the last row of a bucket takes the first later one."""
-    firsts = df.groupBy(*keys, bucket).agg(F.min_by(value, F.struct(*order)).alias("_next"))
+    firsts = df.groupBy(*keys, bucket).agg(F.min_by(value, _order_key(order)).alias("_next"))
     later = Window.partitionBy(*keys).orderBy(bucket)
     carried = firsts.select(*keys, bucket, F.lead("_next").over(later).alias("_carry"))
     within = Window.partitionBy(*keys, bucket).orderBy(*order)

@@ -88,8 +88,12 @@ def traded_volume(ticks: DataFrame, keys: list[str], order: list[str], bucket: s
 def slot_bars(trades: DataFrame, keys: list[str], session: Session, second: Column, order: list[str],
               price: str = "last_price", volume: str = "delta_volume", interest: str = "open_interest",
               include_close: bool = False) -> DataFrame:
-    """Open, close, high, low, volume, interest per non-empty slot. ``keys`` end with the date."""
-    moment = F.struct(*order)
+    """Open, close, high, low, volume, interest per non-empty slot. ``keys`` end with the date.
+
+    Give one fixed-width ``order`` column where possible: several make a struct, and Spark then sorts
+    the ticks before it aggregates them.
+    """
+    moment = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return (
         trades.withColumn("slot", session.slot(second, include_close))
         .where(F.col("slot").isNotNull())

@@ -72,21 +72,21 @@ SELECT instrument, CAST(date + to_seconds({label}) AS VARCHAR) AS datetime,
   interest FROM filled"""
     add("t03_session_with_noon_break", lambda m: b.session_bars(
         m.future_ticks().where("delta_volume > 0"), ["instrument", "date"], session, F.col("second"),
-        ["datetime", "tick_id"]).select(*shown()), f"WITH {broken}")
+        ["tick_order"]).select(*shown()), f"WITH {broken}")
 
     def cumulative(m):
         ticks = m.future_ticks().withColumn("hour", F.hour("datetime")).drop("delta_volume").join(
             m.future_ticks().select("tick_id", F.col("delta_volume").alias("k")), "tick_id")
-        return running_total(ticks, ["instrument", "date"], ["datetime", "tick_id"], "hour", "k", "volume")
+        return running_total(ticks, ["instrument", "date"], ["tick_order"], "hour", "k", "volume")
 
     add("t05_traded_volume", lambda m: b.traded_volume(
-        cumulative(m), ["instrument", "date"], ["datetime", "tick_id"], "hour").select(
+        cumulative(m), ["instrument", "date"], ["tick_order"], "hour").select(
         "instrument", "tick_id", "volume", "delta_volume"),
         f"WITH {o.BARS}, run AS (SELECT *, CAST(sum(delta_volume) OVER (PARTITION BY instrument, date ORDER BY datetime) AS "
         f"BIGINT) AS volume FROM trades) SELECT instrument, tick_id, volume, delta_volume FROM run WHERE delta_volume > 0")
     micro = lambda: F.timestamp_diff("MICROSECOND", F.col("date").cast("timestamp_ntz"), F.col("datetime")).alias("micros")
     add("t04_fill_future_gaps", lambda m: b.fill_gaps(
-        m.future_ticks().withColumn("hour", F.hour("datetime")), ["instrument", "date"], ["datetime", "tick_id"], "datetime",
+        m.future_ticks().withColumn("hour", F.hour("datetime")), ["instrument", "date"], ["tick_order"], "datetime",
         600.0, "hour").select("instrument", date_text(), micro(), "tick_id", F.col("filled").cast("int").alias("filled")),
         f"WITH {o.BARS}, ahead AS (SELECT *, date_diff('microsecond', datetime, lead(datetime) OVER (PARTITION BY instrument, "
         f"date ORDER BY datetime)) / 1e6 AS g0 FROM trades), gapped AS (SELECT *, CASE WHEN g0 >= 5400 THEN g0 - 5400 ELSE g0 "

@@ -141,10 +141,10 @@ def _register_rules() -> None:
         f"END AS INTEGER) AS result FROM counted LEFT JOIN halted USING (tscode, date)")
 
     def failed(market, rule):
-        return q.validate_stock_ticks(market.raw_stock_ticks(), [rule]).where("result = 1")
+        return q.validate_stock_ticks(market.stored_raw_ticks(), [rule]).where("result = 1")
 
     add("v22_recheck_failed_keys", lambda market: results(q.validate_stock_ticks(
-        t.clean_stock_ticks(market.raw_stock_ticks().join(failed(market, "zero_price"), ["tscode", "date"], "left_semi")),
+        t.clean_stock_ticks(market.stored_raw_ticks().join(failed(market, "zero_price"), ["tscode", "date"], "left_semi")),
         ["zero_price"])),
         f"WITH {o.CLEAN}, bad AS (SELECT tscode, date FROM raw GROUP BY ALL HAVING count(CASE WHEN price = 0 AND time > "
         f"'09:32:00.000' THEN 1 END) > 0), counted AS (SELECT tscode, date, count(*) AS n, count(CASE WHEN price = 0 AND "
@@ -174,7 +174,7 @@ def _register_rules() -> None:
         f"CAST(d.date AS VARCHAR) AS date FROM constituents c JOIN days d ON d.date BETWEEN start_date AND end_date "
         f"ANTI JOIN (SELECT DISTINCT tscode, date FROM ticks WHERE volume > 0) h ON h.tscode = c.tscode AND h.date = d.date")
     add("v21_content_differences", lambda market: q.content_differences(
-        shown(market.raw_stock_ticks()), shown(t.clean_stock_ticks(market.raw_stock_ticks()))).groupBy("surplus").agg(
+        shown(market.stored_raw_ticks()), shown(t.clean_stock_ticks(market.stored_raw_ticks()))).groupBy("surplus").agg(
         F.count(F.lit(1)).alias("rows")).select(F.col("surplus").cast("bigint").alias("surplus"), "rows"),
         f"WITH {o.CLEAN} SELECT 1 AS surplus, (SELECT count(*) FROM raw) - (SELECT count(*) FROM clean) AS rows")
     feeds = (f"target AS (SELECT instrument, date_trunc('second', datetime) AS datetime, arg_min(last_price, tick_id) AS p "
@@ -255,8 +255,10 @@ filled AS (SELECT * REPLACE (CASE WHEN copy > 0 THEN 0 ELSE volume END AS volume
 
 
 def _register_repairs() -> None:
-    raw = lambda m: m.raw_stock_ticks()
-    clean = lambda m: t.clean_stock_ticks(m.raw_stock_ticks())
+    # a repair reads the original layer for itself and for the organized one
+    raw = lambda m: m.stored_raw_ticks()
+    clean = lambda m: t.clean_stock_ticks(m.stored_raw_ticks())
+    single = lambda m: m.raw_stock_ticks()
     _ticks("x01_restore_auction_duplicates", lambda m: x.restore_auction_duplicates(clean(m), raw(m)),
            o.CLEAN + ", twice AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY tscode, date, time) AS n FROM raw "
                      "WHERE time >= '09:15:00.000' AND time < '09:25:00.000') WHERE n > 1), "
@@ -272,7 +274,7 @@ def _register_repairs() -> None:
                      "untraded SEMI JOIN good USING (tscode, date) WHERE time = '15:00:00.000' UNION ALL SELECT * FROM raw "
                      "ANTI JOIN good USING (tscode, date) WHERE time = '15:00:00.000' AND volume > 0 AND (tscode, date) IN "
                      "(SELECT (tscode, date) FROM untraded))", "joined")
-    _ticks("x03_carry_transaction_number", lambda m: x.carry_transaction_number(clean(m)),
+    _ticks("x03_carry_transaction_number", lambda m: x.carry_transaction_number(t.clean_stock_ticks(single(m))),
            o.CLEAN + f", fixed AS (SELECT * REPLACE (coalesce(last_value(nullif(transaction_number, 0) IGNORE NULLS) OVER "
                      f"({o.ROWS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), transaction_number) AS "
                      f"transaction_number) FROM clean)", "fixed")
@@ -292,7 +294,7 @@ ended AS (SELECT * FROM clean UNION ALL SELECT * EXCLUDE (hc, hn, lt) FROM close
     _ticks("x04_restore_close_records", lambda m: x.restore_close_records(clean(m), raw(m), step), ended, "ended")
     empty = ("emptied AS (SELECT * REPLACE (CASE WHEN num % 4 = 0 THEN 0 ELSE volume END AS volume, CASE WHEN num % 4 = 0 "
              "THEN 0 ELSE amount END AS amount) FROM clean)")
-    emptied = lambda m: clean(m).withColumns({
+    emptied = lambda m: t.clean_stock_ticks(single(m)).withColumns({
         c: F.when(number() % 4 == 0, F.lit(0)).otherwise(F.col(c)) for c in ("volume", "amount")})
     _ticks("x05_volume_from_totals", lambda m: x.volume_from_totals(emptied(m)),
            o.CLEAN + f", {empty}, shares AS (SELECT *, avg(CASE WHEN volume = 0 THEN 1.0::DOUBLE ELSE 0 END) OVER "
@@ -301,10 +303,10 @@ ended AS (SELECT * FROM clean UNION ALL SELECT * EXCLUDE (hc, hn, lt) FROM close
                      f"fixed AS (SELECT * REPLACE (CASE WHEN e AND volume = 0 THEN dv ELSE volume END AS volume, CASE WHEN e "
                      f"AND amount = 0 THEN da ELSE amount END AS amount) FROM shares)", "fixed")
     idle = f"daily_accumulated_volume - lag(daily_accumulated_volume) OVER ({o.ROWS}) = 0 AND volume > 0"
-    _ticks("x06_clear_untraded_volume", lambda m: x.clear_untraded_volume(raw(m)),
+    _ticks("x06_clear_untraded_volume", lambda m: x.clear_untraded_volume(single(m)),
            o.RAW + f", idle AS (SELECT *, {idle} AS i FROM raw), fixed AS (SELECT * REPLACE (CASE WHEN i THEN 0 ELSE volume "
                    f"END AS volume, CASE WHEN i THEN 0 ELSE amount END AS amount) FROM idle)", "fixed")
-    _ticks("x07_drop_repeat_records", lambda m: x.drop_repeat_records(raw(m)),
+    _ticks("x07_drop_repeat_records", lambda m: x.drop_repeat_records(single(m)),
            o.RAW + f", ranked AS (SELECT *, count(*) OVER (PARTITION BY tscode, date, time) AS n, row_number() OVER "
                    f"(PARTITION BY tscode, date, daily_accumulated_volume ORDER BY time, tick_order) AS rn FROM raw)",
            "ranked", f"WHERE NOT ({o.IN_SESSION} AND n > 1) OR rn = 1")
@@ -316,7 +318,7 @@ ended AS (SELECT * FROM clean UNION ALL SELECT * EXCLUDE (hc, hn, lt) FROM close
         f"WITH {o.RAW}, bad AS ({bad_sql}) SELECT DISTINCT CAST(date AS VARCHAR) AS date, tscode, CAST(CASE WHEN (tscode, "
         f"date) IN (SELECT (tscode, date) FROM bad) THEN 2 ELSE 0 END AS INTEGER) AS status FROM raw")
     add("x15_reset_small_issues", lambda m: status(x.reset_small_issues(
-        config(m).withColumn("status", F.lit(2)), q.validate_stock_ticks(m.raw_stock_ticks(), ["level_missing"]), 12)),
+        config(m).withColumn("status", F.lit(2)), q.validate_stock_ticks(m.stored_raw_ticks(), ["level_missing"]), 12)),
         f"WITH {flagged_ctes()}, counted AS (SELECT tscode, date, {rule_sql()['level_missing']} AS c FROM flagged GROUP BY "
         f"ALL) SELECT CAST(date AS VARCHAR) AS date, tscode, CAST(CASE WHEN c BETWEEN 1 AND 12 THEN 0 ELSE 2 END AS INTEGER) "
         f"AS status FROM counted")
@@ -332,7 +334,7 @@ ended AS (SELECT * FROM clean UNION ALL SELECT * EXCLUDE (hc, hn, lt) FROM close
         f"WITH {o.CLEAN}, marked AS (SELECT *, time >= '09:30:00.000' AND time < '14:57:00.000' AND NOT coalesce(abs(abs("
         f"(price - close) / nullif(close, 0)) - {limit}) < 0.001, false) AS ob FROM clean), fixed AS (SELECT {others}, {fix} "
         f"FROM marked c LEFT JOIN ticks p USING (tscode, date, time)) SELECT {SHOWN_SQL}, {BOOK_SQL} FROM fixed")
-    add("x10_swap_bid_ask", lambda m: book(t.swap_book_sides(raw(m))),
+    add("x10_swap_bid_ask", lambda m: book(t.swap_book_sides(single(m))),
         f"WITH {o.RAW} SELECT {SHOWN_SQL}, round(ask_price1, 9) + 0.0 AS bid_price1, round(bid_price1, 9) + 0.0 AS ask_price1, "
         f"round(ask_price3, 9) + 0.0 AS bid_price3 FROM raw")
     bumped = lambda m: clean(m).withColumns({c: F.col(c) + 1 for c in t.BOOK_COLUMNS})

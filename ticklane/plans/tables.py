@@ -299,7 +299,7 @@ def _register_exploration() -> None:
     add("p09_window_sample", lambda m: ex.window_sample(m.bars(), ["instrument"], "pos", 100, 2).select(
         "instrument", "datetime", rounded("close", 4)))
     add("p10_paired_sample", lambda m: ex.paired_sample(
-        raw(m), tk.clean_stock_ticks(raw(m)), ["tscode", "date"], 3).select("tscode", date_text(), "time", "layer"))
+        m.stored_raw_ticks(), tk.clean_stock_ticks(m.stored_raw_ticks()), ["tscode", "date"], 3).select("tscode", date_text(), "time", "layer"))
     add("p03_drop_incomplete", lambda m: tk.drop_incomplete(m.bars().withColumn(
         "gap", F.when(F.col("volume") > 0, F.col("volume")))).select("instrument", "datetime", "gap"),
         f"WITH {o.BARS} SELECT instrument, datetime, volume AS gap FROM bars WHERE volume > 0")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticklane import constants as K
-from ticklane.functions.scalar import level_amount, time_string, whole_seconds
+from ticklane.functions.scalar import time_string, whole_seconds
 from ticklane.functions.series import with_position
 from ticklane.operators.bars import continuous_session, session_bars
 
@@ -31,6 +31,7 @@ HOURLY = continuous_session(3600)
 SIDES = ("bid", "ask")
 JOIN_DATE = "1998-01-01"
 FIRST_TRADE_DAY = 28
+ORDER_IDS = 1 << 26
 
 
 class Market:
@@ -42,6 +43,7 @@ class Market:
         self._bars: DataFrame | None = None
         self._raw_ticks: DataFrame | None = None
         self._ticks: DataFrame | None = None
+        self._defects: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -52,11 +54,16 @@ class Market:
         events = self.table("events")
         ts = F.col("ts").cast("timestamp_ntz")
         second = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+        # time within the day, then the low bits of the id: one fixed-width key lets first and last
+        # values be picked in a hash aggregate, without sorting the ticks
+        micros = F.timestamp_diff("MICROSECOND", ts.cast("date").cast("timestamp_ntz"), ts)
+        tick_order = micros * ORDER_IDS + F.pmod(F.col("event_id"), F.lit(ORDER_IDS))
         return events.select(
             F.col("event_type").alias("instrument"),
             ts.cast("date").alias("date"),
             ts.alias("datetime"),
             F.col("event_id").alias("tick_id"),
+            tick_order.alias("tick_order"),
             second.alias("second"),
             (F.col("value") + 100).alias("last_price"),
             F.get_json_object("props", "$.k").cast("bigint").alias("delta_volume"),
@@ -72,7 +79,7 @@ class Market:
         if self._bars is None:
             trades = self.future_ticks().where(F.col("delta_volume") > 0)
             self._bars = session_bars(trades, ["instrument", "date"], HOURLY, F.col("second"),
-                                      ["datetime", "tick_id"]).persist()
+                                      ["tick_order"]).persist()
         return with_position(self._bars, BAR_KEYS, ["slot"], "date")
 
     def release(self) -> None:
@@ -137,29 +144,35 @@ class Market:
             F.last("price").over(Window.partitionBy("tscode", "date").orderBy("time").rowsBetween(
                 Window.unboundedPreceding, Window.unboundedFollowing)).alias("_day_close"),
             *book,
+            *[F.sum(f"_{name}_volume").over(day.rowsBetween(1 - K.BOOK_DEPTH, 0)).alias(f"total_{name}_volume")
+              for name in SIDES],
+            *[F.sum(F.col(f"_{name}_price") * F.col(f"_{name}_volume")).over(day.rowsBetween(1 - depth, 0))
+              .alias(f"grade{depth}_{name}_amount") for depth in (10, 5) for name in SIDES],
         )
         dates = Window.partitionBy("tscode").orderBy("date", "time")
         previous = F.when(F.row_number().over(day) == 1, F.lag("_day_close").over(dates))
         ticks = ticks.withColumn("close", F.coalesce(F.first(previous).over(so_far), F.col("open"))) \
             .drop("_day_close")
-        for name in SIDES:
-            volume = sum((F.col(f"{name}_volume{i}") for i in range(2, K.BOOK_DEPTH + 1)), F.col(f"{name}_volume1"))
-            ticks = ticks.withColumn(f"total_{name}_volume", volume)
-            ticks = ticks.withColumn(
-                f"weighted_average_{name}_price",
-                F.coalesce(F.try_divide(level_amount(name, K.BOOK_DEPTH), F.col(f"total_{name}_volume")), F.lit(0.0)))
-        for depth in (10, 5):
-            for name in SIDES:
-                ticks = ticks.withColumn(f"grade{depth}_{name}_amount", level_amount(name, depth))
-        return ticks
+        # level k is the tick k-1 rows ago, so the book totals above are rolling sums
+        return ticks.withColumns({
+            f"weighted_average_{name}_price": F.coalesce(
+                F.try_divide(F.col(f"grade10_{name}_amount"), F.col(f"total_{name}_volume")), F.lit(0.0))
+            for name in SIDES})
 
     def raw_stock_ticks(self) -> DataFrame:
         """The stock ticks with the defects the quality rules look for, placed by a rule on stock and time.
 
         Repeated rows, zero prices and transaction numbers, volume without a trade, off-grid times,
         rows inside the noon break, closing trades at and after 15:00. ``tick_order`` is the file order.
-        It stands for the stored original layer that validation and repair read several times in one
-        job, so it is persisted (memory, then disk).
+        """
+        if self._defects is None:
+            self._defects = self._defective_ticks()
+        return self._defects
+
+    def stored_raw_ticks(self) -> DataFrame:
+        """The same rows for jobs that read the original layer several times.
+
+        It stands for the stored original layer, so it is persisted (memory, then disk).
         """
         if self._raw_ticks is None:
             self._raw_ticks = self._defective_ticks().persist()
