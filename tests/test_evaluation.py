@@ -66,6 +66,10 @@ def test_scores_and_reports(spark, table):
     ties = rp.extreme_days(spark.createDataFrame([("a", f"d{i}", float(v)) for i, v in enumerate([1, 5, 5, 3])],
                                                  "k string, date string, mean double"), ["k"], 1, ("mean",)).toPandas()
     assert sorted(ties[ties.side == "largest"].date) == ["d1", "d2"]
+    made = rp.factor_reports(table, ["factor", "other"], {
+        "stability": lambda df, value: rp.daily_stability(df, value, ["instrument", "date"]),
+        "moments": lambda df, value: rp.moments(df, value, KEYS)})
+    assert len(made) == 4 and made["moments", "other"].count() == 2
     bins = rp.histogram(table, "factor", 7).toPandas()
     assert bins["count"].sum() == table.count() and bins.bin.max() == 6
 

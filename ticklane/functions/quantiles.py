@@ -20,14 +20,15 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], keys
     values = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"))
     counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     cuts = values.groupBy(*keys).agg(
-        F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10_000).alias("_cuts"),
-        F.count(F.lit(1)).alias("_total"))
+        F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10_000).alias("_cuts"))
     # one row per key, each of fixed width
     ranged = (counted.join(cuts, keys) if keys else counted.crossJoin(F.broadcast(cuts)))
     ranged = ranged.withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))).drop("_cuts")
     sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    # at most ``ranges`` rows per key
+    starts = sizes.select(*keys, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+                          F.sum("_size").over(Window.partitionBy(*keys)).alias("_total"))
     within = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = ranged.join(starts, [*keys, "_range"]).withColumn("_end", F.col("_start") + F.sum("_c").over(within))
     at_rank = lambda rank: F.max(F.when((F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end")), F.col("_v")))

@@ -41,22 +41,31 @@ def with_position(df: DataFrame, keys: list[str], order: list[str], bucket: str,
     )
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: Column | str,
-                  name: str) -> DataFrame:
-    """Cumulative sum along each series, carried over buckets. Nulls count as zero."""
-    value = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0))
-    df = df.withColumn("_value", value)
-    sums = df.groupBy(*keys, bucket).agg(F.sum("_value").alias("_sum"))
+def running_totals(df: DataFrame, keys: list[str], order: list[str], bucket: str,
+                   values: dict[str, Column | str]) -> DataFrame:
+    """Cumulative sums along each series, carried over buckets; ``values`` maps result names to what is
+    added up. Nulls count as zero."""
+    summed = {f"_value_{name}": F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0))
+              for name, value in values.items()}
+    df = df.withColumns(summed)
+    sums = df.groupBy(*keys, bucket).agg(*[F.sum(f"_value_{name}").alias(f"_sum_{name}") for name in values])
     earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*keys, bucket, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carry"))
+    carried = sums.select(*keys, bucket, *[
+        F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_carry_{name}") for name in values])
     within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         df.join(carried, [*keys, bucket])
-        .withColumn(name, F.col("_carry") + F.sum("_value").over(within))
-        .drop("_carry", "_value")
+        .withColumns({name: F.col(f"_carry_{name}") + F.sum(f"_value_{name}").over(within) for name in values})
+        .drop(*[f"{part}_{name}" for name in values for part in ("_carry", "_value")])
     )
 
 
+def running_total(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: Column | str,
+                  name: str) -> DataFrame:
+    """One cumulative sum along each series."""
+    return running_totals(df, keys, order, bucket, {name: value})
+
+
 def _order_key(order: list[str]) -> Column:
     # a single fixed-width column keeps min_by and max_by in a hash aggregate
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklane.functions.quantiles import exact_quantiles
-from ticklane.functions.series import CHUNK_ROWS, SeriesColumns, running_total
+from ticklane.functions.series import CHUNK_ROWS, SeriesColumns, running_totals
 
 
 
@@ -178,10 +178,9 @@ def profit_curve(trades: DataFrame, moment: str = "datetime", bucket: str = "dat
     points = trades.groupBy(bucket, moment).agg(
         F.coalesce(F.sum("trade_ret"), F.lit(0.0)).alias("profit"),
         _amount_when(long, "trade_ret").alias("long_profit"), _amount_when(short, "trade_ret").alias("short_profit"))
-    curve = points.withColumn("_all", F.lit(1))
-    for name in ("profit", "long_profit", "short_profit"):
-        curve = running_total(curve, ["_all"], [moment], bucket, name, f"total_{name}")
-    return curve.drop("_all")
+    names = ("profit", "long_profit", "short_profit")
+    return running_totals(points.withColumn("_all", F.lit(1)), ["_all"], [moment], bucket,
+                          {f"total_{name}": name for name in names}).drop("_all")
 
 
 def merge_profits(trades: DataFrame, products: list[str], keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +117,12 @@ def extreme_days(daily: DataFrame, keys: list[str], k: int, columns=("mean", "st
     return result
 
 
+def factor_reports(table: DataFrame, values: list[str],
+                   reports: dict[str, Callable[[DataFrame, str], DataFrame]]) -> dict[tuple[str, str], DataFrame]:
+    """Every report for every factor column, by (report, column)."""
+    return {(name, value): report(table, value) for name, report in reports.items() for value in values}
+
+
 def training_summary(data: DataFrame, date: str = "date", share: float = 0.75) -> DataFrame:
     """Rows, first and last date, number of dates and the date at ``share`` of them."""
     dates = data.groupBy(date).agg(F.count(F.lit(1)).alias("_rows"))

@@ -34,6 +34,11 @@ factored AS (SELECT *, coalesce({o.ratio(f"close - (({o.full('max', 'high', 20)}
   coalesce({o.ratio(o.full('avg', 'volume', 10), o.full('avg', 'volume', 20))}, 0) AS momentum FROM returned)"""
 
 
+def minute_of_day():
+    """Bucket of a tick: small enough for one task whatever contract it belongs to."""
+    return F.hour("datetime") * 60 + F.minute("datetime")
+
+
 def returned(market) -> DataFrame:
     table = b.forward_returns(market.bars(), KEYS, minutes=(1, 2, 5), bars_per_minute=1, chunk_rows=CHUNK)
     return table.withColumnsRenamed({f"ret__{n}": f"ret{n}" for n in (1, 2, 5)})
@@ -75,19 +80,18 @@ SELECT instrument, CAST(date + to_seconds({label}) AS VARCHAR) AS datetime,
         ["tick_order"]).select(*shown()), f"WITH {broken}")
 
     def cumulative(m):
-        ticks = m.future_ticks().withColumn("hour", F.hour("datetime")).drop("delta_volume").join(
-            m.future_ticks().select("tick_id", F.col("delta_volume").alias("k")), "tick_id")
-        return running_total(ticks, ["instrument", "date"], ["tick_order"], "hour", "k", "volume")
+        ticks = m.future_ticks().withColumn("minute", minute_of_day()).withColumnRenamed("delta_volume", "k")
+        return running_total(ticks, ["instrument", "date"], ["tick_order"], "minute", "k", "volume")
 
     add("t05_traded_volume", lambda m: b.traded_volume(
-        cumulative(m), ["instrument", "date"], ["tick_order"], "hour").select(
+        cumulative(m), ["instrument", "date"], ["tick_order"], "minute").select(
         "instrument", "tick_id", "volume", "delta_volume"),
         f"WITH {o.BARS}, run AS (SELECT *, CAST(sum(delta_volume) OVER (PARTITION BY instrument, date ORDER BY datetime) AS "
         f"BIGINT) AS volume FROM trades) SELECT instrument, tick_id, volume, delta_volume FROM run WHERE delta_volume > 0")
     micro = lambda: F.timestamp_diff("MICROSECOND", F.col("date").cast("timestamp_ntz"), F.col("datetime")).alias("micros")
     add("t04_fill_future_gaps", lambda m: b.fill_gaps(
-        m.future_ticks().withColumn("hour", F.hour("datetime")), ["instrument", "date"], ["tick_order"], "datetime",
-        600.0, "hour").select("instrument", date_text(), micro(), "tick_id", F.col("filled").cast("int").alias("filled")),
+        m.future_ticks().withColumn("minute", minute_of_day()), ["instrument", "date"], ["tick_order"], "datetime",
+        600.0, "minute").select("instrument", date_text(), micro(), "tick_id", F.col("filled").cast("int").alias("filled")),
         f"WITH {o.BARS}, ahead AS (SELECT *, date_diff('microsecond', datetime, lead(datetime) OVER (PARTITION BY instrument, "
         f"date ORDER BY datetime)) / 1e6 AS g0 FROM trades), gapped AS (SELECT *, CASE WHEN g0 >= 5400 THEN g0 - 5400 ELSE g0 "
         f"END AS g FROM ahead), copied AS (SELECT *, unnest(range(0, 1 + CASE WHEN g > 600 THEN CAST(ceil(round(g / 600, 6)) "

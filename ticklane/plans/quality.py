@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.operators import bars as bar_ops
+from ticklane.operators import calendar as cal
 from ticklane.operators import quality as q
 from ticklane.operators import repair as x
 from ticklane.operators import ticks as t
@@ -164,11 +165,9 @@ def _register_rules() -> None:
         F.col("issue_count").cast("bigint").alias("issue_count")),
         f"WITH {o.BARS}, {gaps} SELECT instrument, CAST(date AS VARCHAR) AS date, count(*) AS record_count, "
         f"count(CASE WHEN {seconds} > 300 AND {seconds} < 5400 THEN 1 END) AS issue_count FROM gaps GROUP BY ALL")
-    calendar = lambda market: market.constituents().crossJoin(F.broadcast(
-        market.stock_ticks().select("date").distinct())).where(F.col("date").between(
-            F.col("start_date"), F.col("end_date"))).select("product", "tscode", "date")
+    expected = lambda market: cal.expand_intervals(market.constituents(), market.stock_ticks().select("date"))
     add("v20_missing_stocks", lambda market: q.missing_stocks(
-        calendar(market), market.stock_ticks().where("volume > 0")).select(
+        expected(market), market.stock_ticks().where("volume > 0")).select(
         "product", "tscode", F.col("date").cast("string").alias("date")),
         f"WITH {o.TICKS}, {o.MEMBERS}, days AS (SELECT DISTINCT date FROM ticks) SELECT product, c.tscode, "
         f"CAST(d.date AS VARCHAR) AS date FROM constituents c JOIN days d ON d.date BETWEEN start_date AND end_date "
