@@ -122,13 +122,13 @@ def patch_book_levels(data: DataFrame, patch: DataFrame) -> DataFrame:
 
     ``patch`` has tscode, date, time and the level columns.
     """
-    renamed = patch.select(*KEYS, "time", *[F.col(c).alias(f"_p_{c}") for c in BOOK_COLUMNS])
+    levels = patch.select(*KEYS, "time", F.struct(*BOOK_COLUMNS).alias("_patch"))
     change = F.try_divide(F.col("price") - F.col("close"), F.col("close"))
     limit = price_limit_rate("tscode", swap_date_format(F.col("date").cast("string")))
     open_book = (F.col("time") >= K.SESSION_START) & (F.col("time") < K.CLOSING_AUCTION_START) \
         & ~F.coalesce(nearly_equal(F.abs(change), limit), F.lit(False))
-    joined = data.join(renamed, [*KEYS, "time"], "left").withColumn("_open_book", open_book)
-    fixed = {c: F.when(F.col("_open_book") & (F.col(c) == 0), F.coalesce(F.col(f"_p_{c}"), F.col(c)))
+    joined = data.join(levels, [*KEYS, "time"], "left").withColumn("_open_book", open_book)
+    fixed = {c: F.when(F.col("_open_book") & (F.col(c) == 0), F.coalesce(F.col(f"_patch.{c}"), F.col(c)))
              .otherwise(F.col(c)) for c in BOOK_COLUMNS}
     return joined.withColumns(fixed).select(*data.columns)
 
@@ -136,12 +136,13 @@ def patch_book_levels(data: DataFrame, patch: DataFrame) -> DataFrame:
 def restore_book_levels(data: DataFrame, raw: DataFrame) -> DataFrame:
     """Undo a patch: where a raw row has a zero level, take all levels from it."""
     zero = F.exists(F.array(*[F.col(c).cast("double") for c in BOOK_COLUMNS]), lambda v: v == 0)
-    source = raw.where(zero)
-    latest = F.row_number().over(Window.partitionBy(*KEYS, "time").orderBy(F.desc("tick_order")))
-    source = source.withColumn("_rank", latest).where(F.col("_rank") == 1).select(
-        *KEYS, "time", F.lit(True).alias("_found"), *[F.col(c).alias(f"_r_{c}") for c in BOOK_COLUMNS])
+    # the levels travel as one struct: as forty renamed columns next to a condition on all of them they
+    # would make Catalyst derive the condition for every combination of names
+    book = F.struct(*BOOK_COLUMNS)
+    latest = F.max_by(F.when(zero, book), F.when(zero, F.col("tick_order")))
+    source = raw.groupBy(*KEYS, "time").agg(latest.alias("_raw_book"))
     joined = data.join(source, [*KEYS, "time"], "left")
-    return joined.withColumns({c: F.when(F.col("_found"), F.col(f"_r_{c}")).otherwise(F.col(c))
+    return joined.withColumns({c: F.when(F.col("_raw_book").isNotNull(), F.col(f"_raw_book.{c}")).otherwise(F.col(c))
                                for c in BOOK_COLUMNS}).select(*data.columns)
 
 
