@@ -6,9 +6,9 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklane.functions.scalar import nan_to_null
@@ -73,7 +73,6 @@ def part_correlations(predictions: DataFrame, label: str, split, days: int = 10,
     tagged = predictions.withColumn("part", part)
     # distinct dates of two parts
     dates = tagged.select("part", date).distinct()
-    from pyspark.sql import Window
     early = dates.withColumn("_n", F.row_number().over(Window.partitionBy("part").orderBy(date))) \
         .where(F.col("_n") <= days).drop("_n")
     whole = tagged.groupBy("part").agg(F.corr(PREDICTION, label).alias("correlation"))
@@ -134,18 +133,14 @@ def load(path: str) -> PipelineModel:
 
 
 def standardize(train: DataFrame, test: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Scale to zero mean and unit deviation with the statistics of the training rows."""
-    from pyspark.ml.functions import vector_to_array
-
-    stages = Pipeline(stages=[
-        VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep"),
-        StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)])
-    model = stages.fit(train)
+    """Scale to zero mean and unit population deviation with the statistics of the training rows."""
+    # one row
+    row = train.agg(*[F.avg(c).alias(f"_mean_{c}") for c in features], *[F.stddev_pop(c).alias(f"_std_{c}") for c in features])
+    scale = lambda c: F.when(F.col(f"_std_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_std_{c}"))
 
     def scaled(df: DataFrame) -> DataFrame:
-        out = model.transform(df).withColumn("_values", vector_to_array("_scaled"))
-        # the reference scaler divides by the population deviation, Spark by the sample one
-        return out.withColumns({c: F.col("_values")[i] for i, c in enumerate(features)}).drop("_raw", "_scaled", "_values")
+        return df.crossJoin(F.broadcast(row)).withColumns(
+            {c: (F.col(c) - F.col(f"_mean_{c}")) / scale(c) for c in features}).select(*df.columns)
 
     return scaled(train), scaled(test)
 

@@ -432,7 +432,7 @@ def _register_training() -> None:
     add("f17_standardize", lambda m: tr.standardize(
         *tr.split_by_date(factored(m).select(*key, *features), "2024-01-20 00:00:00"), features)[1].select(
         *key, *[rounded(f, 5) for f in features]),
-        f"WITH {FACTORED}, s AS (SELECT " + ", ".join(f"avg({f}) AS m_{f}, stddev_samp({f}) AS s_{f}" for f in features)
+        f"WITH {FACTORED}, s AS (SELECT " + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in features)
         + " FROM factored WHERE datetime < '2024-01-20 00:00:00') SELECT instrument, datetime, " + ", ".join(
             f"{o.r(f'({f} - m_{f}) / s_{f}', 5)} AS {f}" for f in features)
         + " FROM factored, s WHERE datetime >= '2024-01-20 00:00:00'")
