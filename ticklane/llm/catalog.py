@@ -25,6 +25,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_line_dedup")
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from ticklane.llm.line_templates import drop_recurring_lines
+
+    return drop_recurring_lines(table(spark, folder, "documents")).select("doc_id", "n_dropped", "text")
+
+
 @query("op2_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from ticklane.llm.simhash import near_duplicates
