@@ -97,3 +97,10 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op10_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from ticklane.llm.sentence_spans import drop_repeated_spans
+
+    return drop_repeated_spans(table(spark, folder, "documents")).select("doc_id", "n_removed", "n_removed_words", "text")

@@ -82,7 +82,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     named = (nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
              .join(smallest, "root", "left")
              .select("fingerprint", F.coalesce("component_id", "first").alias("component_id")))
-    return (marked.join(named, "fingerprint", "left")
+    # one row a fingerprint, stored so that a fingerprint of very many copies can be split in the join
+    return (marked.join(stored(named), "fingerprint", "left")
             .select(F.col("doc_id").alias(id_column), "fingerprint", "component_id"))
 
 
