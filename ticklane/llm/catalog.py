@@ -104,3 +104,13 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from ticklane.llm.sentence_spans import drop_repeated_spans
 
     return drop_repeated_spans(table(spark, folder, "documents")).select("doc_id", "n_removed", "n_removed_words", "text")
+
+
+@query("op5_token_counts")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from ticklane.llm.token_counts import count_tokens, sentencepiece_vocabulary
+
+    vocabulary = sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(table(spark, folder, "documents"), vocabulary)
