@@ -114,3 +114,13 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     vocabulary = sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     return count_tokens(table(spark, folder, "documents"), vocabulary)
+
+
+@query("op8_packing")
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from ticklane.llm.packing import pack, tokenized_pieces
+
+    pieces = tokenized_pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
