@@ -26,6 +26,8 @@ STRETCH = 64
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+# explode_outer throughout: for a plain explode the optimizer adds a test for empty arrays before it, and copies
+# the array's whole computation into that test
 def word_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(ascii_lower(text), NOT_WORD), ""), lambda word: F.xxhash64(word))
 
@@ -56,7 +58,7 @@ def benchmark_windows(benchmark: DataFrame, id_column: str, text_column: str) ->
     """``item``, ``window`` (hashes of its words), ``fingerprint`` (null for items of fewer than ten words)."""
     items = benchmark.select(F.col(id_column).alias("item"), word_hashes(F.col(text_column)).alias("words"))
     items = with_fingerprints(items.filter(F.size("words") > 0))
-    long = items.filter(F.size("words") >= WINDOW).select("item", "words", F.posexplode("smallest").alias("at", "fingerprint"))
+    long = items.select("item", "words", F.posexplode_outer("smallest").alias("at", "fingerprint")).filter(F.col("at").isNotNull())
     return (long.select("item", F.slice("words", F.col("at") + 1, WINDOW).alias("window"), "fingerprint")
             .union(items.filter(F.size("words") < WINDOW)
                    .select("item", F.col("words").alias("window"), F.lit(None).cast("long"))).distinct())
@@ -84,7 +86,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 .otherwise(F.size("smallest") + 1) - i + (WINDOW - 1)).alias("below")))
     whole = F.array(F.struct(F.col("key_text").alias("fingerprint"), F.lit(0).alias("start"),
                              F.size("words").alias("n_words"), none.alias("below")))
-    seeds = (rows.select("id", "key_id", "key_text", F.explode(F.concat(whole, stretch)).alias("s"))
+    seeds = (rows.select("id", "key_id", "key_text", F.explode_outer(F.concat(whole, stretch)).alias("s"))
              .select("id", "key_id", "key_text", "s.*")
              .join(prints.withColumn("known", F.lit(True)), "fingerprint", "left")
              .filter(F.col("known") | (F.col("start") == 0)))
@@ -98,10 +100,10 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     for length in short:
         runs = docs.select(*row_key(doc_id, doc_text), word_hashes(F.col(doc_text)).alias("words"))
         candidates = candidates.union(
-            runs.select("key_id", "key_text", F.explode(F.transform(
+            runs.select("key_id", "key_text", F.explode_outer(F.transform(
                 _starts(1, F.size("words") - (length - 1)),
                 lambda i: F.struct(i.alias("start"), F.slice("words", i, length).alias("window")))).alias("s"))
-            .select("key_id", "key_text", "s.*"))
+            .filter(F.col("s").isNotNull()).select("key_id", "key_text", "s.*"))
     hits = candidates.join(targets, "window").select(
         "key_id", "key_text", "start", F.size("window").alias("length"), "window").distinct()
     return counts, stored(hits), windows.select("item", "window")

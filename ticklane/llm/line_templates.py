@@ -49,7 +49,8 @@ def parsed_lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
     rows = docs.select(*row_key(id_column, text_column), F.split(F.coalesce(F.col(text_column), F.lit("")), "\n").alias("lines"))
     rows = rows.select(*KEY, F.transform("lines", masked).alias("lines"))
     rows = rows.withColumn("leaves", F.transform("lines", _leaf)).withColumn("family", F.array_min("leaves"))
-    lines = rows.select(*KEY, "family", F.explode(F.transform("lines", lambda line, i: F.struct(
+    # not a plain explode: the optimizer would compute the whole array once more, to test that it is not empty
+    lines = rows.select(*KEY, "family", F.explode_outer(F.transform("lines", lambda line, i: F.struct(
         i.alias("line_no"), line.alias("masked"), F.get(F.col("leaves"), i).alias("leaf")))).alias("l")).select(*KEY, "family", "l.*")
     return lines.filter(_tokens_of(F.col("masked")) >= MIN_TOKENS)
 
