@@ -124,3 +124,10 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
 
     pieces = tokenized_pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+@query("op6_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from ticklane.llm.quality import score
+
+    return score(table(spark, folder, "documents"), table(spark, folder, "labels"))
