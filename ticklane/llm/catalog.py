@@ -128,9 +128,10 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_quality_classifier")
 def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    from ticklane.llm.quality import score
+    from ticklane.llm.quality import is_kept, with_quality
 
-    return score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    scored = with_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "quality_scores.p_junk", "quality_scores.p_toxic", is_kept().alias("keep"))
 
 
 WARC_SQL = """

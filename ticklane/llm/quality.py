@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm.shared import stored
@@ -225,10 +225,10 @@ def co_train(sample: Sample, y: np.ndarray) -> Head:
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _rows(docs: DataFrame, id_column: str, text_column: str, lang: str, source: str, chars: str) -> DataFrame:
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"),
-                       F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"),
-                       F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(chars).cast("double").alias("n_chars"))
+def _columns(id_column: str, text_column: str, lang: str, source: str, chars: str) -> list[Column]:
+    return [F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"),
+            F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"),
+            F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(chars).cast("double").alias("n_chars")]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> dict[str, Head]:
@@ -276,26 +276,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     return {"junk": co_train(sample, junk), "toxic": co_train(sample, toxic)}
 
 
-def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
-          source_column: str = "source", chars_column: str = "n_chars", threshold: float = 0.5,
-          max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
-    """One row per input row: its id, ``p_junk``, ``p_toxic`` (doubles between 0 and 1) and ``keep`` (both below ``threshold``).
+def with_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
+                 source_column: str = "source", chars_column: str = "n_chars", name: str = "quality_scores",
+                 max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
+    """The documents, all columns, with ``name`` (``p_junk`` and ``p_toxic``, doubles between 0 and 1).
 
     Null and empty texts are texts without words; null language, source and size are values of their own. Without
     labels of both classes of a question its probability is the labelled share, 0 without labels. Equal rows
-    give equal rows; other columns are left out; an empty table gives no rows.
+    give equal rows; an empty table gives no rows.
     """
-    rows = _rows(docs, id_column, text_column, lang_column, source_column, chars_column)
-    heads = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, max_labelled, max_pool))
+    columns = _columns(id_column, text_column, lang_column, source_column, chars_column)
+    heads = docs.sparkSession.sparkContext.broadcast(fit(docs.select(*columns), labels, max_labelled, max_pool))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = words_of(batch.column(1))
-            rates, meta = shape_rates(words), metadata(pa.Table.from_batches([batch]).to_pandas())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(heads.value[head].probability(words, rates, meta)) for head in HEADS)],
-                ["doc_id", "p_junk", "p_toxic"])
-
-    return (rows.mapInArrow(scored, "doc_id long, p_junk double, p_toxic double")
-            .select(F.col("doc_id").alias(id_column), "p_junk", "p_toxic",
-                    ((F.col("p_junk") < threshold) & (F.col("p_toxic") < threshold)).alias("keep")))
+    @F.arrow_udf("struct<p_junk: double, p_toxic: double>")
+    def probabilities(texts: pa.Array, langs: pa.Array, sources: pa.Array, chars: pa.Array) -> pa.Array:
+        words = words_of(texts)
+        frame = pa.table({"text": texts, "lang": langs, "source": sources, "n_chars": chars}).to_pandas()
+        rates, meta = shape_rates(words), metadata(frame)
+        return pa.StructArray.from_arrays([pa.array(heads.value[head].probability(words, rates, meta)) for head in HEADS],
+                                          ["p_junk", "p_toxic"])
+
+    return docs.withColumn(name, probabilities(*columns[1:]))
+
+
+def is_kept(name: str = "quality_scores", threshold: float = 0.5) -> Column:
+    """Neither junk nor toxic."""
+    return (F.col(f"{name}.p_junk") < threshold) & (F.col(f"{name}.p_toxic") < threshold)
