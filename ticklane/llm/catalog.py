@@ -152,3 +152,11 @@ def warc(spark: SparkSession, folder: str) -> DataFrame:
     index = write_index(write_archives(pages))
     records = read_records(lookup(index, wanted_keys(spark, pages)))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_lm_scores")
+def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    from ticklane.llm.lm_scores import cross_entropy_difference
+
+    good = table(spark, folder, "labels").filter("quality = 1 AND toxic = 0")
+    return cross_entropy_difference(table(spark, folder, "documents"), good)
