@@ -27,8 +27,49 @@ from ticklane.llm.shared import stored
 REPRESENTATIVES = 16
 ITERATIONS = 200
 BUCKET_ROWS = 200_000
-# tokens gathered at once in a task
+# tokens gathered, and words encoded, at once in a task
 BLOCK = 2_000_000
+WORDS_AT_ONCE = 10_000
+# how special tokens begin; they are found before letters are lower-cased
+SPECIAL = "<|"
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def encode_words(words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all words, one after the other, and how many each has.
+
+    Many words are encoded as one text, which saves an object per word; tokens are given to words by where they begin.
+    A full stop or comma after a plain letter is a token of its own, so words are encoded without it.
+    """
+    bare = [word[:-1] if word[-1:] in (".", ",") and word[-2:-1].isascii() and word[-2:-1].isalpha() and "'" not in word else word
+            for word in words]
+    place = {word: number for number, word in enumerate(dict.fromkeys([*bare, ".", ","]))}
+    different = list(place)
+    ids, owners = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype="int64")]
+    for i in range(0, len(different), WORDS_AT_ONCE):
+        part = different[i:i + WORDS_AT_ONCE]
+        begins = np.cumsum([0] + [len(word) + 1 for word in part[:-1]])
+        found = tokenizer.encode(" ".join(part), add_special_tokens=False)
+        at = np.fromiter((begin for begin, _ in found.offsets), dtype="int64", count=len(found.ids))
+        ids.append(np.array(found.ids, dtype="<u4"))
+        owners.append(i + np.searchsorted(begins, at, side="right") - 1)
+    pool = np.concatenate(ids)
+    counts = np.bincount(np.concatenate(owners), minlength=len(different))
+    starts = np.cumsum(counts) - counts
+    word = np.fromiter((place[word] for word in bare), dtype="int64", count=len(bare))
+    ends = np.fromiter((place[w[-1]] if len(w) != len(b) else -1 for w, b in zip(words, bare)), dtype="int64", count=len(bare))
+    sizes = counts[word] + (ends >= 0)
+    flat = np.zeros(int(sizes.sum()), dtype="<u4")
+    own = np.ones(len(flat), dtype=bool)
+    tails = np.cumsum(sizes)[ends >= 0] - 1
+    own[tails] = False
+    flat[own] = pool[_ranges(starts[word], counts[word])]
+    flat[tails] = pool[starts[ends[ends >= 0]]]
+    return flat, sizes
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 0,
@@ -36,9 +77,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, e
     """A row per piece: ``doc_id``, ``piece`` (from 0), ``start`` (tokens before it), ``length`` and ``ids`` (little-endian
     unsigned 32-bit token ids).
 
-    A document is its token ids, then ``end_id``; null and empty texts are ``end_id`` alone. The tokenizer must drop
-    white space, so that the different words of a batch are encoded once each. The file at ``tokenizer_path`` must
-    be there on the executors.
+    A document is its token ids, then ``end_id``; null and empty texts are ``end_id`` alone. The tokenizer must lower
+    letters, drop white space and split words from signs, so that the different words of a batch are encoded once
+    each. The file at ``tokenizer_path`` must be there on the executors.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,16 +90,13 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, e
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         for batch in batches:
-            lists = pc.ascii_split_whitespace(batch.column(1))
+            texts = batch.column(1)
+            if not pc.any(pc.match_substring(texts, SPECIAL)).as_py():
+                texts = pc.ascii_lower(texts)
+            lists = pc.ascii_split_whitespace(texts)
             coded = lists.flatten().dictionary_encode()
             codes, offsets = coded.indices.to_numpy(), lists.offsets.to_numpy()
-            words, sizes = [np.zeros(0, dtype="<u4")], []
-            vocabulary = coded.dictionary.to_pylist()
-            for i in range(0, len(vocabulary), 20_000):
-                found = [encoding.ids for encoding in tokenizer.encode_batch_fast(vocabulary[i:i + 20_000], add_special_tokens=False)]
-                sizes += map(len, found)
-                words.append(np.fromiter((token for ids in found for token in ids), dtype="<u4"))
-            pool, sizes = np.concatenate(words), np.array(sizes, dtype="int64")
+            pool, sizes = encode_words(coded.dictionary.to_pylist(), tokenizer)
             begins = np.cumsum(sizes) - sizes
             before = np.r_[0, np.cumsum(sizes[codes])]
             ends = before[offsets[1:]]
@@ -68,7 +106,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, e
                 last = max(first + 1, int(np.searchsorted(ends, before[offsets[first]] + BLOCK)))
                 part = codes[offsets[first]:offsets[last]]
                 n = sizes[part]
-                flat = pool[np.repeat(begins[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                flat = pool[_ranges(begins[part], n)]
                 stops = ends[first:last] - before[offsets[first]]
                 flat = np.insert(flat, stops, end_id)
                 stops = stops + np.arange(1, last - first + 1)
