@@ -145,11 +145,11 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
 def drop_similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5,
                            similarity: float = 0.8) -> DataFrame:
-    """The document with the smallest id of each group, with all columns; of rows with one id one stays.
+    """The document with the smallest id of each group, with all columns; of rows with one id and text one stays.
 
-    Rows, ties, nulls and empty tables are treated as in ``similar_documents``.
+    Nulls and empty tables are treated as in ``similar_documents``.
     """
     groups = similar_documents(docs, id_column, text_column, width, similarity)
     kept = groups.filter(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("kept_id")).distinct()
     return (docs.join(kept, docs[id_column].eqNullSafe(kept["kept_id"]), "left_semi")
-            .dropDuplicates([id_column]))
+            .dropDuplicates([id_column, text_column]))
