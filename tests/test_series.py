@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import per_series
 from ticklane.functions import series as sr
 from ticklane.functions.quantiles import exact_quantiles
+from ticklane.sources.market import Market
 
 KEYS = ["instrument"]
 
@@ -24,15 +25,13 @@ def test_rolling_equals_pandas_for_any_chunking(bars, bars_pd, kind, rows):
     both(bars, bars_pd, columns, name, lambda p: getattr(p["close"].rolling(rows), rule)())
 
 
-def test_wide_windows_by_running_sum(bars, bars_pd, monkeypatch):
-    monkeypatch.setattr(sr, "PREFIX_FROM", 10)
+def test_wide_windows(bars, bars_pd):
     columns = sr.SeriesColumns()
     name = columns.rolling("avg", "close", 60)
     both(bars, bars_pd, columns, name, lambda p: p["close"].rolling(60).mean())
 
 
-def test_running_sum_waits_for_full_windows_with_nulls(spark, bars, bars_pd, monkeypatch):
-    monkeypatch.setattr(sr, "PREFIX_FROM", 2)
+def test_sums_wait_for_full_windows_with_nulls(spark, bars, bars_pd):
     holes = bars.withColumn("x", F.when(F.col("pos") % 13 != 4, F.col("close")))
     columns = sr.SeriesColumns()
     name = columns.rolling("sum", "x", 6)
@@ -86,3 +85,38 @@ def test_exact_quantiles(spark, size):
         np.testing.assert_allclose(row["quantiles"], frame[frame.k == row["k"]]["v"].quantile(shares))
     whole = exact_quantiles(spark.createDataFrame(frame), "v", shares, ranges=8).collect()
     np.testing.assert_allclose(whole[0]["quantiles"], frame["v"].quantile(shares))
+
+
+def test_wide_windows_follow_the_same_rule_at_every_length(spark):
+    rows = 700
+    values = np.ones(rows)
+    values[0] = 1e17
+    frame = pd.DataFrame({"instrument": "A", "pos": np.arange(rows, dtype="int64"), "spike": values,
+                          "hole": np.where(np.arange(rows) == 3, np.nan, 1.0)})
+    frame["gap"] = frame["hole"].astype(object).where(frame["hole"].notna(), None)
+    df = spark.createDataFrame(frame.drop(columns="gap")).withColumn("gap", F.when(~F.isnan("hole"), F.col("hole")))
+    for length in (255, 256, 300):
+        for chunk in (50, 20_000):
+            columns = sr.SeriesColumns()
+            names = [columns.rolling("avg", c, length) for c in ("spike", "hole", "gap")]
+            last = columns.apply(df, ["instrument"], "pos", chunk).where("pos = 600").first()
+            assert [last[n] for n in names] == [1.0, 1.0, 1.0], (length, chunk)
+
+
+def test_positions_may_be_negative(spark):
+    df = spark.createDataFrame([("A", i - 30, float(i)) for i in range(60)], "instrument string, pos long, x double")
+    for chunk in (5, 7, 400):
+        columns = sr.SeriesColumns()
+        columns.lag("x", 3)
+        columns.lead("x", 2)
+        found = {r.pos: (r["x__lag3"], r["x__lead2"]) for r in columns.apply(df, ["instrument"], "pos", chunk).collect()}
+        assert found == {i - 30: (float(i - 3) if i >= 3 else None, float(i + 2) if i < 58 else None) for i in range(60)}
+
+
+def test_ticks_of_one_moment_keep_the_order_of_their_ids(spark, tmp_path):
+    ids = [1 << 26, 1, -5, (1 << 63) - 1, 1 << 40]
+    spark.sql("SELECT TIMESTAMP '2024-01-01 10:00:00' AS ts").crossJoin(spark.createDataFrame([(i,) for i in ids], "event_id long")) \
+        .selectExpr("event_id", "ts", "7L AS user_id", "'click' AS event_type", "CAST(event_id % 1000 AS DOUBLE) AS value",
+                    "'{\"k\": 1}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    ticks = Market(spark, str(tmp_path)).future_ticks()
+    assert [r.tick_id for r in ticks.orderBy("tick_order").collect()] == sorted(ids)

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_ROWS = 20_000
-PREFIX_FROM = 256
 
 
 def with_position(df: DataFrame, keys: list[str], order: list[str], bucket: str, name: str = "pos") -> DataFrame:
@@ -133,8 +132,6 @@ class SeriesColumns:
         aggregate = aggregate or ROLLING[kind]
 
         def build(w: WindowSpec) -> Column:
-            if kind in ("avg", "sum") and rows >= PREFIX_FROM:
-                return _prefix_sum(w, column, rows, average=kind == "avg")
             frame = w.rowsBetween(1 - rows, 0)
             return F.when(F.count(column).over(frame) == rows, aggregate(F.col(column)).over(frame))
 
@@ -171,7 +168,10 @@ class SeriesColumns:
 
     def apply(self, df: DataFrame, keys: list[str], position: str = "pos", chunk_rows: int = CHUNK_ROWS,
               keep: Iterable[str] | None = None) -> DataFrame:
-        """Compute all recorded columns. ``position`` numbers the rows of each series from 0.
+        """Compute all recorded columns. ``position`` numbers the rows of each series without holes.
+
+        Windows count rows and chunks are cut by position, so a hole in the numbers would lose rows at a
+        chunk's edge: number them with :func:`with_position`.
 
         ``keep`` lists the recorded columns to return besides the input columns (default: all).
         """
@@ -179,7 +179,7 @@ class SeriesColumns:
         chunk_rows = max(chunk_rows, 1)
         first = F.floor((F.col(position) - self.rows_ahead) / chunk_rows)
         last = F.floor((F.col(position) + self.rows_back) / chunk_rows)
-        chunked = df.withColumn("_chunk", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+        chunked = df.withColumn("_chunk", F.explode(F.sequence(first, last)))
         window = Window.partitionBy(*keys, "_chunk").orderBy(position)
         for level in range(1, max(self._level.values(), default=0) + 1):
             steps = [step for step in self._steps if self._level[step[1]] == level]
@@ -204,17 +204,6 @@ ROLLING: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def _prefix_sum(w: WindowSpec, column: str, rows: int, average: bool) -> Column:
-    # constant work per row instead of re-reading a wide frame
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    until = w.rowsBetween(Window.unboundedPreceding, -rows)
-    origin = F.first(F.col(column), ignorenulls=True).over(running)
-    # values relative to the first one keep the running sums small
-    total = F.sum(F.col(column)).over(running) - F.coalesce(F.sum(F.col(column)).over(until), F.lit(0))
-    present = F.count(F.col(column)).over(running) - F.count(F.col(column)).over(until)
-    return F.when((present == rows) & origin.isNotNull(), total / rows if average else total)
-
-
 def _grouped_columns(df: DataFrame, groups: list[str], position: str, steps: list[tuple]) -> DataFrame:
     """Columns that Spark windows cannot express, for all chunks in one grouped map."""
     schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for _, name, _ in steps]])

@@ -291,8 +291,8 @@ def _large_amount(side: str) -> dict:
     }
 
 
-for _number, _side in ((13, "bid"), (14, "ask")):
-    _add(f"FCT_02_0{_number}_{_side.upper()}_LARGE_AMOUNT_BILL", **_large_amount(_side))
+_add("FCT_02_013_BID_LARGE_AMOUNT_BILL", **_large_amount("bid"))
+_add("FCT_02_014_ASK_LARGE_AMOUNT_BILL", **_large_amount("ask"))
 
 
 def _change_rate(factor: SpotFactor, params: tuple) -> dict[str, Column]:
@@ -381,9 +381,9 @@ def index_size(default: float | None = None) -> Column:
     return size
 
 
-for _number, _rising in ((24, True), (25, False)):
-    _name = "rising" if _rising else "falling"
-    _add(f"FCT_02_0{_number}_{_name.upper()}_LIMIT_STOCK_PROPORTION", session=False, sums=_limit_sums(_rising),
+for _code, _name in (("FCT_02_024_RISING_LIMIT_STOCK_PROPORTION", "rising"),
+                     ("FCT_02_025_FALLING_LIMIT_STOCK_PROPORTION", "falling")):
+    _add(_code, session=False, sums=_limit_sums(_name == "rising"),
          value=lambda factor, params, name=_name: {factor.code: F.try_divide(F.col(f"{name}_limit"), F.col("_size"))})
 
 
@@ -417,14 +417,21 @@ def _book(side: str, depth: str, deviation: bool) -> dict:
             "first": lambda: {f"_ratio_{side}_{depth}": divide_or_zero("amount_all", f"book_{side}_{depth}")}}
 
 
-for _number, (_side, _depth) in zip(range(26, 32), [
-        ("BID", "TOTAL"), ("ASK", "TOTAL"), ("BID", "10_GRADE"), ("ASK", "10_GRADE"), ("BID", "5_GRADE"),
-        ("ASK", "5_GRADE")]):
-    _add(f"FCT_02_0{_number}_AMOUNT_{_side}_{_depth}_COMMISSION_RATIO", **_book(_side, _depth, False))
-for _number, (_side, _depth) in zip(range(50, 56), [
-        ("BID", "TOTAL"), ("BID", "10_GRADE"), ("BID", "5_GRADE"), ("ASK", "TOTAL"), ("ASK", "10_GRADE"),
-        ("ASK", "5_GRADE")]):
-    _add(f"FCT_02_0{_number}_AMOUNT_{_side}_{_depth}_COMMISSION_RATIO_STD", **_book(_side, _depth, True))
+# fixed values: published codes with side, depth and whether the deviation is taken
+for _code, _side, _depth, _deviation in (
+        ("FCT_02_026_AMOUNT_BID_TOTAL_COMMISSION_RATIO", "BID", "TOTAL", False),
+        ("FCT_02_027_AMOUNT_ASK_TOTAL_COMMISSION_RATIO", "ASK", "TOTAL", False),
+        ("FCT_02_028_AMOUNT_BID_10_GRADE_COMMISSION_RATIO", "BID", "10_GRADE", False),
+        ("FCT_02_029_AMOUNT_ASK_10_GRADE_COMMISSION_RATIO", "ASK", "10_GRADE", False),
+        ("FCT_02_030_AMOUNT_BID_5_GRADE_COMMISSION_RATIO", "BID", "5_GRADE", False),
+        ("FCT_02_031_AMOUNT_ASK_5_GRADE_COMMISSION_RATIO", "ASK", "5_GRADE", False),
+        ("FCT_02_050_AMOUNT_BID_TOTAL_COMMISSION_RATIO_STD", "BID", "TOTAL", True),
+        ("FCT_02_051_AMOUNT_BID_10_GRADE_COMMISSION_RATIO_STD", "BID", "10_GRADE", True),
+        ("FCT_02_052_AMOUNT_BID_5_GRADE_COMMISSION_RATIO_STD", "BID", "5_GRADE", True),
+        ("FCT_02_053_AMOUNT_ASK_TOTAL_COMMISSION_RATIO_STD", "ASK", "TOTAL", True),
+        ("FCT_02_054_AMOUNT_ASK_10_GRADE_COMMISSION_RATIO_STD", "ASK", "10_GRADE", True),
+        ("FCT_02_055_AMOUNT_ASK_5_GRADE_COMMISSION_RATIO_STD", "ASK", "5_GRADE", True)):
+    _add(_code, **_book(_side, _depth, _deviation))
 
 
 # --- volatility of the book ----------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklane.functions.quantiles import exact_quantiles
+from ticklane.session import cut_lineage
 from ticklane.functions.series import CHUNK_ROWS, SeriesColumns, running_totals
 
 
@@ -139,6 +140,8 @@ def signal_flags(data: DataFrame, signal: str, amount: str, keys: list[str], ret
     flag = F.when(F.col(amount) < least_amount, 0).otherwise(flag)
     traded = rows.withColumn("flag", flag).withColumn(
         "trade_ret", F.try_divide(F.col(exit_open) - F.col("open"), F.col("open")) * F.col("flag"))
+    # stored once: the number of trades and the rows are two passes
+    traded = cut_lineage(traded)
     active = traded.groupBy(*keys).agg(F.sum(F.abs("flag")).alias("_trades")).where(F.col("_trades") >= least_trades)
     return traded.join(active, keys, "left_semi").select(*data.columns, "flag", "trade_ret")
 
@@ -184,8 +187,10 @@ def profit_curve(trades: DataFrame, moment: str = "datetime", bucket: str = "dat
 
 
 def merge_profits(trades: DataFrame, products: list[str], keys: list[str]) -> DataFrame:
-    """One column per product, 0 where a product has no row at a time."""
-    return trades.groupBy(*keys).pivot("product", products).agg(F.sum("trade_ret")).na.fill(0.0, products)
+    """One column per product, 0 where a product has no row at a time; products not listed add up in ``other``."""
+    of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("trade_ret"))), F.lit(0.0))
+    listed = F.coalesce(F.col("product").isin(products), F.lit(False))
+    return trades.groupBy(*keys).agg(*[of(F.col("product") == product).alias(product) for product in products], of(~listed).alias("other"))
 
 
 def prediction_scores(data: DataFrame, predict: str, real: str, keys: list[str] | None = None) -> DataFrame:

@@ -101,11 +101,17 @@ def monthly_stock_days(ticks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("stock_days"))
 
 
+def _hash_order(seed: int, keys: list[str]) -> Column:
+    """The same random-looking order on any cluster and after any retry."""
+    return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(key).cast("string") for key in keys]))
+
+
 def window_sample(data: DataFrame, keys: list[str], position: str, rows: int, picks: int, seed: int = 7) -> DataFrame:
     """``rows`` consecutive rows from a random start in each of ``picks`` randomly chosen key groups."""
     groups = data.groupBy(*keys).agg(F.max(position).alias("_max"))
-    chosen = groups.orderBy(F.rand(seed)).limit(picks).withColumn(
-        "_start", F.floor(F.rand(seed + 1) * F.greatest(F.col("_max") - rows + 2, F.lit(1))))
+    place = F.conv(F.substring(_hash_order(seed + 1, keys), 1, 12), 16, 10).cast("bigint")
+    chosen = groups.orderBy(_hash_order(seed, keys)).limit(picks).withColumn(
+        "_start", place % F.greatest(F.col("_max") - rows + 2, F.lit(1)))
     return data.join(chosen, keys).where(
         (F.col(position) >= F.col("_start")) & (F.col(position) < F.col("_start") + rows)).drop("_max", "_start")
 
@@ -113,7 +119,7 @@ def window_sample(data: DataFrame, keys: list[str], position: str, rows: int, pi
 def paired_sample(left: DataFrame, right: DataFrame, keys: list[str], picks: int, seed: int = 7) -> DataFrame:
     """Rows of both layers for randomly chosen keys that occur in both, tagged with their layer."""
     both = left.select(*keys).distinct().join(right.select(*keys).distinct(), keys, "left_semi")
-    chosen = both.orderBy(F.rand(seed)).limit(picks)
+    chosen = both.orderBy(_hash_order(seed, keys)).limit(picks)
     tag = lambda df, layer: df.join(chosen, keys, "left_semi").withColumn("layer", F.lit(layer))
     return tag(left, "original").unionByName(tag(right, "organized"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklane import constants as K
+from ticklane.functions.series import previous_value
 from ticklane.functions.scalar import nearly_equal, price_limit_rate, swap_date_format, time_string, whole_seconds
 from ticklane.operators.ticks import BOOK_COLUMNS, KEYS, in_session
 
@@ -176,12 +177,9 @@ def rebuild_closing_record(data: DataFrame, raw: DataFrame, step: int = K.STOCK_
 
 def gaps_of(ticks: DataFrame, low: float, high: float) -> DataFrame:
     """(instrument, date, gap_start, gap_end) of gaps between the two bounds, in seconds."""
-    minute = F.date_trunc("minute", F.col("datetime"))
-    edges = ticks.groupBy("instrument", "date", minute.alias("_minute")).agg(
-        F.min("datetime").alias("_first"), F.max("datetime").alias("_last"))
-    day = Window.partitionBy("instrument", "date").orderBy("_minute")
-    spans = edges.select("instrument", "date", F.lag("_last").over(day).alias("gap_start"),
-                         F.col("_first").alias("gap_end"))
+    minutes = ticks.select("instrument", "date", "datetime", F.date_trunc("minute", F.col("datetime")).alias("_minute"))
+    spans = previous_value(minutes, ["instrument", "date"], ["datetime"], "_minute", "datetime", "gap_start").select(
+        "instrument", "date", "gap_start", F.col("datetime").alias("gap_end"))
     seconds = F.timestamp_diff("MICROSECOND", F.col("gap_start"), F.col("gap_end")) / 1e6
     return spans.where((seconds > low) & (seconds < high))
 

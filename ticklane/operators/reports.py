@@ -62,11 +62,13 @@ def period_means(data: DataFrame, value: str, keys: list[str], length: int, date
         F.avg(value).alias("mean"))
 
 
-def describe_by_period(data: DataFrame, value: str, keys: list[str], periods: list[str], length: int = 7,
+def describe_by_period(data: DataFrame, value: str, keys: list[str], periods: list[str] | None = None, length: int = 7,
                        shares=(0.25, 0.5, 0.75), date: str = "date") -> DataFrame:
-    """Wide description: one group of columns per period of the list."""
+    """One row per key and period; with a list of periods one group of columns for each of these instead."""
     tagged = data.withColumn("period", F.col(date).cast("string").substr(1, length))
     described = distribution(tagged, value, [*keys, "period"], shares)
+    if periods is None:
+        return described
     return described.groupBy(*keys).pivot("period", periods).agg(
         *[F.first(c).alias(c) for c in ("count", "mean", "std")], *[F.first(share_name(s)).alias(share_name(s)) for s in shares])
 
@@ -103,18 +105,12 @@ def correlation(data: DataFrame, left: str, right: str, keys: list[str] | None =
 
 def extreme_days(daily: DataFrame, keys: list[str], k: int, columns=("mean", "std")) -> DataFrame:
     """Dates among the k largest or smallest daily values; ties of the k-th value are kept."""
-    parts = []
-    for column in columns:
-        present = daily.where(F.col(column).isNotNull())
-        for side, order in (("largest", F.col(column).desc()), ("smallest", F.col(column).asc())):
-            rank = F.rank().over(Window.partitionBy(*keys).orderBy(order))
-            parts.append(present.withColumn("place", rank).where(F.col("place") <= k).select(
-                *keys, "date", F.lit(column).alias("measure"), F.lit(side).alias("side"), "place",
-                F.col(column).alias("value")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    sides = F.array(*[F.struct(F.lit(column).alias("measure"), F.lit(side).alias("side"), F.col(column).alias("value"),
+                               (F.col(column) * sign).alias("_order"))
+                      for column in columns for side, sign in (("largest", -1), ("smallest", 1))])
+    rows = daily.select(*keys, "date", F.explode(sides).alias("_one")).select(*keys, "date", "_one.*").where(F.col("value").isNotNull())
+    place = F.rank().over(Window.partitionBy(*keys, "measure", "side").orderBy("_order"))
+    return rows.withColumn("place", place).where(F.col("place") <= k).select(*keys, "date", "measure", "side", "place", "value")
 
 
 def factor_reports(table: DataFrame, values: list[str],

@@ -155,9 +155,11 @@ def impute(table: DataFrame, means: list[str] = (), modes: list[str] = ()) -> Da
 
 
 def one_hot(table: DataFrame, column: str, levels: list[str]) -> DataFrame:
-    """One 0/1 column per level."""
-    return table.withColumns({f"{column}__{level}": F.when(F.col(column) == level, 1).otherwise(0) for level in levels}) \
-        .drop(column)
+    """One 0/1 column per level, and ``other`` for values that are none of them."""
+    other = F.when(F.col(column).isin(levels), 0).when(F.col(column).isNotNull(), 1).otherwise(0)
+    return table.withColumns({
+        **{f"{column}__{level}": F.when(F.col(column) == level, 1).otherwise(0) for level in levels},
+        f"{column}__other": other}).drop(column)
 
 
 def walk_forward(table: DataFrame, features: list[str], label: str, splits: list, moment: str = "date",

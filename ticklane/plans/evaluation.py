@@ -183,16 +183,13 @@ def _register_reports() -> None:
         rp.period_means(factored(m), "william", KEYS, 4)).select("instrument", "period", rounded("mean")),
         f"{with_factors} SELECT instrument, substr(CAST(date AS VARCHAR), 1, n) AS period, {o.r('avg(william)')} AS mean FROM "
         f"factored, (VALUES (4), (7)) lengths(n) GROUP BY 1, 2")
-    weeks = ["2024-01-0", "2024-01-1", "2024-01-2"]
-    add("g08_describe_by_period", lambda m: rp.describe_by_period(factored(m), "william", KEYS, weeks, 9).select(
-        "instrument", *[rounded(F.col(f"`{w}_{c}`"), 6, f"{c}_{i}") for i, w in enumerate(weeks)
-                        for c in ("count", "mean", "std", "p25", "p50", "p75")]),
-        f"{with_factors} SELECT instrument, " + ", ".join(
-            f"round({f} FILTER (WHERE substr(CAST(date AS VARCHAR), 1, 9) = '{w}'), 6) + 0.0 AS {n}_{i}"
-            for i, w in enumerate(weeks) for n, f in (
+    add("g08_describe_by_period", lambda m: rp.describe_by_period(factored(m), "william", KEYS, length=9).select(
+        "instrument", "period", *[rounded(c) for c in ("count", "mean", "std", "p25", "p50", "p75")]),
+        f"{with_factors} SELECT instrument, substr(CAST(date AS VARCHAR), 1, 9) AS period, " + ", ".join(
+            f"round({f}, 6) + 0.0 AS {n}" for n, f in (
                 ("count", "count(*)"), ("mean", "avg(william)"), ("std", "stddev_samp(william)"),
                 ("p25", "quantile_cont(william, 0.25)"), ("p50", "quantile_cont(william, 0.5)"),
-                ("p75", "quantile_cont(william, 0.75)"))) + " FROM factored GROUP BY instrument")
+                ("p75", "quantile_cont(william, 0.75)"))) + " FROM factored GROUP BY 1, 2")
     ranks = ", ".join(f"rank() OVER (PARTITION BY instrument, date ORDER BY {c}) + (count(*) OVER (PARTITION BY instrument, "
                       f"date, {c}) - 1) / 2.0 AS {n}" for c, n in (("william", "fr"), ("ret5", "rr")))
     ic = f"{with_factors}, ranked AS (SELECT *, {ranks} FROM factored), daily AS (SELECT instrument, date, corr(william, ret5) AS ic, corr(fr, rr) AS rank_ic FROM ranked GROUP BY ALL)"
@@ -208,9 +205,9 @@ def _register_reports() -> None:
         f"{ic} SELECT instrument, CAST(date AS VARCHAR) AS date, {o.r(clean('ic'))} AS ic FROM daily")
     add("g10_information_ratio", lambda m: rp.information_ratio(
         daily_ic(m).withColumn("ic", not_nan("ic")), KEYS).select("instrument", *[rounded(c) for c in ("mean", "std", "ratio")]),
-        f"{ic} SELECT instrument, {o.r(f'avg({clean(chr(105) + chr(99))})')} AS mean, "
-        f"{o.r(f'stddev_samp({clean(chr(105) + chr(99))})')} AS std, "
-        f"{o.r(f'avg({clean(chr(105) + chr(99))}) / stddev_samp({clean(chr(105) + chr(99))})')} AS ratio FROM daily GROUP BY instrument")
+        f"{ic} SELECT instrument, {o.r(f'avg({clean('ic')})')} AS mean, "
+        f"{o.r(f'stddev_samp({clean('ic')})')} AS std, "
+        f"{o.r(f'avg({clean('ic')}) / stddev_samp({clean('ic')})')} AS ratio FROM daily GROUP BY instrument")
     add("g11_moments", lambda m: rp.moments(factored(m), "william", KEYS).select(
         "instrument", *[rounded(c, 5) for c in ("kurtosis", "skewness", "mean", "std")]),
         f"{with_factors}, c AS (SELECT *, william - avg(william) OVER (PARTITION BY instrument) AS d FROM factored) SELECT "
@@ -230,10 +227,10 @@ def _register_reports() -> None:
         f"{measure} {order}) AS place, {measure} AS value FROM days WHERE {measure} IS NOT NULL"
         for measure in ("mean", "std") for side, order in (("largest", "DESC"), ("smallest", "ASC")))
     add("o04_extreme_days", lambda m: rp.extreme_days(
-        rp.daily_stability(factored(m).where("pos >= 24"), "momentum", ["instrument", "date"]), KEYS, 3).select(
+        rp.daily_stability(factored(m), "momentum", ["instrument", "date"]), KEYS, 3).select(
         "instrument", date_text(), "measure", "side", F.col("place").cast("bigint").alias("place"), rounded("value")),
         f"{with_factors}, days AS (SELECT instrument, date, avg(momentum) AS mean, stddev_samp(momentum) AS std FROM factored "
-        f"WHERE pos >= 24 GROUP BY ALL), ranked AS ({parts}) SELECT instrument, CAST(date AS VARCHAR) AS date, measure, side, "
+        f"GROUP BY ALL), ranked AS ({parts}) SELECT instrument, CAST(date AS VARCHAR) AS date, measure, side, "
         f"place, {o.r('value')} AS value FROM ranked WHERE place <= 3")
     add("f14_clip_outliers", lambda m: fs.clip_outliers(
         m.table("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice"), "l_extendedprice",
@@ -360,10 +357,11 @@ def _register_backtests() -> None:
             ("a", "total_profit"), ("l", "total_long_profit"), ("s", "total_short_profit"))) + " FROM points")
     names = ["click", "error", "purchase", "signup", "view"]
     add("j03_merge_product_profits", lambda m: e.merge_profits(flags(m), names, ["datetime"]).select(
-        "datetime", *[rounded(c) for c in names]),
+        "datetime", *[rounded(c) for c in (*names, "other")]),
         f"{flagged} SELECT datetime, " + ", ".join(
-            f"{o.r(f'coalesce(sum(trade_ret) FILTER (WHERE instrument = {chr(39)}{c}{chr(39)}), 0)')} AS {c}" for c in names)
-        + " FROM flagged GROUP BY datetime")
+            f"{o.r(f"coalesce(sum(trade_ret) FILTER (WHERE instrument = '{c}'), 0)")} AS {c}" for c in names)
+        + f", {o.r(f'coalesce(sum(trade_ret) FILTER (WHERE instrument NOT IN {tuple(names)}), 0)')} AS other "
+        "FROM flagged GROUP BY datetime")
     signals = lambda m: e.signal_flags(factored(m), "william", "volume", KEYS, 5, 24, 1.1, 20, 10,
                                        chunk_rows=CHUNK).withColumnRenamed("instrument", "product")
     rule = "CASE WHEN volume < 20 THEN 0 WHEN p > u * 1.1 THEN 1 WHEN p < -u * 1.1 THEN -1 ELSE 0 END"
@@ -407,11 +405,13 @@ def _register_training() -> None:
         .select(*key, rounded("william"), rounded("momentum"), rounded("ret5")),
         f"WITH {FACTORED} SELECT instrument, datetime, round(william * s, 6) + 0.0 AS william, {o.r('momentum')} AS momentum, "
         f"round(ret5 * s, 6) + 0.0 AS ret5 FROM factored, (VALUES (1), (-1)) sides(s)")
-    add("e15_stack_products", lambda m: tr.stack_products(
-        {c: returned(m).where(F.col("instrument") == c) for c in ("click", "view")}).groupBy("product").agg(
+    products = ["click", "error", "purchase", "signup", "view"]
+    add("e15_stack_products", lambda m: tr.stack_products({
+        **{c: returned(m).where(F.col("instrument") == c) for c in products},
+        "other": returned(m).where(~F.col("instrument").isin(products))}).groupBy("product").agg(
         F.count(F.lit(1)).alias("rows"), rounded(F.sum("ret5"), 5, "ret5")),
-        f"WITH {o.BARS}, {RETURNS} SELECT instrument AS product, count(*) AS rows, {o.r('sum(ret5)', 5)} AS ret5 FROM returned "
-        f"WHERE instrument IN ('click', 'view') GROUP BY 1")
+        f"WITH {o.BARS}, {RETURNS} SELECT CASE WHEN instrument IN {tuple(products)} THEN instrument ELSE 'other' END AS product, "
+        f"count(*) AS rows, {o.r('sum(ret5)', 5)} AS ret5 FROM returned GROUP BY 1")
     add("e09_split_by_date", lambda m: tr.split_by_date(factored(m), "2024-01-20 00:00:00")[0].withColumn("part", F.lit("train"))
         .unionByName(tr.split_by_date(factored(m), "2024-01-20 00:00:00")[1].withColumn("part", F.lit("test")))
         .groupBy("part").agg(F.count(F.lit(1)).alias("rows")),
@@ -436,15 +436,16 @@ def _register_training() -> None:
         + " FROM factored WHERE datetime < '2024-01-20 00:00:00') SELECT instrument, datetime, " + ", ".join(
             f"{o.r(f'({f} - m_{f}) / s_{f}', 5)} AS {f}" for f in features)
         + " FROM factored, s WHERE datetime >= '2024-01-20 00:00:00'")
+    types = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     add("f20_impute_and_one_hot", lambda m: tr.one_hot(tr.impute(m.table("part").select(
         "p_partkey", F.when(F.col("p_size") % 5 != 0, F.col("p_size")).cast("double").alias("p_size"),
         F.when(F.col("p_partkey") % 7 != 0, F.col("p_type")).alias("p_type")), ["p_size"], ["p_type"]), "p_type",
-        ["ECONOMY", "SMALL"]).select("p_partkey", rounded("p_size"), "p_type__ECONOMY", "p_type__SMALL"),
+        types).select("p_partkey", rounded("p_size"), *[f"p_type__{c}" for c in (*types, "other")]),
         "WITH h AS (SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_size::DOUBLE END AS p_size, CASE WHEN p_partkey % 7 <> 0 "
         "THEN p_type END AS p_type FROM part), s AS (SELECT avg(p_size) AS a FROM h), o AS (SELECT p_type AS t FROM h WHERE p_type "
         "IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT p_partkey, round(coalesce(p_size, a), 6) + 0.0 AS p_size, "
-        "CAST(coalesce(p_type, t) = 'ECONOMY' AS INTEGER) AS \"p_type__ECONOMY\", CAST(coalesce(p_type, t) = 'SMALL' AS INTEGER) AS "
-        "\"p_type__SMALL\" FROM h, s, o")
+        + ", ".join(f"CAST(coalesce(p_type, t) = '{c}' AS INTEGER) AS \"p_type__{c}\"" for c in types)
+        + f", CAST(coalesce(p_type, t) NOT IN {tuple(types)} AS INTEGER) AS p_type__other FROM h, s, o")
     small = tr.BoostConfig(max_iter=4, max_depth=3)
     add("e10_boosted_trees", lambda m: _fit_and_predict(m, features, small))
     add("e11_grid_search", lambda m: tr.grid_search(
@@ -464,8 +465,9 @@ def _fit_and_predict(market, features: list[str], config: tr.BoostConfig) -> Dat
 
 def _tabular(market, config: tr.BoostConfig) -> DataFrame:
     parts = market.table("part").withColumn("p_size", F.col("p_size").cast("double"))
-    model = tr.tabular_pipeline(["p_size"], ["p_type"], "p_retailprice", config=config).fit(parts)
-    return e.prediction_scores(model.transform(parts), "prediction", "p_retailprice")
+    held_out = F.col("p_partkey") % 4 == 0
+    model = tr.tabular_pipeline(["p_size"], ["p_type"], "p_retailprice", config=config).fit(parts.where(~held_out))
+    return e.prediction_scores(model.transform(parts.where(held_out)), "prediction", "p_retailprice", ["p_type"])
 
 
 def register() -> None:

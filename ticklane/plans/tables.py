@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticklane import constants as K
 from ticklane.functions import scalar as s
-from ticklane.functions.series import SeriesColumns
+from ticklane.functions.series import SeriesColumns, with_position
 from ticklane.operators import calendar as cal
 from ticklane.operators import cross_section as cs
 from ticklane.operators import explore as ex
@@ -204,8 +204,9 @@ def _register_joins() -> None:
     def previous(m):
         columns = SeriesColumns()
         columns.lag("close", 1)
-        return columns.apply(m.bars().withColumn("day", F.datediff("date", F.lit("2023-12-31"))), ["instrument", "slot"], "day",
-                             CHUNK)
+        # a slot may miss dates, so its rows are numbered, not its days
+        slots = with_position(m.bars().withColumn("month", F.trunc("date", "month")), ["instrument", "slot"], ["date"], "month", "day")
+        return columns.apply(slots, ["instrument", "slot"], "day", CHUNK)
 
     add("j09_previous_date_same_time", lambda m: previous(m).select(
         "instrument", "datetime", rounded(s.divide_or_zero("close", "close__lag1"), 6, "rate")),
@@ -297,9 +298,17 @@ def _register_exploration() -> None:
         f"WITH {o.BARS} SELECT instrument, CAST(date AS VARCHAR) AS date, round(arg_min(last_price, datetime), 4) + 0.0 AS "
         f"first_price, round(arg_max(last_price, datetime), 4) + 0.0 AS last_price FROM trades GROUP BY ALL")
     add("p09_window_sample", lambda m: ex.window_sample(m.bars(), ["instrument"], "pos", 100, 2).select(
-        "instrument", "datetime", rounded("close", 4)))
+        "instrument", "datetime", rounded("close", 4)),
+        f"WITH {o.BARS}, g AS (SELECT instrument, max(pos) AS top, md5(concat_ws('|', 7, instrument)) AS h FROM bars GROUP BY 1), "
+        f"c AS (SELECT *, ('0x' || substr(md5(concat_ws('|', 8, instrument)), 1, 12))::BIGINT % greatest(top - 98, 1) AS begin_at FROM g "
+        f"ORDER BY h LIMIT 2) SELECT bars.instrument, datetime, {o.r('close', 4)} AS close FROM bars JOIN c ON bars.instrument = "
+        f"c.instrument AND pos >= begin_at AND pos < begin_at + 100")
     add("p10_paired_sample", lambda m: ex.paired_sample(
-        m.stored_raw_ticks(), tk.clean_stock_ticks(m.stored_raw_ticks()), ["tscode", "date"], 3).select("tscode", date_text(), "time", "layer"))
+        m.stored_raw_ticks(), tk.clean_stock_ticks(m.stored_raw_ticks()), ["tscode", "date"], 3).select("tscode", date_text(), "time", "layer"),
+        f"WITH {o.CLEAN}, c AS (SELECT tscode, date FROM (SELECT DISTINCT tscode, raw.date FROM raw SEMI JOIN clean USING (tscode, "
+        f"date)) ORDER BY md5(concat_ws('|', 7, tscode, date)) LIMIT 3) SELECT tscode, CAST(raw.date AS VARCHAR) AS date, time, "
+        f"'original' AS layer FROM raw SEMI JOIN c USING (tscode, date) UNION ALL SELECT tscode, CAST(clean.date AS VARCHAR), time, "
+        f"'organized' FROM clean SEMI JOIN c USING (tscode, date)")
     add("p03_drop_incomplete", lambda m: tk.drop_incomplete(m.bars().withColumn(
         "gap", F.when(F.col("volume") > 0, F.col("volume")))).select("instrument", "datetime", "gap"),
         f"WITH {o.BARS} SELECT instrument, datetime, volume AS gap FROM bars WHERE volume > 0")
@@ -343,7 +352,7 @@ def _register_scalars() -> None:
     add("f01_time_difference", lambda m: show(m, s.time_difference(F.lit("10:00:00.000"), "time").cast("bigint").alias("seconds")),
         f"WITH {o.RAW} SELECT {head}, CASE WHEN {second} >= 36000 THEN {second} - 36000 END AS seconds FROM raw")
     add("f02_f04_advance_time", lambda m: show(m, s.advance_time("time", 63).alias("next_time")),
-        f"WITH {o.RAW} SELECT {head}, {o.clock(f'{second} + 63 + CASE WHEN time = {chr(39)}11:30:00.000{chr(39)} THEN 5400 ELSE 0 END')} AS next_time FROM raw")
+        f"WITH {o.RAW} SELECT {head}, {o.clock(f"{second} + 63 + CASE WHEN time = '11:30:00.000' THEN 5400 ELSE 0 END")} AS next_time FROM raw")
     add("f02_advance_datetime", lambda m: m.bars().select("instrument", "datetime", s.advance_datetime(
         F.col("datetime").cast("timestamp_ntz") - F.expr("INTERVAL '30' MINUTE"), 3).cast("string").alias("next")),
         f"WITH {o.BARS} SELECT instrument, datetime, CAST(CAST(datetime AS TIMESTAMP) - INTERVAL 30 MINUTE + INTERVAL 3 SECOND + "

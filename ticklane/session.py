@@ -20,6 +20,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # reads of GBK files
+        .config("spark.sql.legacy.javaCharsets", "true")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

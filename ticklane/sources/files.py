@@ -37,7 +37,8 @@ def write_table(table: DataFrame, path: str, partitions: list[str], replace_touc
 
     ``files_per_partition`` spreads one large partition over several tasks.
     """
-    salt = F.floor(F.rand(11) * files_per_partition) if files_per_partition > 1 else F.lit(0)
+    # a hash of the row, so that a task that runs again deals its rows alike
+    salt = F.pmod(F.xxhash64(*table.columns), F.lit(files_per_partition)) if files_per_partition > 1 else F.lit(0)
     writer = table.repartition(*partitions, salt).write.mode("overwrite").partitionBy(*partitions)
     if replace_touched:
         writer = writer.option("partitionOverwriteMode", "dynamic")
@@ -50,9 +51,10 @@ def append_table(table: DataFrame, path: str) -> None:
 
 def read_stock_csv(spark: SparkSession, path: str, constituents: DataFrame | None = None,
                    encoding: str = "GBK") -> DataFrame:
-    """Level-2 stock ticks from CSV with named columns, of constituents only if given."""
-    # Spark 4 reads encodings outside its short list only with this setting
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    """Level-2 stock ticks from CSV with named columns, of constituents only if given.
+
+    For GBK the session needs ``spark.sql.legacy.javaCharsets``, as in :func:`ticklane.session.local_session`.
+    """
     raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
     ticks = name_stock_columns(raw)
     text = {"tscode", "exchange_tscode", "date", "time", "transaction_flag", "bs_flag"}

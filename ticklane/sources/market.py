@@ -18,6 +18,8 @@ Sums use exact integers (cents, 1e-4 of a cent) so that prices do not depend on
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,9 @@ HOURLY = continuous_session(3600)
 SIDES = ("bid", "ask")
 JOIN_DATE = "1998-01-01"
 FIRST_TRADE_DAY = 28
-ORDER_IDS = 1 << 26
+# more than any 64-bit id, counted from the smallest one
+ORDER_IDS = Decimal(10) ** 20
+SMALLEST_ID = Decimal(-(1 << 63))
 
 
 class Market:
@@ -41,7 +45,6 @@ class Market:
         self.spark = spark
         self.folder = folder
         self._bars: DataFrame | None = None
-        self._raw_ticks: DataFrame | None = None
         self._ticks: DataFrame | None = None
         self._defects: DataFrame | None = None
 
@@ -54,10 +57,11 @@ class Market:
         events = self.table("events")
         ts = F.col("ts").cast("timestamp_ntz")
         second = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-        # time within the day, then the low bits of the id: one fixed-width key lets first and last
-        # values be picked in a hash aggregate, without sorting the ticks
+        # time within the day, then the whole id: one fixed-width key lets first and last values be picked
+        # in a hash aggregate, without sorting the ticks
         micros = F.timestamp_diff("MICROSECOND", ts.cast("date").cast("timestamp_ntz"), ts)
-        tick_order = micros * ORDER_IDS + F.pmod(F.col("event_id"), F.lit(ORDER_IDS))
+        tick_order = (micros.cast("decimal(12,0)") * F.lit(ORDER_IDS)
+                      + (F.col("event_id").cast("decimal(19,0)") - F.lit(SMALLEST_ID)))
         return events.select(
             F.col("event_type").alias("instrument"),
             ts.cast("date").alias("date"),
@@ -83,10 +87,9 @@ class Market:
         return with_position(self._bars, BAR_KEYS, ["slot"], "date")
 
     def release(self) -> None:
-        for stored in (self._bars, self._raw_ticks):
-            if stored is not None:
-                stored.unpersist()
-        self._bars = self._raw_ticks = None
+        if self._bars is not None:
+            self._bars.unpersist()
+        self._bars = None
 
     # --- stocks ------------------------------------------------------------------------
 
@@ -172,11 +175,10 @@ class Market:
     def stored_raw_ticks(self) -> DataFrame:
         """The same rows for jobs that read the original layer several times.
 
-        It stands for the stored original layer, so it is persisted (memory, then disk).
+        It stands for the stored original layer, which is read again each time: keeping it would fill the
+        executors' disks.
         """
-        if self._raw_ticks is None:
-            self._raw_ticks = self._defective_ticks().persist()
-        return self._raw_ticks
+        return self.raw_stock_ticks()
 
     def _defective_ticks(self) -> DataFrame:
         number = F.col("tscode").substr(4, 20).cast("bigint")
