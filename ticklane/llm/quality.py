@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from ticklane.llm.shared import stored
 
-MAX_LABELLED = 12_000
-MAX_POOL = 6_000
+MAX_LABELLED = 6_000
+MAX_POOL = 3_000
 ROUNDS = 3
 SURE = 0.97
 FEATURES = 1 << 18
@@ -41,13 +41,17 @@ PLAIN = bytes([*range(48, 58), *range(65, 91), *range(97, 123), 9, 10, 13, 32, *
 
 @dataclass
 class Words:
-    """The words of a batch: per document offsets into codes of the different words, and what is known of each word."""
+    """The words of a batch: per document offsets into codes of the different words, and what is known of each word.
+
+    ``counts`` says how often each of a document's words occurs where repeats are left out.
+    """
 
     offsets: np.ndarray
     codes: np.ndarray
     word: np.ndarray
     prefix: np.ndarray
     shapes: np.ndarray
+    counts: np.ndarray | None = None
 
 
 def words_of(texts: pa.Array) -> Words:
@@ -81,14 +85,14 @@ def shape_rates(words: Words) -> np.ndarray:
 def word_stats(words: Words, weights: np.ndarray) -> np.ndarray:
     """Per document: largest weight, logarithm of the number and share of strong words, mean weight."""
     each = np.maximum(weights[words.word], weights[words.prefix])[words.codes]
-    n = np.diff(words.offsets)
-    largest = np.zeros(len(n))
+    some = np.diff(words.offsets) > 0
+    largest = np.zeros(len(some))
     if len(each):
-        some = n > 0
         largest[some] = np.maximum.reduceat(each, words.offsets[:-1][some])
-    strong = _sums((each >= STRONG).astype("float64"), words.offsets)
-    n = np.maximum(n, 1)
-    return np.stack([largest, np.log1p(strong), strong / n, _sums(each, words.offsets) / n], axis=1)
+    counts = np.ones(len(each)) if words.counts is None else words.counts
+    strong = _sums((each >= STRONG) * counts, words.offsets)
+    n = np.maximum(_sums(counts, words.offsets), 1)
+    return np.stack([largest, np.log1p(strong), strong / n, _sums(each * counts, words.offsets) / n], axis=1)
 
 
 def metadata(batch: pd.DataFrame) -> np.ndarray:
@@ -149,8 +153,9 @@ class Sample:
 
     def part(self, rows: np.ndarray) -> Sample:
         lengths = np.diff(self.words.offsets)[rows]
-        codes = np.concatenate([self.words.codes[self.words.offsets[i]:self.words.offsets[i + 1]] for i in rows] + [np.zeros(0, "int64")])
-        words = Words(np.r_[0, np.cumsum(lengths)], codes.astype("int64"), self.words.word, self.words.prefix, self.words.shapes)
+        own = np.repeat(self.words.offsets[:-1][rows] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        words = Words(np.r_[0, np.cumsum(lengths)], self.words.codes[own], self.words.word, self.words.prefix, self.words.shapes,
+                      self.words.counts[own])
         return Sample([self.features[i] for i in rows], words, self.rates[rows], self.meta[rows])
 
 
@@ -252,22 +257,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
             meta, rates = metadata(frame), shape_rates(words)
             for i in range(len(frame)):
                 codes = words.codes[words.offsets[i]:words.offsets[i + 1]]
-                pairs = np.stack([words.word[codes], words.prefix[codes]], axis=1).astype("<i4")
+                pairs, counts = np.unique(words.word[codes] * FEATURES + words.prefix[codes], return_counts=True)
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({
-                    "doc_id": [int(frame["doc_id"].iloc[i])], "pairs": [pairs.tobytes()], "meta": [meta[i].astype("<f8").tobytes()],
+                    "doc_id": [int(frame["doc_id"].iloc[i])], "pairs": [pairs.astype("<i8").tobytes()],
+                    "counts": [counts.astype("<i4").tobytes()], "meta": [meta[i].astype("<f8").tobytes()],
                     "rates": [rates[i].tobytes()]}), preserve_index=False)
 
     # bounded by max_labelled + max_pool documents
     found = (docs.join(F.broadcast(chosen), "doc_id").select(*COLUMNS).dropDuplicates(["doc_id"])
-             .mapInArrow(extract, "doc_id long, pairs binary, meta binary, rates binary")
+             .mapInArrow(extract, "doc_id long, pairs binary, counts binary, meta binary, rates binary")
              .join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id", ignore_index=True))
     if found.empty:
         return {head: Head(None, None, None, 0.0) for head in HEADS}
-    pairs = [np.frombuffer(raw, dtype="<i4").reshape(-1, 2) for raw in found["pairs"]]
-    sizes = [len(pair) for pair in pairs]
-    every, codes = np.unique(np.concatenate(pairs).astype("int64") @ np.array([FEATURES, 1]), return_inverse=True)
-    words = Words(np.r_[0, np.cumsum(sizes)], codes.astype("int64").ravel(), every // FEATURES, every % FEATURES, np.zeros((len(every), 4)))
-    sample = Sample([np.unique(pair) for pair in pairs], words,
+    sizes = [len(raw) // 8 for raw in found["pairs"]]
+    every, codes = np.unique(np.frombuffer(b"".join(found["pairs"]), dtype="<i8"), return_inverse=True)
+    words = Words(np.r_[0, np.cumsum(sizes)], codes.astype("int32").ravel(), every // FEATURES, every % FEATURES, np.zeros((0, 4)),
+                  np.frombuffer(b"".join(found["counts"]), dtype="<i4"))
+    features = [np.unique(np.r_[pair // FEATURES, pair % FEATURES].astype("int32"))
+                for pair in (np.frombuffer(raw, dtype="<i8") for raw in found["pairs"])]
+    sample = Sample(features, words,
                     np.stack([np.frombuffer(raw, dtype="<f8") for raw in found["rates"]]),
                     np.stack([np.frombuffer(raw, dtype="<f8") for raw in found["meta"]]))
     labelled = found["quality"].to_numpy() >= 0
