@@ -120,7 +120,9 @@ def _register_indicators() -> None:
         lambda market: _one(market, lambda c: c.rolling_apply("close", n, spread, "reach"), "reach"),
         o.staged("bars", [{"reach": o.full("max", "close", n) + " - " + o.full("min", "close", n)}],
                  "instrument, datetime, " + o.r("reach") + " AS reach", o.BARS))
-    # windows of 300 rows take the running-sum path
+    _indicator("w02_windows_of_default_lengths", lambda c: [ind.moving_average(c, 500), c.rolling("sum", "volume", 500), c.rolling("std", "close", 500)],
+               [{"mean500": o.full("avg", "close", 500), "sum500": o.full("sum", "volume", 500),
+                 "std500": o.full("stddev_samp", "close", 500)}], "mean500 sum500 std500")
     _indicator("w02_wide_window_by_running_sum", lambda c: [ind.moving_average(c, 300), c.rolling("sum", "volume", 300)],
                [{"mean300": o.full("avg", "close", 300), "sum300": o.full("sum", "volume", 300)}], "mean300 sum300")
 

@@ -27,12 +27,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application below ``spark.checkpoint.dir``, which the driver and all executors share.
 
     Only a local session without that setting gets a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get(CHECKPOINT_DIR, None)
@@ -41,4 +40,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="ticklane-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

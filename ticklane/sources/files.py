@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import pyspark.sql.types as T
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,23 @@ def read_future_csv(spark: SparkSession, path: str, contracts: list[str], exchan
     return result
 
 
+FUTURE_COLUMNS = ["datetime", "last_price", "highest", "lowest", "bid_price1", "bid_volume1", "ask_price1", "ask_volume1",
+                  "volume", "amount", "open_interest"]
+
+
+def read_future_folder(spark: SparkSession, path: str, exchange: str = "CFFEX") -> DataFrame:
+    """Futures ticks of all contracts below a folder in one scan.
+
+    Columns are taken by position, as their headers carry the contract; the contract is that of the file's or its
+    folder's name, such as ``CFFEX.IF2209.csv``.
+    """
+    types = {"datetime": "string", **{c: "bigint" for c in ("bid_volume1", "ask_volume1", "volume", "open_interest")}}
+    schema = ", ".join(f"{c} {types.get(c, 'double')}" for c in FUTURE_COLUMNS)
+    ticks = spark.read.option("header", True).option("recursiveFileLookup", True).schema(schema).csv(path)
+    contract = F.regexp_extract(F.col("_metadata.file_path"), rf"{exchange}\.([A-Za-z]+[0-9]+)[./]", 1)
+    return ticks.select(*FUTURE_COLUMNS, contract.alias("instrument"))
+
+
 def with_contract(table: DataFrame) -> DataFrame:
     """Add the contract found in the name of the file a row came from."""
     return table.withColumn("instrument", contract_from_path(F.col("_metadata.file_path")))
@@ -101,25 +119,22 @@ SETTLED_BAR = T.StructType([*DAILY_BAR.fields[:5], T.StructField("interest", T.L
 RECORD_BYTES = 32
 
 
-def _daily_rows(records: Iterator[bytes]) -> Iterator[tuple]:
-    layout = struct.Struct("<IIIIIfII")
-    for record in records:
-        date, open_, high, low, close, amount, volume, _ = layout.unpack(record)
-        yield date, open_ / 100.0, high / 100.0, low / 100.0, close / 100.0, float(amount), volume
-
-
-def _settled_rows(records: Iterator[bytes]) -> Iterator[tuple]:
-    layout = struct.Struct("<iffffiif")
-    for record in records:
-        date, open_, high, low, close, interest, volume, settlement = layout.unpack(record)
-        yield date, open_, high, low, close, interest, volume, settlement
-
-
 def read_fixed_width(spark: SparkSession, path: str, settled: bool = False) -> DataFrame:
-    """Daily bars stored as 32-byte records; ``settled`` has float prices and a settlement price."""
-    records = spark.sparkContext.binaryRecords(path, RECORD_BYTES)
-    rows = records.mapPartitions(_settled_rows if settled else _daily_rows)
-    return spark.createDataFrame(rows, SETTLED_BAR if settled else DAILY_BAR)
+    """Daily bars stored as 32-byte records, a small file per contract; ``settled`` has float prices and a settlement price."""
+    schema = SETTLED_BAR if settled else DAILY_BAR
+    names = schema.fieldNames()
+    kinds = ["<i4", *["<f4"] * 4, "<i4", "<i4", "<f4"] if settled else [*["<u4"] * 5, "<f4", "<u4", "<u4"]
+    layout = [(name, kind) for name, kind in zip([*names, "unused"], kinds)]
+    cents = () if settled else ("open", "high", "low", "close")
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                # a record cut off at the end of a file is left out
+                rows = np.frombuffer(content, dtype=np.dtype(layout), count=len(content) // RECORD_BYTES)
+                yield pd.DataFrame({name: rows[name] / 100.0 if name in cents else rows[name] for name in names})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, schema)
 
 
 def read_metadata(spark: SparkSession, path: str | None = None, url: str | None = None, table: str | None = None,
