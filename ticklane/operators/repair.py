@@ -57,12 +57,24 @@ def carry_transaction_number(data: DataFrame) -> DataFrame:
     return data.withColumn("transaction_number", F.coalesce(last, F.col("transaction_number")))
 
 
+def _with_traded_volume(raw: DataFrame) -> DataFrame:
+    """On days without any volume, volume and amount are the steps of the cumulative columns."""
+    silent = F.max("volume").over(_day()) == 0
+    step = lambda total, column: F.coalesce(
+        F.greatest(F.col(total) - F.lag(total).over(_ordered()), F.lit(0)), F.lit(0)).cast(raw.schema[column].dataType)
+    marked = raw.withColumns({"_silent": silent, "_volume": step("daily_accumulated_volume", "volume"),
+                              "_amount": step("daily_amount", "amount")})
+    return marked.withColumns({column: F.when(F.col("_silent"), F.col(f"_{column}")).otherwise(F.col(column))
+                               for column in ("volume", "amount")}).drop("_silent", "_volume", "_amount")
+
+
 def restore_close_records(data: DataFrame, raw: DataFrame, step: int = K.STOCK_TICK_SECONDS) -> DataFrame:
     """Add a missing 15:00:00 record, or else a missing 11:30:00 record with the rows leading to it.
 
     The close is the raw row of that time, or a later last trade moved to it. The noon record repeats
-    the last raw morning row every ``step`` seconds.
+    the last raw morning row every ``step`` seconds. Raw days without volume take it from the cumulative columns.
     """
+    raw = _with_traded_volume(raw)
     flags = data.groupBy(*KEYS).agg(
         F.max((F.col("time") == K.SESSION_END).cast("int")).alias("_has_close"),
         F.max((F.col("time") == K.NOON_END).cast("int")).alias("_has_noon"))

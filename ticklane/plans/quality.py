@@ -278,10 +278,16 @@ def _register_repairs() -> None:
                      f"({o.ROWS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), transaction_number) AS "
                      f"transaction_number) FROM clean)", "fixed")
     step = 60
-    ended = o.CLEAN + f""",
+    step_of = lambda total: f"coalesce(greatest({total} - lag({total}) OVER ({o.ROWS}), 0), 0)"
+    ended = lambda rows: o.CLEAN + f""",
+bare AS ({rows}),
+marked AS (SELECT *, max(volume) OVER (PARTITION BY tscode, date) = 0 AS e, {step_of('daily_accumulated_volume')} AS dv,
+  {step_of('daily_amount')} AS da FROM bare),
+kept AS (SELECT * EXCLUDE (e, dv, da) REPLACE (CASE WHEN e THEN dv ELSE volume END AS volume, CASE WHEN e THEN da ELSE amount END
+  AS amount) FROM marked),
 flags AS (SELECT tscode, date, max(time = '15:00:00.000') AS hc, max(time = '11:30:00.000') AS hn FROM clean GROUP BY ALL),
-src AS (SELECT raw.*, hc, hn, max(CASE WHEN volume > 0 THEN time END) OVER (PARTITION BY tscode, date) AS lt
-  FROM raw JOIN flags USING (tscode, date)),
+src AS (SELECT kept.*, hc, hn, max(CASE WHEN volume > 0 THEN time END) OVER (PARTITION BY tscode, date) AS lt
+  FROM kept JOIN flags USING (tscode, date)),
 closes2 AS (SELECT * REPLACE ('15:00:00.000' AS time) FROM src WHERE NOT hc AND lt IS NOT NULL AND time = CASE WHEN lt <=
   '15:00:00.000' THEN '15:00:00.000' ELSE lt END),
 lastm AS (SELECT *, {o.tick_second()} AS s6 FROM src WHERE hc AND NOT hn AND time <= '11:30:00.000'
@@ -290,7 +296,11 @@ noons AS (SELECT *, unnest(CASE WHEN s6 = 41400 THEN [0] ELSE range(1, (41400 -
 noon_rows AS (SELECT * EXCLUDE (st, s6) REPLACE ({o.clock(f's6 + st * {step}')} AS time) FROM noons),
 ended AS (SELECT * FROM clean UNION ALL SELECT * EXCLUDE (hc, hn, lt) FROM closes2 UNION ALL
   SELECT * EXCLUDE (hc, hn, lt) FROM noon_rows)"""
-    _ticks("x04_restore_close_records", lambda m: x.restore_close_records(clean(m), raw(m), step), ended, "ended")
+    _ticks("x04_restore_close_records", lambda m: x.restore_close_records(clean(m), raw(m), step), ended("SELECT * FROM raw"), "ended")
+    bare = lambda m: raw(m).withColumns({c: F.when(number() % 4 == 0, F.lit(0)).otherwise(F.col(c)) for c in ("volume", "amount")})
+    _ticks("x04_restore_close_of_days_without_volume", lambda m: x.restore_close_records(clean(m), bare(m), step),
+           ended("SELECT * REPLACE (CASE WHEN num % 4 = 0 THEN 0 ELSE volume END AS volume, CASE WHEN num % 4 = 0 THEN 0 ELSE amount "
+                 "END AS amount) FROM raw"), "ended")
     empty = ("emptied AS (SELECT * REPLACE (CASE WHEN num % 4 = 0 THEN 0 ELSE volume END AS volume, CASE WHEN num % 4 = 0 "
              "THEN 0 ELSE amount END AS amount) FROM clean)")
     emptied = lambda m: t.clean_stock_ticks(single(m)).withColumns({
