@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,6 +195,12 @@ def merge_profits(trades: DataFrame, products: list[str], keys: list[str]) -> Da
     return trades.groupBy(*keys).agg(*[of(F.col("product") == product).alias(product) for product in products], of(~listed).alias("other"))
 
 
+def evaluate(data: DataFrame, predict: str, real: str, scores: dict[str, Callable[[Column, Column], Column]],
+             keys: list[str] | None = None) -> DataFrame:
+    """The given aggregates of prediction and real value, per key."""
+    return data.groupBy(*(keys or [])).agg(*[score(F.col(predict), F.col(real)).alias(name) for name, score in scores.items()])
+
+
 def prediction_scores(data: DataFrame, predict: str, real: str, keys: list[str] | None = None) -> DataFrame:
     """Correlation, winning rate (same sign among non-zero products) and mean squared error."""
     product = F.col(predict) * F.col(real)

@@ -85,13 +85,15 @@ def average_true_range(columns: SeriesColumns, length: int) -> str:
 
 
 def linear_regression(columns: SeriesColumns, length: int, target: str = "close", variable: str = "",
-                      result: str = "slope") -> str:
+                      result: str | Callable[[Column, Column, Column], Column] = "slope") -> str:
     """Least squares over the window, on 1..length or on another column.
 
-    ``result``: slope, intercept, predict (fitted value of the last row), deviation (last value minus it).
+    ``result``: slope, intercept, predict (fitted value of the last row), deviation (last value minus it), or a named
+    function of the slope, the intercept and the fitted value of the last row.
     """
     by_row = variable == ""
-    name = f"linear_regression__{target}__{variable or 'row'}__{length}__{result}"
+    label = result if isinstance(result, str) else result.__name__
+    name = f"linear_regression__{target}__{variable or 'row'}__{length}__{label}"
 
     def build(w) -> Column:
         frame = w.rowsBetween(1 - length, 0)
@@ -106,13 +108,10 @@ def linear_regression(columns: SeriesColumns, length: int, target: str = "close"
         # row numbers 1..length have mean (length + 1) / 2 wherever the window lies
         to_zero = F.lit((length + 1) / 2) if by_row else F.avg(x).over(frame)
         to_last = F.lit((length - 1) / 2) if by_row else x - F.avg(x).over(frame)
-        value = {
-            "slope": slope,
-            "intercept": mean - slope * to_zero,
-            "predict": mean + slope * to_last,
-            "deviation": y - (mean + slope * to_last),
-        }[result]
-        return F.when(full, value)
+        intercept, fitted = mean - slope * to_zero, mean + slope * to_last
+        if callable(result):
+            return F.when(full, result(slope, intercept, fitted))
+        return F.when(full, {"slope": slope, "intercept": intercept, "predict": fitted, "deviation": y - fitted}[result])
 
     return columns.add(name, build, [target] if by_row else [target, variable], back=length - 1)
 

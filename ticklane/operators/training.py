@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -177,15 +178,18 @@ def walk_forward(table: DataFrame, features: list[str], label: str, splits: list
 
 def grid_search(table: DataFrame, features: list[str], labels: list[str], splits: list, configs: list[BoostConfig],
                 product: str = "product", keys: list[str] = ("product",), length: int = 4800, width: float = 2.0,
-                moment: str = "date") -> DataFrame:
-    """Fit every label, split and setting; one scored and backtested row (the total) per run."""
+                moment: str = "date", evaluator: Callable[[DataFrame, str, str], DataFrame] = prediction_scores) -> DataFrame:
+    """Fit every label, split and setting; one scored and backtested row (the total) per run.
+
+    ``evaluator`` makes one row of scores from predictions and the names of prediction and label.
+    """
     rows = []
     for label in labels:
         for split in splits:
             train, test = split_by_date(table, split, moment)
             for config in configs:
                 predictions = predict(fit(train, features, label, config), test, features)
-                scores = prediction_scores(predictions, PREDICTION, label)
+                scores = evaluator(predictions, PREDICTION, label)
                 flags = prediction_flags(predictions, PREDICTION, label, list(keys), length, width)
                 total = backtest_report(flags, product).where(F.col(product) == "all").drop(product)
                 rows.append(scores.crossJoin(F.broadcast(total)).select(

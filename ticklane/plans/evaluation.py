@@ -371,6 +371,11 @@ def _register_backtests() -> None:
                  f"WHERE instrument IN (SELECT instrument FROM f1 GROUP BY 1 HAVING sum(abs(flag)) >= 10))")
     add("e05_signal_backtest", lambda m: report_columns(e.backtest_report(signals(m))), _report_sql(signalled))
     product = "william * ret5"
+    own_scores = {"mean_absolute_error": lambda p, r: F.avg(F.abs(p - r)), "largest_error": lambda p, r: F.max(F.abs(p - r))}
+    add("h11_own_evaluator", lambda m: e.evaluate(factored(m), "william", "ret5", own_scores, KEYS).select(
+        "instrument", *[rounded(c) for c in own_scores]),
+        f"WITH {FACTORED} SELECT instrument, {o.r('avg(abs(william - ret5))')} AS mean_absolute_error, "
+        f"{o.r('max(abs(william - ret5))')} AS largest_error FROM factored GROUP BY instrument")
     add("e06_e07_e08_prediction_scores", lambda m: e.prediction_scores(factored(m), "william", "ret5", KEYS).select(
         "instrument", *[rounded(c) for c in ("correlation", "winning_rate", "mean_squared_error")]),
         f"WITH {FACTORED} SELECT instrument, {o.r('corr(william, ret5)')} AS correlation, "

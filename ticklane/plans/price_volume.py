@@ -101,6 +101,10 @@ def _register_indicators() -> None:
                  "predict": f"CASE WHEN {guard} THEN {line('pos')} END",
                  "deviation": f"CASE WHEN {guard} THEN close - {line('pos')} END"}],
                "slope intercept predict deviation")
+    rise = lambda slope, intercept, fitted: (fitted - intercept) / F.abs(intercept)
+    rise.__name__ = "rise"
+    _indicator("h05_function_of_fitted_line", lambda c: ind.linear_regression(c, n, result=rise),
+               [{"rise": f"CASE WHEN {guard} THEN ({line('pos')} - {line(f'pos - {n}')}) / abs({line(f'pos - {n}')}) END"}], "rise")
     _indicator("i12_linear_regression_on_column",
                lambda c: ind.linear_regression(c, n, "close", "volume"),
                [{"slope": f"CASE WHEN {guard} THEN CASE WHEN min(volume) {over} = max(volume) {over} THEN 0 "
