@@ -34,6 +34,8 @@ FEATURES = 1 << 18
 PREFIX = 5
 STRONG = 1.5
 LEVELS = 64
+# bytes of text looked at together in a task
+BLOCK = 4 * 1024 * 1024
 HEADS = ("junk", "toxic")
 UPPER = bytes(range(65, 91))
 PLAIN = bytes([*range(48, 58), *range(65, 91), *range(97, 123), 9, 10, 13, 32, *range(128, 256)])
@@ -65,10 +67,18 @@ def words_of(texts: pa.Array) -> Words:
         prefix.append(zlib.crc32(b"^" + lower[:PREFIX].encode("utf-8", "surrogatepass")) % FEATURES)
         tail = len(token) - len(core)
         shapes.append((tail > 1, not core, len(core) > 1 and core.isupper(), core.isdigit()))
-    return Words(lists.offsets.to_numpy(), coded.indices.to_numpy().astype("int64"), np.array(word, dtype="int64"),
+    offsets = lists.offsets.to_numpy()
+    return Words(offsets - offsets[0], coded.indices.to_numpy().astype("int64"), np.array(word, dtype="int64"),
                  np.array(prefix, dtype="int64"), np.array(shapes, dtype="float64").reshape(-1, 4))
 
 
+def slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of texts of about BLOCK bytes."""
+    block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("int64")) // BLOCK
+    cuts = [0, *(np.nonzero(block[1:] != block[:-1])[0] + 1).tolist(), len(texts)]
+    return [(start, stop) for start, stop in zip(cuts, cuts[1:]) if stop > start]
+
+
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.r_[0.0, np.cumsum(values)]
     return total[offsets[1:]] - total[offsets[:-1]]
@@ -78,8 +88,8 @@ def shape_rates(words: Words) -> np.ndarray:
     """Per document the share of words with decorations, without letters, in capitals, of digits, and repeated ones."""
     n = np.maximum(np.diff(words.offsets), 1)
     again = np.r_[False, words.codes[1:] == words.codes[:-1]].astype("float64") if len(words.codes) else np.zeros(0)
-    columns = [words.shapes[words.codes, i] for i in range(4)] + [again]
-    return np.stack([_sums(column, words.offsets) / n for column in columns], axis=1)
+    rates = [_sums(words.shapes[words.codes, i], words.offsets) / n for i in range(4)]
+    return np.stack([*rates, _sums(again, words.offsets) / n], axis=1)
 
 
 def word_stats(words: Words, weights: np.ndarray) -> np.ndarray:
@@ -251,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     chosen = stored(chosen.select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).union(pool))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.slice(start, stop - start) for whole in batches for start, stop in slices(whole.column(1))):
             frame = pa.Table.from_batches([batch]).to_pandas()
             words = words_of(batch.column(1))
             meta, rates = metadata(frame), shape_rates(words)
@@ -298,11 +308,13 @@ def with_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 
     @F.arrow_udf("struct<p_junk: double, p_toxic: double>")
     def probabilities(texts: pa.Array, langs: pa.Array, sources: pa.Array, chars: pa.Array) -> pa.Array:
-        words = words_of(texts)
-        frame = pa.table({"text": texts, "lang": langs, "source": sources, "n_chars": chars}).to_pandas()
-        rates, meta = shape_rates(words), metadata(frame)
-        return pa.StructArray.from_arrays([pa.array(heads.value[head].probability(words, rates, meta)) for head in HEADS],
-                                          ["p_junk", "p_toxic"])
+        found = [np.zeros((len(HEADS), 0))]
+        for start, stop in slices(texts):
+            part = pa.table({"text": texts, "lang": langs, "source": sources, "n_chars": chars}).slice(start, stop - start)
+            words = words_of(texts.slice(start, stop - start))
+            rates, meta = shape_rates(words), metadata(part.to_pandas())
+            found.append(np.stack([heads.value[head].probability(words, rates, meta) for head in HEADS]))
+        return pa.StructArray.from_arrays([pa.array(values) for values in np.concatenate(found, axis=1)], ["p_junk", "p_toxic"])
 
     return docs.withColumn(name, probabilities(*columns[1:]))
 
