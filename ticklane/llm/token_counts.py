@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NONE = np.iinfo("int32").max
 UNKNOWN = -1
+# different pre-tokens merged together
+WORDS_AT_ONCE = 100_000
 
 
 class Vocabulary:
@@ -150,7 +152,8 @@ def text_tokens(texts: pa.Array, vocabulary: Vocabulary) -> np.ndarray:
     words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     if not len(codes):
         return np.zeros(len(texts), dtype="int64")
-    tokens, alone = word_tokens(words, vocabulary)
+    parts = [word_tokens(words[i:i + WORDS_AT_ONCE], vocabulary) for i in range(0, len(words), WORDS_AT_ONCE)]
+    tokens, alone = (np.concatenate(part) for part in zip(*parts))
     each = tokens[codes]
     # several spaces in a row: empty pre-tokens before a word, or at the end of the text
     empty = np.fromiter((not word for word in words), dtype=bool, count=len(words))[codes]
