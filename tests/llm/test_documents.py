@@ -6,6 +6,7 @@ import re
 
 import xxhash
 from llm_fixtures import docs, none, texts  # noqa: F401
+from pyspark.sql import functions as F
 
 from ticklane.llm import decontaminate as decon
 from ticklane.llm import line_templates, sentence_spans, simhash
@@ -155,6 +156,33 @@ def test_templates_generalise_variable_fields(spark, docs, texts, none):
     assert line_templates.drop_recurring_lines(none).count() == 0
 
 
+def test_templates_recur_whatever_their_hash_number_and_copies(spark):
+    """The line with the smallest leaf hash, a line many times in each document, a line in a text of many copies."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda: " ".join(word() for _ in range(rng.randint(6, 12)))
+    prose = lambda: [line() for _ in range(8)]
+    low = spark.createDataFrame([(f"Printed under {word()} license of this house",) for _ in range(500)], "line string").orderBy(
+        line_templates._leaf(F.col("line"))).first().line
+    often, hot = "Back to the top of this page", "See our terms before you order"
+    rows = [(i, [*prose(), low]) for i in range(60)]
+    for i in range(100, 110):
+        lines = prose()
+        rows.append((i, [part for own in lines for part in (own, often)] + [often] * 20))
+    rows += [(i, [*prose(), hot]) for i in range(200, 210)]
+    copied = [*prose(), hot]
+    rows += [(1000 + i, copied) for i in range(150)]
+    for i in range(150):
+        near = list(copied)
+        words = near[i % 8].split(" ")
+        words[rng.randrange(len(words))] = word()
+        rows.append((2000 + i, [*near[:i % 8], " ".join(words), *near[i % 8 + 1:]]))
+    docs = spark.createDataFrame([(i, "\n".join(lines)) for i, lines in rows], "doc_id long, text string").repartition(4)
+    got = {row.doc_id: row.text for row in line_templates.drop_recurring_lines(docs).collect()}
+    for i, lines in rows:
+        assert got[i] == "\n".join(part for part in lines if part not in (low, often, hot)), i
+
+
 def test_sentence_spans(docs, texts, none):
     first = {}
     for i, text in sorted({(-(1 << 63) if i is None else i, t or "") for i, t in texts}):

@@ -7,9 +7,12 @@ have at a position is constant there and any other is generalised to ``<*>``; li
 template too. Templates that recur across documents are boilerplate and all their lines are dropped.
 
 Copies must not count as recurrence, or each copied text would go entirely. So a template recurs across
-*families*: documents are of one family if the smallest hash among the leaves of their lines is the same,
-which copies and near copies share and unrelated documents don't. A template is dropped if it occurs in
-``MIN_FAMILIES`` families or more and these are at least ``MIN_SHARE`` of the documents it occurs in.
+*families*, which are groups of copies and near copies: each line gives two hashes, of its leaf and of its last
+tokens, each document ``BANDS`` keys of the smallest hashes in ``BAND_ROWS`` random orders, and documents that
+share a key are connected. One shared line is seldom the smallest in all orders of a key, whatever its hash, so
+it connects few documents; documents of which five in six hashes agree share a key but for 3 in 100,000. A
+template is dropped if it occurs in ``MIN_FAMILIES`` families or more, however often it stands in each and
+however many copies a family has. Documents most of whose lines are shared are copies by this measure.
 
 Only DataFrame functions are used. Counts are hash aggregates with partial sums; lines of the same text or
 leaf are never gathered in one task.
@@ -17,15 +20,20 @@ leaf are never gathered in one task.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticklane.llm.components import connected_components
 from ticklane.llm.shared import row_key, small, stored
 
 DEPTH = 3
 MIN_TOKENS = 3
 MIN_FAMILIES = 5
-MIN_SHARE = 0.25
+BANDS = 16
+BAND_ROWS = 4
+SEED = 42
 CONSTANT = 0.6
 SIMILAR = 0.7
 KEY = ["key_id", "key_text"]
@@ -44,32 +52,60 @@ def _leaf(line: Column) -> Column:
     return F.xxhash64(_tokens_of(line), F.substring_index(line, " ", DEPTH))
 
 
-def parsed_lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """A row per line of ``MIN_TOKENS`` tokens or more: its place, leaf, masked text and the document's family."""
+def _bands(lines: Column) -> Column:
+    """The document's keys; xor with a random number gives the hashes another order."""
+    rng = random.Random(SEED)
+    orders = F.array(*[F.array(*[F.lit(rng.getrandbits(64) - (1 << 63)) for _ in range(BAND_ROWS)]) for _ in range(BANDS)])
+    units = F.flatten(F.transform(F.filter(lines, lambda line: F.trim(line) != ""), lambda line: F.array(
+        _leaf(line), F.xxhash64(F.substring_index(line, " ", -DEPTH), F.lit(DEPTH)))))
+    # as the variable of a lambda the hashes are computed once a document
+    return F.transform(F.array(units), lambda hashes: F.transform(orders, lambda order: F.xxhash64(
+        F.transform(order, lambda number: F.array_min(F.transform(hashes, lambda value: value.bitwiseXOR(number)))))))[0]
+
+
+def parsed_documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """A row per document: its masked lines, its keys, and ``node``, which documents with the same keys share."""
     rows = docs.select(*row_key(id_column, text_column), F.split(F.coalesce(F.col(text_column), F.lit("")), "\n").alias("lines"))
-    rows = rows.select(*KEY, F.transform("lines", masked).alias("lines"))
-    rows = rows.withColumn("leaves", F.transform("lines", _leaf)).withColumn("family", F.array_min("leaves"))
-    # not a plain explode: the optimizer would compute the whole array once more, to test that it is not empty
-    lines = rows.select(*KEY, "family", F.explode_outer(F.transform("lines", lambda line, i: F.struct(
-        i.alias("line_no"), line.alias("masked"), F.get(F.col("leaves"), i).alias("leaf")))).alias("l")).select(*KEY, "family", "l.*")
-    return lines.filter(_tokens_of(F.col("masked")) >= MIN_TOKENS)
+    rows = stored(rows.select(*KEY, F.transform("lines", masked).alias("lines")).withColumn("bands", _bands(F.col("lines"))))
+    return rows.withColumn("node", F.xxhash64("bands"))
+
+
+def parsed_lines(parsed: DataFrame) -> DataFrame:
+    """A row per line of ``MIN_TOKENS`` tokens or more: its place, leaf, masked text and the document's node."""
+    lines = parsed.select(*KEY, "node", F.posexplode("lines").alias("line_no", "masked")).filter(_tokens_of(F.col("masked")) >= MIN_TOKENS)
+    return lines.withColumn("leaf", _leaf(F.col("masked")))
+
+
+def document_families(parsed: DataFrame) -> DataFrame:
+    """``node``, ``root`` of the nodes connected with others by shared keys; any other node is a family alone."""
+    nodes = stored(parsed.groupBy("node").agg(F.first("bands").alias("bands")))
+    entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    hubs = stored(entries.groupBy("band", "key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+                  .filter(F.col("hub") < F.col("last")).drop("last"))
+    return connected_components(entries.join(hubs, ["band", "key"]).select("node", "hub"), "node", "hub")
 
 
-def _recurring(counts: DataFrame, *keys: str) -> DataFrame:
-    """Keys that recur across families; ``counts`` has one row per key and family with ``n`` lines."""
-    return (counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("families"))
-            .filter((F.col("families") >= MIN_FAMILIES) & (F.col("families") >= MIN_SHARE * F.col("n"))))
+def _recurring(places: DataFrame, families: DataFrame, *keys: str) -> DataFrame:
+    """Keys that recur across families; ``places`` has a row per key and node."""
+    return (places.join(families, "node", "left").select(*keys, F.coalesce("root", "node").alias("family")).distinct()
+            .groupBy(*keys).agg(F.count(F.lit(1)).alias("families")).filter(F.col("families") >= MIN_FAMILIES))
 
 
 def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``key_id``, ``key_text``, ``line_no`` (from 0) of the lines whose template recurs across documents."""
-    lines = parsed_lines(docs, id_column, text_column).withColumn("own", F.xxhash64("masked"))
-    counts = stored(lines.groupBy("leaf", "own", "family").agg(F.count(F.lit(1)).alias("n")))
-    leaves = stored(counts.groupBy("leaf", "family").agg(F.sum("n").alias("n")).groupBy("leaf")
-                    .agg(F.count(F.lit(1)).alias("families")).filter(F.col("families") >= MIN_FAMILIES).select("leaf"))
+    parsed = parsed_documents(docs, id_column, text_column)
+    families = small(document_families(parsed))
+    lines = parsed_lines(parsed).withColumn("own", F.xxhash64("masked"))
+    counts = stored(lines.select("leaf", "own", "node").distinct())
+    # a family has one node at least, so this is no more than what the joins need not look at
+    leaves = stored(counts.select("leaf", "node").distinct().groupBy("leaf").count().filter(F.col("count") >= MIN_FAMILIES).select("leaf"))
+    leaves = stored(_recurring(counts.select("leaf", "node").distinct().join(small(leaves), "leaf", "left_semi"), families, "leaf").select("leaf"))
     # the lines of leaves in which a template can recur: a small part of all lines
     lines = stored(lines.join(small(leaves), "leaf", "left_semi"))
-    whole = _recurring(counts.join(small(leaves), "leaf", "left_semi"), "leaf", "own").select("leaf", "own", F.lit(True).alias("whole"))
+    counts = stored(counts.join(small(leaves), "leaf", "left_semi").join(families, "node", "left")
+                    .select("leaf", "own", F.coalesce("root", "node").alias("family")).distinct())
+    whole = (counts.groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("families")).filter(F.col("families") >= MIN_FAMILIES)
+             .select("leaf", "own", F.lit(True).alias("whole")))
 
     texts = lines.groupBy("leaf", "own").agg(F.min("masked").alias("masked")).join(
         counts.groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("weight")), ["leaf", "own"])
@@ -83,9 +119,9 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     same = F.size(F.filter(F.zip_with(F.split("masked", " "), "template", lambda token, fixed: token == fixed), lambda equal: equal))
     lines = (lines.join(small(templates), "leaf")
              .withColumn("fits", same >= SIMILAR * F.size("template"))
-             .select(*KEY, "line_no", "family", "leaf", "own", "fits"))
+             .select(*KEY, "line_no", "node", "leaf", "own", "fits"))
     lines = stored(lines)
-    general = _recurring(lines.filter("fits").groupBy("leaf", "family").agg(F.count(F.lit(1)).alias("n")), "leaf").select("leaf", F.lit(True).alias("general"))
+    general = _recurring(lines.filter("fits").select("leaf", "node").distinct(), families, "leaf").select("leaf", F.lit(True).alias("general"))
     return (lines.join(small(stored(whole)), ["leaf", "own"], "left").join(small(stored(general)), "leaf", "left")
             .filter(F.col("whole") | (F.col("fits") & F.col("general"))).select(*KEY, "line_no"))
 
