@@ -183,6 +183,22 @@ def test_templates_recur_whatever_their_hash_number_and_copies(spark):
         assert got[i] == "\n".join(part for part in lines if part not in (low, often, hot)), i
 
 
+def test_short_lines_and_lines_without_spaces_recur(spark):
+    rng = random.Random(22)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(8))
+    rows = []
+    for i in range(40):
+        lines = [line() for _ in range(8)]
+        lines += ["Read more", f"Page {i}", "Share", "", f"{i * 37}"]
+        lines += ["版权所有保留所有权利"] * (i < 8) + ["Thanks!"] * (i < 8)
+        rows.append((i, lines))
+    docs = spark.createDataFrame([(i, "\n".join(lines)) for i, lines in rows], "doc_id long, text string").repartition(4)
+    got = {row.doc_id: row.text for row in line_templates.drop_recurring_lines(docs).collect()}
+    for i, lines in rows:
+        gone = ("Read more", f"Page {i}", "Share", "版权所有保留所有权利")
+        assert got[i] == "\n".join(part for part in lines if part not in gone), i
+
+
 def test_sentence_spans(docs, texts, none):
     first = {}
     for i, text in sorted({(-(1 << 63) if i is None else i, t or "") for i, t in texts}):

@@ -12,7 +12,7 @@ tokens, each document ``BANDS`` keys of the smallest hashes in ``BAND_ROWS`` ran
 share a key are connected. One shared line is seldom the smallest in all orders of a key, whatever its hash, so
 it connects few documents; documents of which five in six hashes agree share a key but for 3 in 100,000. A
 template is dropped if it occurs in ``MIN_FAMILIES`` families or more, however often it stands in each and
-however many copies a family has. Documents most of whose lines are shared are copies by this measure.
+however many copies a family has; one or two tokens of fewer than ``SHORT_BYTES`` bytes need ``SHORT_FAMILIES``. Documents most of whose lines are shared are copies by this measure.
 
 Only DataFrame functions are used. Counts are hash aggregates with partial sums; lines of the same text or
 leaf are never gathered in one task.
@@ -29,8 +29,10 @@ from ticklane.llm.components import connected_components
 from ticklane.llm.shared import row_key, small, stored
 
 DEPTH = 3
-MIN_TOKENS = 3
 MIN_FAMILIES = 5
+# short lines: of fewer tokens than DEPTH and fewer bytes than this
+SHORT_BYTES = 16
+SHORT_FAMILIES = 20
 BANDS = 16
 BAND_ROWS = 4
 SEED = 42
@@ -40,8 +42,8 @@ KEY = ["key_id", "key_text"]
 
 
 def masked(line: Column) -> Column:
-    """The line with each token that holds a digit generalised."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(line)
+    """The line with each token that holds a digit generalised; one or two tokens that all hold one stay as they are."""
+    return F.when(line.rlike("[0-9]") & ~line.rlike(r"^[^\s0-9]*+[0-9]\S*+( [^\s0-9]*+[0-9]\S*+)?$"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(line)
 
 
 def _tokens_of(line: Column) -> Column:
@@ -71,8 +73,8 @@ def parsed_documents(docs: DataFrame, id_column: str, text_column: str) -> DataF
 
 
 def parsed_lines(parsed: DataFrame) -> DataFrame:
-    """A row per line of ``MIN_TOKENS`` tokens or more: its place, leaf, masked text and the document's node."""
-    lines = parsed.select(*KEY, "node", F.posexplode("lines").alias("line_no", "masked")).filter(_tokens_of(F.col("masked")) >= MIN_TOKENS)
+    """A row per line that is not blank: its place, leaf, masked text and the document's node."""
+    lines = parsed.select(*KEY, "node", F.posexplode("lines").alias("line_no", "masked")).filter(F.col("masked").rlike(r"\S"))
     return lines.withColumn("leaf", _leaf(F.col("masked")))
 
 
@@ -96,10 +98,13 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     parsed = parsed_documents(docs, id_column, text_column)
     families = small(document_families(parsed))
     lines = parsed_lines(parsed).withColumn("own", F.xxhash64("masked"))
-    counts = stored(lines.select("leaf", "own", "node").distinct())
+    short = (_tokens_of(F.col("masked")) < DEPTH) & (F.octet_length("masked") < SHORT_BYTES)
+    counts = stored(lines.select("leaf", "own", "node", short.alias("short")).distinct())
     # a family has one node at least, so this is no more than what the joins need not look at
     leaves = stored(counts.select("leaf", "node").distinct().groupBy("leaf").count().filter(F.col("count") >= MIN_FAMILIES).select("leaf"))
-    leaves = stored(_recurring(counts.select("leaf", "node").distinct().join(small(leaves), "leaf", "left_semi"), families, "leaf").select("leaf"))
+    # a leaf of fewer tokens than DEPTH has one text only, so what is asked of short lines is asked here
+    leaves = stored(_recurring(counts.select("leaf", "short", "node").distinct().join(small(leaves), "leaf", "left_semi"), families, "leaf", "short")
+                    .filter(~F.col("short") | (F.col("families") >= SHORT_FAMILIES)).select("leaf"))
     # the lines of leaves in which a template can recur: a small part of all lines
     lines = stored(lines.join(small(leaves), "leaf", "left_semi"))
     counts = stored(counts.join(small(leaves), "leaf", "left_semi").join(families, "node", "left")
@@ -130,7 +135,7 @@ def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column
                          count_column: str = "n_dropped") -> DataFrame:
     """The documents, all columns, with the lines of recurring templates taken out of the text.
 
-    ``count_column`` (long) is added: lines dropped. Lines are what ``\\n`` separates; lines of fewer than three tokens
+    ``count_column`` (long) is added: lines dropped. Lines are what ``\\n`` separates; blank lines
     are never dropped. Null and empty texts stay as they are; a text whose lines are all dropped becomes empty.
     Equal rows give equal rows; an empty table gives no rows.
     """
