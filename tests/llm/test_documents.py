@@ -103,6 +103,23 @@ def plain_windows(docs, items):
     return collections.Counter(result)
 
 
+def template_pages(pages: int, shared: int, own: int):
+    """Pages with words of one template and words of their own, each with a copy that has another last word."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    template = " ".join(word() for _ in range(shared))
+    rows = [(i, f"{template} " + " ".join(word() for _ in range(own))) for i in range(pages)]
+    return rows + [(pages + i, text + " " + word()) for i, text in rows]
+
+
+def test_pages_of_one_template_are_no_near_duplicates(spark):
+    rows = template_pages(1500, 200, 60)
+    kept = simhash.drop_similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    ids = {row.doc_id for row in kept.select("doc_id").collect()}
+    # no page is lost; a copy stays where fingerprints don't find it
+    assert ids >= set(range(1500)) and len(ids) < 1515
+
+
 def test_decontamination(spark, docs, texts, none):
     by_id = dict(texts)
     items = [(1, " ".join(by_id[2].split()[1:40])), (2, by_id[3]), (3, "Beta"), (4, "eta, théta!"), (5, None), (6, ""), (10, by_id[2]),

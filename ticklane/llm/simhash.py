@@ -9,16 +9,18 @@ so fetching all entries of a code is bounded; each is linked with the smallest f
 complete distance is verified. That keeps every connection without listing all pairs of a group. Copies
 share one fingerprint and are expanded only in the result.
 
-``similar_documents`` looks further, for texts whose shingles are similar by ``similarity`` (0.8). At that
-similarity about 15 % of all bits differ, so it takes a fingerprint of 128 bits in four segments of 32, looks up
-the ball of radius 1 of each segment alone and accepts what the complete distance allows. It finds pairs with
-two or fewer differing bits in some segment: by calculation 97 % at a similarity of 0.95, 81 % at 0.9, 40 % at 0.8,
-more in groups, whose members need only be connected.
+``similar_documents`` looks further, for texts whose sets of shingles have a Jaccard similarity of ``similarity`` (0.8).
+Fingerprints only find candidates there: at that similarity about 15 % of all bits differ, so it takes a
+fingerprint of 128 bits in four segments of 32 and looks up the ball of radius 1 of each segment alone, which finds
+pairs with two or fewer differing bits in some segment: by calculation 97 % at a similarity of 0.95, 81 % at 0.9, 40 %
+at 0.8. What the complete distance allows, with ``SPREAD`` standard deviations of the estimate, is verified by the
+exact similarity of the two sets of shingle hashes; only then it is a link.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,7 @@ from ticklane.llm.shared import NO_ID, stored
 SEED = 42
 SEGMENT_BITS = 32
 MAX_DISTANCE = 2
+SPREAD = 2
 # shingles whose bits are counted at once, so that a very long text needs no more memory than this
 BLOCK = 65_536
 
@@ -45,18 +48,33 @@ def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
     return hashes
 
 
-def fingerprint_of(text: str | None, width: int, parts: int = 1) -> list[int]:
-    """Fingerprint of one text as ``parts`` signed 64-bit numbers; zeros for a text without words."""
+def _shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles in blocks; none for a text without words."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return [0] * parts
-    shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
-    ones, total = np.zeros((parts, 64), dtype="int64"), max(1, len(words) - width + 1)
+        return
+    shingles = iter([b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width)))))
+    total = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
-    shingles = iter(shingles)
     for start in range(0, total, BLOCK):
         size = min(BLOCK, total - start)
-        block = np.fromiter((digest(next(shingles), SEED) for _ in range(size)), dtype="<u8", count=size)
+        yield np.fromiter((digest(next(shingles), SEED) for _ in range(size)), dtype="<u8", count=size)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Different hashes of the word shingles, sorted."""
+    return np.unique(np.concatenate([np.empty(0, dtype="<u8"), *_shingle_hashes(text, width)]))
+
+
+def fingerprint_of(text: str | None, width: int, parts: int = 1) -> list[int]:
+    """Fingerprint of one text as ``parts`` signed 64-bit numbers; zeros for a text without words."""
+    return _fingerprint(_shingle_hashes(text, width), parts)
+
+
+def _fingerprint(blocks: Iterable[np.ndarray], parts: int) -> list[int]:
+    ones, total = np.zeros((parts, 64), dtype="int64"), 0
+    for block in blocks:
+        total += len(block)
         for part in range(parts):
             bits = _mixed(block, part).view("uint8").reshape(-1, 8)
             ones[part] += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype="int64")
@@ -105,24 +123,52 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             .select(F.col("doc_id").alias(id_column), "fingerprint", "component_id"))
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` whose sets of shingle hashes have the similarity."""
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    rows = (pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b"))
+    return stored(rows.filter(both >= similarity * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not connected yet."""
+    for name in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}")), name, "left")
+    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5,
                       similarity: float = 0.8) -> DataFrame:
     """One row per input row: its id and ``component_id``, the smallest id of the texts connected by similarity.
 
-    Texts with equal fingerprints and texts without words are one group each. Null ids count as the smallest
+    Texts with equal sets of shingles and texts without words are one group each. Null ids count as the smallest
     number there is and come back as null; equal rows give equal rows; an empty table gives no rows.
     """
     # of two sets of one size and this similarity, the cosine; then the share of bits that differ
-    cosine = 2 * similarity / (1 + similarity)
-    most = int(128 * math.acos(cosine) / math.pi)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = int(128 * share + SPREAD * math.sqrt(128 * share * (1 - share)))
+
+    @F.pandas_udf("node long, f0 long, f1 long, shingles int")
+    def fingerprint(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            blocks = list(_shingle_hashes(text, width))
+            hashes = np.unique(np.concatenate([np.empty(0, dtype="<u8"), *blocks]))
+            node = int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype("int64"))
+            rows.append((node, *_fingerprint(blocks, 2), len(hashes)))
+        return pd.DataFrame(rows, columns=["node", "f0", "f1", "shingles"])
 
     @F.pandas_udf("array<long>")
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_of(text, width, 2) for text in texts])
-
-    marked = stored(docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), fingerprint(F.col(text_column)).alias("f"))
-                    .select("id", F.col("f")[0].alias("f0"), F.col("f")[1].alias("f1")))
-    nodes = stored(marked.groupBy("f0", "f1").agg(F.min("id").alias("node")))
+    def hashes_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(text, width).view("<i8") for text in texts])
+
+    texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text"))
+    marked = stored(texts.select("id", F.xxhash64("text").alias("text_key"), fingerprint("text").alias("f")).select("id", "text_key", "f.*"))
+    # texts of one set of shingles are one node, so copies are neither compared nor verified; fingerprints of one set
+    # may differ with the number of times it has each shingle
+    nodes = stored(marked.groupBy("node").agg(F.min("id").alias("least"), F.min("text_key").alias("text_key"),
+                                              *[F.min_by(name, "text_key").alias(name) for name in ("f0", "f1", "shingles")]))
     segments = [F.col(name).bitwiseAND(F.lit(0xFFFFFFFF)) if low else F.shiftrightunsigned(name, 32)
                 for name in ("f0", "f1") for low in (True, False)]
     ball = F.array(*[F.struct(F.lit(number).alias("segment"), (value.bitwiseXOR(F.lit(flip))).alias("code"))
@@ -131,16 +177,27 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     hubs = stored(entries.groupBy("segment", "code").agg(F.min("node").alias("low"), F.max("node").alias("high"))
                   .filter(F.col("low") < F.col("high")))
     near = entries.join(hubs, ["segment", "code"])
-    pairs = near.select("node", F.explode(F.array("low", "high")).alias("hub")).filter(F.col("node") != F.col("hub")).distinct()
-    prints = nodes.select(F.col("node").alias("hub"), F.col("f0").alias("h0"), F.col("f1").alias("h1"))
-    distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("h0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("h1")))
-    links = stored(pairs).join(nodes, "node").join(prints, "hub").filter(distance <= most).select("node", "hub")
-    roots = connected_components(links, "node", "hub")
-    smallest = roots.groupBy("root").agg(F.min("node").alias("component_id"))
+    pairs = near.select("node", F.explode(F.array("low", "high")).alias("hub")).filter(F.col("node") != F.col("hub"))
+    pairs = stored(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    for name in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("f0", "f1", "shingles")]), name)
+    distance = F.bit_count(F.col("f0_a").bitwiseXOR(F.col("f0_b"))) + F.bit_count(F.col("f1_a").bitwiseXOR(F.col("f1_b")))
+    # sets of more different sizes are not similar
+    sizes = F.least("shingles_a", "shingles_b") >= similarity * F.greatest("shingles_a", "shingles_b")
+    pairs = stored(pairs.filter((distance <= most) & sizes).select("a", "b"))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "text_key"))
+    sets = texts.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key")
+    sets = stored(sets.groupBy("node").agg(F.first("text").alias("text")).select("node", hashes_of("text").alias("hashes")))
+    # first one pair a node, which connects most copies; then the pairs that are not connected yet
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _verified(first, sets, similarity)
+    links = links.union(_verified(_apart(pairs, connected_components(links)), sets, similarity))
+    roots = connected_components(links)
+    smallest = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(roots, "node", "left").join(smallest, "root", "left").select(
-        "f0", "f1", F.coalesce("component_id", "node").alias("component_id"))
+        "node", F.coalesce("component_id", "least").alias("component_id"))
     ids = [F.when(F.col(name) != NO_ID, F.col(name)).alias(other) for name, other in (("id", id_column), ("component_id", "component_id"))]
-    return marked.join(stored(named), ["f0", "f1"]).select(*ids)
+    return marked.join(stored(named), "node").select(*ids)
 
 
 def drop_similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5,
