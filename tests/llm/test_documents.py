@@ -120,6 +120,26 @@ def test_pages_of_one_template_are_no_near_duplicates(spark):
     assert ids >= set(range(1500)) and len(ids) < 1515
 
 
+def test_all_members_of_a_code_are_compared(spark):
+    rng = random.Random(6)
+    segments = [[rng.getrandbits(32) for _ in range(4)] for _ in range(30)]
+    for parts in segments[:20]:
+        parts[1] = segments[0][1] ^ (rng.random() < 0.5) << rng.randrange(32) ^ (rng.random() < 0.5) << rng.randrange(32)
+    for parts in segments[8:12]:
+        parts[2:] = [segments[8][2] ^ 1 << rng.randrange(32), segments[8][3] ^ 1 << rng.randrange(32)]
+        parts[0] = segments[8][0] ^ 7 << rng.randrange(29)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = [(i, i, signed(p[0] | p[1] << 32), signed(p[2] | p[3] << 32), 100) for i, p in enumerate(segments)]
+    balls = [(s, p[s] ^ flip, *node) for node, p in zip(nodes, segments) for s in range(4) for flip in [0, *(1 << bit for bit in range(32))]]
+    entries = spark.createDataFrame(balls, "segment int, code long, node long, family long, f0 long, f1 long, shingles int")
+    bits = lambda p, q: [(x ^ y).bit_count() for x, y in zip(p, q)]
+    expected = sorted((i, j) for i, p in enumerate(segments) for j, q in enumerate(segments)
+                      if i < j and min(bits(p, q)) <= 2 and sum(bits(p, q)) <= 26)
+    assert expected
+    for block in (4, 1024):
+        assert sorted((r.a, r.b) for r in simhash.crowded_pairs(entries, 26, 0.8, block).collect()) == expected
+
+
 def test_decontamination(spark, docs, texts, none):
     by_id = dict(texts)
     items = [(1, " ".join(by_id[2].split()[1:40])), (2, by_id[3]), (3, "Beta"), (4, "eta, théta!"), (5, None), (6, ""), (10, by_id[2]),

@@ -14,7 +14,9 @@ Fingerprints only find candidates there: at that similarity about 15 % of all bi
 fingerprint of 128 bits in four segments of 32 and looks up the ball of radius 1 of each segment alone, which finds
 pairs with two or fewer differing bits in some segment: by calculation 97 % at a similarity of 0.95, 81 % at 0.9, 40 %
 at 0.8. What the complete distance allows, with ``SPREAD`` standard deviations of the estimate, is verified by the
-exact similarity of the two sets of shingle hashes; only then it is a link.
+exact similarity of the two sets of shingle hashes; only then it is a link. A code is first compared by its smallest
+and largest node, which settles three nodes or fewer; of codes with more, all pairs that are not connected yet
+are compared, large codes as pairs of blocks of ``BUCKET`` nodes.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ SEED = 42
 SEGMENT_BITS = 32
 MAX_DISTANCE = 2
 SPREAD = 2
+BUCKET = 1024
 # shingles whose bits are counted at once, so that a very long text needs no more memory than this
 BLOCK = 65_536
 
@@ -131,11 +134,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return stored(rows.filter(both >= similarity * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are not connected yet."""
-    for name in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}")), name, "left")
-    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+def _bits(values: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(values.view("u8")).astype("int64")
+
+
+def crowded_pairs(entries: DataFrame, most: int, similarity: float, block: int = BUCKET) -> DataFrame:
+    """Pairs ``a``, ``b`` of nodes of two families that share a code and may be similar.
+
+    ``entries`` has ``segment``, ``code``, ``node``, ``family``, ``f0``, ``f1``, ``shingles``. A pair shares several codes; it
+    is taken in the first segment that has one, there with the smallest code on the way from one to the other.
+    """
+    buckets = entries.groupBy("segment", "code").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("one"), F.max("family").alias("two"))
+    buckets = stored(buckets.filter(F.col("one") < F.col("two")).select("segment", "code", F.ceil(F.col("n") / block).alias("blocks")))
+    dealt = (entries.join(buckets, ["segment", "code"]).withColumn("own", F.pmod("node", "blocks"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "blocks"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        segment, code, low, high = (int(rows[name].iloc[0]) for name in ("segment", "code", "low", "high"))
+        one, two = (rows, rows) if low == high else (rows[rows["own"] == low], rows[rows["own"] == high])
+        node, family, f0, f1, size = ([part[name].to_numpy() for part in (one, two)] for name in ("node", "family", "f0", "f1", "shingles"))
+        left, right = np.nonzero((family[0][:, None] != family[1][None, :]) & (
+            _bits(f0[0][:, None] ^ f0[1][None, :]) + _bits(f1[0][:, None] ^ f1[1][None, :]) <= most))
+        keep = np.minimum(size[0][left], size[1][right]) >= similarity * np.maximum(size[0][left], size[1][right])
+        keep &= node[0][left] < node[1][right] if low == high else True
+        left, right = left[keep], right[keep]
+        parts = [[(f[side][at].view("u8") >> np.uint64(shift)) & np.uint64(0xFFFFFFFF) for side, at in ((0, left), (1, right))]
+                 for f in (f0, f1) for shift in (0, SEGMENT_BITS)]
+        new = np.ones(len(left), dtype=bool)
+        for x, y in parts[:segment]:
+            new &= np.bitwise_count(x ^ y) > 2
+        x, y = parts[segment]
+        flip = (x ^ y) & (~(x ^ y) + np.uint64(1))
+        way = np.where(np.bitwise_count(x ^ y) == 2, np.minimum(x ^ flip, y ^ flip), np.minimum(x, y))
+        new &= way == np.uint64(code)
+        a, b = node[0][left[new]], node[1][right[new]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("segment", "code", "low", "high").applyInPandas(compare, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5,
@@ -174,9 +210,9 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     ball = F.array(*[F.struct(F.lit(number).alias("segment"), (value.bitwiseXOR(F.lit(flip))).alias("code"))
                      for number, value in enumerate(segments) for flip in [0] + [1 << bit for bit in range(SEGMENT_BITS)]])
     entries = nodes.select("node", F.explode(ball).alias("e")).select("node", "e.segment", "e.code")
-    hubs = stored(entries.groupBy("segment", "code").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    hubs = stored(entries.groupBy("segment", "code").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"))
                   .filter(F.col("low") < F.col("high")))
-    near = entries.join(hubs, ["segment", "code"])
+    near = stored(entries.join(hubs, ["segment", "code"]))
     pairs = near.select("node", F.explode(F.array("low", "high")).alias("hub")).filter(F.col("node") != F.col("hub"))
     pairs = stored(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     for name in ("a", "b"):
@@ -185,14 +221,23 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     # sets of more different sizes are not similar
     sizes = F.least("shingles_a", "shingles_b") >= similarity * F.greatest("shingles_a", "shingles_b")
     pairs = stored(pairs.filter((distance <= most) & sizes).select("a", "b"))
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "text_key"))
-    sets = texts.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key")
-    sets = stored(sets.groupBy("node").agg(F.first("text").alias("text")).select("node", hashes_of("text").alias("hashes")))
-    # first one pair a node, which connects most copies; then the pairs that are not connected yet
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _verified(first, sets, similarity)
-    links = links.union(_verified(_apart(pairs, connected_components(links)), sets, similarity))
-    roots = connected_components(links)
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "text_key"))
+        sets = texts.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key")
+        return stored(sets.groupBy("node").agg(F.first("text").alias("text")).select("node", hashes_of("text").alias("hashes")))
+
+    roots = connected_components(_verified(pairs, sets_of(pairs), similarity))
+    families = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("family"), "f0", "f1", "shingles")
+    crowded = stored(near.filter("n > 3").select("segment", "code", "node").join(families, "node"))
+    others = stored(crowded_pairs(crowded, most, similarity))
+    if not others.isEmpty():
+        # the families that these connect, as a graph of families only
+        links = _verified(others, sets_of(others), similarity)
+        for name in ("a", "b"):
+            links = links.join(families.select(F.col("node").alias(name), F.col("family").alias(f"family_{name}")), name)
+        joined = connected_components(links, "family_a", "family_b").select(F.col("node").alias("family"), F.col("root").alias("joined"))
+        roots = stored(families.join(joined, "family", "left").select("node", F.coalesce("joined", "family").alias("root")))
     smallest = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(roots, "node", "left").join(smallest, "root", "left").select(
         "node", F.coalesce("component_id", "least").alias("component_id"))
