@@ -160,3 +160,40 @@ def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
 
     good = table(spark, folder, "labels").filter("quality = 1 AND toxic = 0")
     return cross_entropy_difference(table(spark, folder, "documents"), good)
+
+
+# The closed form of the shares: sources in order of how soon they are full, the first k of them filled.
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE r % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM sources),
+filled AS (
+  SELECT *, sum(source_size) OVER () AS total, coalesce(sum(3 * source_size) OVER before, 0) AS given,
+    sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open_weights
+  FROM weighed WINDOW before AS (ORDER BY source_size / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT CAST(total - given AS DOUBLE) AS rest, CAST(open_weights AS DOUBLE) AS open_weights FROM filled
+  WHERE (total - given) * w <= 3 * source_size * open_weights ORDER BY source_size / w, r LIMIT 1),
+targets AS (
+  SELECT source, r, source_size, CASE WHEN level.rest * w > 3 * source_size * level.open_weights THEN CAST(3 * source_size AS DOUBLE)
+    ELSE level.rest * w / level.open_weights END AS target
+  FROM weighed CROSS JOIN level),
+placed AS (
+  SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source
+    ORDER BY substring(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16), doc_id NULLS FIRST, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized)
+SELECT doc_id, size, source_size, target, CAST(
+  greatest(0, least(size, floor(target + 0.5) - start)) + greatest(0, least(size, floor(target + 0.5) - start - source_size))
+  + greatest(0, least(size, floor(target + 0.5) - start - 2 * source_size)) AS BIGINT) AS taken
+FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+"""
+
+
+@query("op11_curriculum_mix", MIX_SQL)
+def curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
+    from ticklane.llm.curriculum import mix_sources
+
+    return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
