@@ -197,3 +197,34 @@ def curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     from ticklane.llm.curriculum import mix_sources
 
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ROUND_SQL = """
+a{now} AS (
+  SELECT vec_id, x, k, d FROM (SELECT vec_id, v.x, k, row_number() OVER (PARTITION BY row_id ORDER BY d, k) AS place, d FROM (
+    SELECT v.*, k, CAST(list_sum(list_transform(list_zip(v.x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+    FROM v CROSS JOIN c{now}) v) WHERE place = 1),"""
+MEANS_SQL = """
+m{next} AS (SELECT k, list(m ORDER BY i) AS c FROM (
+  SELECT k, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM a{now} CROSS JOIN range(1, 65) r(i) GROUP BY k, i) GROUP BY k),
+c{next} AS (SELECT c{now}.k, coalesce(m{next}.c, c{now}.c) AS c FROM c{now} LEFT JOIN m{next} ON c{now}.k = m{next}.k),"""
+CLUSTER_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS row_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS k, x AS c
+  FROM v ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) LIMIT 16),""" + "".join(
+    ROUND_SQL.format(now=i) + MEANS_SQL.format(now=i, next=i + 1) for i in range(3)) + ROUND_SQL.format(now=3) + """
+sums AS (SELECT k, sum(d) AS t FROM a3 GROUP BY k)
+SELECT vec_id, CAST(a3.k AS INT) AS cluster, d AS distance, CAST(t AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(t) FROM sums) AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN sums ON a3.k = sums.k JOIN c3 ON a3.k = c3.k
+"""
+
+
+@query("op12_centroid_clustering", CLUSTER_SQL)
+def centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    from ticklane.llm.centroids import clustered
+
+    return clustered(table(spark, folder, "embeddings"))
