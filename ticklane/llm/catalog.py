@@ -228,3 +228,10 @@ def centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     from ticklane.llm.centroids import clustered
 
     return clustered(table(spark, folder, "embeddings"))
+
+
+@query("op13_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from ticklane.llm.whitening import whiten
+
+    return whiten(table(spark, folder, "embeddings"))
