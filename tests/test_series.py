@@ -80,10 +80,10 @@ def test_exact_quantiles(spark, size):
     values = np.where(rng.random(size) < 0.34, 5.0, np.round(rng.normal(5, 3, size), 2))
     frame = pd.DataFrame({"k": np.where(np.arange(size) % 2 == 0, "a", "b"), "v": values})
     shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    rows = exact_quantiles(spark.createDataFrame(frame), "v", shares, ["k"], ranges=8).collect()
+    rows = exact_quantiles(spark.createDataFrame(frame), "v", shares, ["k"], most_rows=8).collect()
     for row in rows:
         np.testing.assert_allclose(row["quantiles"], frame[frame.k == row["k"]]["v"].quantile(shares))
-    whole = exact_quantiles(spark.createDataFrame(frame), "v", shares, ranges=8).collect()
+    whole = exact_quantiles(spark.createDataFrame(frame), "v", shares, most_rows=8).collect()
     np.testing.assert_allclose(whole[0]["quantiles"], frame["v"].quantile(shares))
 
 

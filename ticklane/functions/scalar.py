@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ticklane import constants as K
 from ticklane.functions.quantiles import exact_quantiles
+from ticklane.session import with_key_rows
 
 ColumnOrName = Column | str
 
@@ -193,22 +194,17 @@ def strip_whitespace(text: ColumnOrName) -> Column:
 
 # --- whole-column normalisation ------------------------------------------------------------
 
-def _with_statistics(df: DataFrame, keys: list[str], statistics: DataFrame) -> DataFrame:
-    # one row per key (a single row without keys), so the size bound is the key count
-    return df.join(statistics, keys) if keys else df.crossJoin(F.broadcast(statistics))
-
-
 def clip_outliers(df: DataFrame, column: str, keys: list[str] | None = None, width: float = 5.0,
                   scale: float = 1.4826, output: str | None = None) -> DataFrame:
     """Clip to median ± width · scale · mean absolute deviation from the median."""
     keys = keys or []
     median = exact_quantiles(df, column, [0.5], keys).select(*keys, F.col("quantiles")[0].alias("_median"))
-    centred = _with_statistics(df, keys, median)
+    centred = with_key_rows(df, median, keys)
     spread = centred.groupBy(*keys).agg(F.avg(F.abs(F.col(column) - F.col("_median"))).alias("_mad"),
                                         F.max("_median").alias("_median"))
     reach = F.col("_mad") * scale * width
     clipped = F.greatest(F.least(F.col(column), F.col("_median") + reach), F.col("_median") - reach)
-    return _with_statistics(df, keys, spread).withColumn(
+    return with_key_rows(df, spread, keys).withColumn(
         output or column, F.when(F.col(column).isNotNull(), clipped)).drop("_median", "_mad")
 
 
@@ -217,10 +213,10 @@ def zero_small_values(df: DataFrame, column: str, keys: list[str] | None = None,
     """Set values within width · scale · mean absolute deviation of zero to zero."""
     keys = keys or []
     mean = df.groupBy(*keys).agg(F.avg(column).alias("_mean"))
-    spread = _with_statistics(df, keys, mean).groupBy(*keys).agg(
+    spread = with_key_rows(df, mean, keys).groupBy(*keys).agg(
         F.avg(F.abs(F.col(column) - F.col("_mean"))).alias("_mad"))
     small = F.abs(F.col(column)) < F.col("_mad") * scale * width
-    return _with_statistics(df, keys, spread).withColumn(
+    return with_key_rows(df, spread, keys).withColumn(
         output or column, F.when(small, F.lit(0.0)).otherwise(F.col(column))).drop("_mad")
 
 
@@ -230,5 +226,5 @@ def scale_by_extreme(df: DataFrame, column: str, keys: list[str] | None = None,
     keys = keys or []
     extremes = df.groupBy(*keys).agg(
         F.greatest(F.abs(F.max(column)), F.abs(F.min(column))).alias("_extreme"))
-    return _with_statistics(df, keys, extremes).withColumn(
+    return with_key_rows(df, extremes, keys).withColumn(
         output or column, F.try_divide(F.col(column), F.col("_extreme") * 2)).drop("_extreme")

@@ -86,7 +86,7 @@ def threshold_band_report(data: DataFrame, factor: str, keys: list[str], ret_len
     before, exit_open = columns.lag(factor, 1), columns.lead("open", ret_length)
     rows = columns.apply(data, keys, position, chunk_rows).where(F.col(before).isNotNull())
     # a single row of fixed width
-    rows = rows.crossJoin(F.broadcast(levels))
+    rows = rows.crossJoin(levels)
     level = lambda i: F.get(F.col("_levels"), i)
     size = F.abs(F.col(before))
     inside = F.filter(F.sequence(F.lit(1), F.lit(points - 1)), lambda i: (size >= level(i - 1)) & (size <= level(i)))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -47,3 +49,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# rows of fixed width up to which a counted table may be broadcast
+BROADCAST_ROWS = 200_000
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write the table once to the shared folder and read it again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def with_key_rows(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Join a table with one row of fixed width per key (a single row without keys).
+
+    The table is stored and counted: a key may hold any share of the rows of ``df``, so they are shuffled on it only if
+    the keys are too many for a broadcast, and then a key's rows are few. Null keys meet null keys.
+    """
+    table = stored(table)
+    few = not keys or table.count() <= BROADCAST_ROWS
+    names = {key: f"_key_{i}" for i, key in enumerate(keys)}
+    table = table.withColumnsRenamed(names)
+    same = F.lit(True)
+    for key, name in names.items():
+        same = same & F.col(key).eqNullSafe(F.col(name))
+    return df.join(F.broadcast(table) if few else table, same).drop(*names.values()) if keys else df.crossJoin(F.broadcast(table))
