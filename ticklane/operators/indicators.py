@@ -6,10 +6,11 @@ Every function records its columns on a :class:`SeriesColumns` and returns the n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ticklane.functions.series import SeriesColumns
@@ -63,11 +64,7 @@ def kurtosis(columns: SeriesColumns, length: int, target: str = "close") -> str:
 
 def quantile(columns: SeriesColumns, length: int, target: str = "close", proportion: float = 0.5) -> str:
     share = str(proportion).replace(".", "_")
-    return columns.add(
-        f"quantile__{target}__{length}__{share}",
-        lambda w: F.when(F.count(target).over(w.rowsBetween(1 - length, 0)) == length,
-                         F.percentile(target, F.lit(proportion)).over(w.rowsBetween(1 - length, 0))),
-        [target], back=length - 1)
+    return columns.rolling_quantile(target, length, proportion, f"quantile__{target}__{length}__{share}")
 
 
 def median(columns: SeriesColumns, length: int, target: str = "close") -> str:
@@ -116,11 +113,37 @@ def linear_regression(columns: SeriesColumns, length: int, target: str = "close"
     return columns.add(name, build, [target] if by_row else [target, variable], back=length - 1)
 
 
-def polynomial_basis(length: int, order: int) -> np.ndarray:
-    """Orthonormal polynomials of degree 0..order on the grid 1..length, one per row."""
-    grid = np.linspace(-1.0, 1.0, length)
-    basis, _ = np.linalg.qr(np.vander(grid, order + 1, increasing=True))
-    return basis.T
+def polynomial_basis(length: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Orthonormal polynomials of degree 0..order on ``length`` points 1/length apart around zero.
+
+    Their coefficients (row: power, column: degree) and their values at the last point.
+    """
+    grid = (np.arange(length) - (length - 1) / 2) / length
+    basis, triangle = np.linalg.qr(np.vander(grid, order + 1, increasing=True))
+    return np.linalg.inv(triangle), basis[-1]
+
+
+def power_sums(columns: SeriesColumns, length: int, target: str, order: int) -> list[str]:
+    """Sums over the window of the target times powers of the place, in window lengths from the start of the row's block.
+
+    Positions are cut into blocks as long as the window, which so covers the end of one block and the start of the next:
+    a running sum backwards in the one and forwards in the other. Nothing is subtracted, so values outside a window leave
+    no trace in it. Null until the window is full.
+    """
+    place = F.pmod(F.col("pos"), F.lit(length))
+    run = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    missing = columns.add(f"{target}__last_missing", lambda w: F.coalesce(
+        F.max(F.when(F.col(target).isNull(), F.col("pos"))).over(run(w)), F.min("pos").over(run(w)) - 1), [target])
+    names = []
+    for power in range(order + 1):
+        here = lambda start: F.col(target) * F.pow((place - start) / F.lit(float(length)), F.lit(power)) if power else F.col(target)  # noqa: B023, E731
+        label = f"{target}__power{power}__{length}"
+        forwards = columns.within_blocks(f"{label}__forwards", lambda w, v=here(0): F.sum(v).over(run(w)), length, [target])
+        backwards = columns.within_blocks(f"{label}__backwards", lambda w, v=here(length): F.sum(v).over(run(w)), length, [target], reverse=True)
+        before = columns.lag(backwards, length - 1)
+        total = F.col(forwards) + F.when(place == length - 1, F.lit(0.0)).otherwise(F.col(before))
+        names.append(columns.value(label, F.when(F.col("pos") - F.col(missing) >= length, total), [forwards, before, missing]))
+    return names
 
 
 def polynomial_regression(columns: SeriesColumns, length: int, target: str = "close", order: int = 2,
@@ -128,23 +151,21 @@ def polynomial_regression(columns: SeriesColumns, length: int, target: str = "cl
     """Polynomial least squares on 1..length: ``predict`` is the last fitted value, ``deviation`` the last
     residual over the standard error of the residuals.
 
-    On a fixed grid the fit is a projection on fixed vectors, so each coefficient is one weighted sum.
+    On a fixed grid the fit is a projection on fixed polynomials, so each coefficient is a combination of power sums,
+    moved from the start of the block to the middle of the window.
     """
     name = f"polynomial_regression__{target}__{order}__{length}__{result}"
-    basis = polynomial_basis(length, order)
-    window_values = columns.add(
-        f"{target}__window{length}",
-        lambda w: F.when(F.count(target).over(w.rowsBetween(1 - length, 0)) == length,
-                         F.collect_list(target).over(w.rowsBetween(1 - length, 0))),
-        [target], back=length - 1)
-    coefficients = []
-    for degree in range(order + 1):
-        weights = F.array(*[F.lit(float(v)) for v in basis[degree]])
-        coefficients.append(columns.value(
-            f"{name}__c{degree}",
-            F.aggregate(F.zip_with(window_values, weights, lambda y, v: y * v), F.lit(0.0), lambda a, b: a + b),
-            [window_values]))
-    predict = sum((F.col(c) * float(basis[degree][-1]) for degree, c in enumerate(coefficients)), F.lit(0.0))
+    powers, at_last = polynomial_basis(length, order)
+    sums = power_sums(columns, length, target, order)
+    shift = (F.lit((length - 1) / 2) - F.pmod(F.col("pos"), F.lit(length))) / F.lit(float(length))
+    centred = []
+    for power in range(order + 1):
+        moved = sum((F.col(sums[j]) * F.lit(float(math.comb(power, j))) * F.pow(shift, F.lit(power - j)) for j in range(power)), F.lit(0.0))
+        centred.append(columns.value(f"{sums[power]}__centred", F.col(sums[power]) + moved, sums[:power + 1]))
+    coefficients = [columns.value(f"{target}__polynomial{degree}of{order}__{length}", sum(
+        (F.col(centred[power]) * F.lit(float(powers[power][degree])) for power in range(degree + 1)), F.lit(0.0)), centred)
+        for degree in range(order + 1)]
+    predict = sum((F.col(c) * float(at_last[degree]) for degree, c in enumerate(coefficients)), F.lit(0.0))
     if result == "predict":
         return columns.value(name, predict, coefficients)
 

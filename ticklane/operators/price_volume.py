@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -417,25 +418,47 @@ def _n_day_high(c, n):
     return c.add(f"n_day_high__{n}", build, ["close"], back=n - 1)
 
 
+def rows_since_first_beyond(values: np.ndarray, n: int, lower: bool) -> np.ndarray:
+    """How many rows ago the oldest of the last n values was beyond the current one, n + 1 if none was; NaN until n are there.
+
+    The extremes of 1, 2, 4, .. values from each row on are built up; then every row walks from the start of its window
+    over the longest stretches that hold nothing beyond its value.
+    """
+    rows = len(values)
+    missing = np.isnan(values)
+    values = np.where(missing, np.inf, values if lower else -values)
+    extremes = [values]
+    while 1 << len(extremes) <= min(n, rows):
+        half, last = 1 << (len(extremes) - 1), extremes[-1]
+        extremes.append(np.minimum(last[:-half], last[half:]))
+    here = np.arange(rows)
+    at = np.maximum(here - n + 1, 0)
+    for level in range(len(extremes) - 1, -1, -1):
+        inside = at < len(extremes[level])
+        clear = inside & (extremes[level][np.where(inside, at, 0)] >= values)
+        at = at + (clear.astype("int64") << level)
+    result = np.where(at <= here, here - at, n + 1).astype("float64")
+    holes = np.concatenate([[0], np.cumsum(missing)])
+    full = (here >= n - 1) & (holes[1:] == holes[np.maximum(here - n + 1, 0)])
+    return np.where(full, result, np.nan)
+
+
 def oldest_beyond(c: SeriesColumns, n: int, column: str, lower: bool, mode: str = "literal") -> str:
     """100(k−1)/n − 50 where k is how many rows ago the window was beyond the current value.
 
     ``literal`` takes the oldest such row; ``intended`` the most recent extreme. k is n + 1 if there is none.
     """
     name = f"beyond__{column}__{'lower' if lower else 'higher'}__{mode}__{n}"
+    if mode == "literal":
+        rows = c.in_arrow(column, n, lambda values: rows_since_first_beyond(values, n, lower), f"{name}__rows")
+        return c.value(name, (F.col(rows) - 1) * 100.0 / n - 50, [rows])
 
     def build(w):
         frame = w.rowsBetween(1 - n, 0)
-        if mode == "intended":
-            extreme = F.min(column) if lower else F.max(column)
-            pick = F.min_by if lower else F.max_by
-            order = F.struct(column, -F.col("pos")) if lower else F.struct(F.col(column), F.col("pos"))
-            rows = F.when(extreme.over(frame) == F.col(column), n + 1) \
-                .otherwise(F.col("pos") - pick("pos", order).over(frame))
-        else:
-            beyond = (lambda x: x < F.col(column)) if lower else (lambda x: x > F.col(column))
-            place = F.array_position(F.transform(F.collect_list(column).over(frame), beyond), F.lit(True))
-            rows = F.when(place == 0, n + 1).otherwise(n - place)
+        extreme = F.min(column) if lower else F.max(column)
+        pick = F.min_by if lower else F.max_by
+        order = F.struct(column, -F.col("pos")) if lower else F.struct(F.col(column), F.col("pos"))
+        rows = F.when(extreme.over(frame) == F.col(column), n + 1).otherwise(F.col("pos") - pick("pos", order).over(frame))
         return F.when(F.count(column).over(frame) == n, (rows - 1) * 100.0 / n - 50)
 
     return c.add(name, build, [column], back=n - 1)
