@@ -97,3 +97,23 @@ def test_scalar_functions(spark):
         "high": "2022-04-18 09:30:00.500000000", "dashed": "2022-12-08", "plain": "20221208", "sh": "sh688005",
         "sz": "300001.XSHE", "none": None, "d": 3, "zero": 0.0, "params": [20, 50], "old": 0.1, "new": 0.2, "star": 0.2,
         "north": 0.3, "st": 0.05, "main": 0.1, "contract": "IF2209"}
+
+
+def test_intervals_meet_points_once_and_without_a_nested_loop(spark):
+    from ticklane.functions.intervals import join_intervals
+
+    days = spark.sql("SELECT explode(sequence(DATE '2020-01-05', DATE '2021-03-01', INTERVAL 9 DAYS)) AS date").union(spark.sql("SELECT NULL"))
+    spans = [("a", "1990-01-01", "2030-12-31"), ("b", "2020-02-10", "2020-02-10"), ("b", "2020-02-10", "2020-06-01"), ("c", "2020-05-01", "2020-04-01"),
+             ("d", None, "2021-01-01"), ("e", "2025-01-01", "2026-01-01"), ("f", "2020-12-31", "2021-01-01")]
+    intervals = spark.createDataFrame(spans, "k string, a string, z string").selectExpr("k", "date(a) AS a", "date(z) AS z")
+    for bin_days in (1, 31, 1000):
+        joined = join_intervals(intervals, days, "a", "z", "date", bin_days=bin_days)
+        found = sorted((r.k, str(r.a), str(r.date)) for r in joined.collect())
+        wanted = sorted((k, a, str(r.date)) for k, a, z in spans for r in days.collect() if a and r.date and a <= str(r.date) <= z)
+        assert found == wanted and joined.columns == ["k", "a", "z", "date"]
+    keyed = join_intervals(intervals, days.selectExpr("date", "'a' AS k"), "a", "z", "date", ["k"])
+    assert {r.k for r in keyed.collect()} == {"a"}
+    hint = joined.join(days, "date")._jdf.queryExecution().executedPlan().toString()
+    condition = [line for line in hint.splitlines() if "NestedLoop" in line and "_bin" in line]
+    assert not condition
+    assert join_intervals(intervals, days.limit(0), "a", "z", "date").count() == 0

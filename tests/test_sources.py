@@ -44,7 +44,7 @@ def test_partitioned_layer_and_partial_overwrite(spark, tmp_path):
     path = str(tmp_path / "ticks")
     data = spark.createDataFrame([(d, s, i) for i, (d, s) in enumerate((d, s) for d in ("d1", "d2") for s in ("a", "b", "c"))],
                                  "date string, tscode string, v long")
-    files.write_table(data, path, ["date"], files_per_partition=3)
+    files.write_table(data, path, ["date"])
     files.write_table(data.where("date = 'd2'").withColumn("v", F.lit(100)), path, ["date"], replace_touched=True)
     assert {r["v"] for r in files.read_table(spark, path, dates=["d2"]).collect()} == {100}
     assert files.read_table(spark, path, dates=["d1"], stocks=["a"], columns=["v"]).collect()[0]["v"] == 0
@@ -103,9 +103,48 @@ def test_compaction_and_cut_lineage(spark, tmp_path):
     from ticklane.session import cut_lineage
 
     ticks = spark.createDataFrame([(f"d{i % 2}", f"s{i}", i) for i in range(20)], "date string, tscode string, v long")
-    compact_by_date(ticks.repartition(5), str(tmp_path / "days"), files_per_date=2)
-    written = list((tmp_path / "days" / "date=d0").glob("*.parquet"))
-    assert 1 <= len(written) <= 2 and spark.read.parquet(str(tmp_path / "days")).count() == 20
+    compact_by_date(ticks.repartition(5), str(tmp_path / "days"))
+    assert len(list((tmp_path / "days" / "date=d0").glob("*.parquet"))) == 1 and spark.read.parquet(str(tmp_path / "days")).count() == 20
     cut = cut_lineage(ticks.withColumn("w", F.col("v") * 2))
     assert cut.agg(F.sum("w")).first()[0] == 380
     assert "Project" not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_hot_partition_gets_several_files_and_small_ones_one(spark, tmp_path):
+    rows = spark.range(200_000).select(F.when(F.col("id") < 150_000, F.lit("hot")).otherwise(F.concat(F.lit("p"), F.col("id") % 25)).alias("product"),
+                                       F.xxhash64("id").alias("v"))
+    name, before = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set(name, "256k")
+    try:
+        files.write_table(rows.repartition(6), str(tmp_path / "t"), ["product"])
+    finally:
+        spark.conf.set(name, before)
+    sizes = {p.name: [f.stat().st_size for f in p.glob("*.parquet")] for p in (tmp_path / "t").glob("product=*")}
+    assert len(sizes) == 26 and len(sizes.pop("product=hot")) >= 3 and all(len(parts) == 1 for parts in sizes.values())
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 200_000
+
+
+def test_records_are_cut_at_their_borders(spark, tmp_path):
+    from ticklane.sources import records
+
+    assert records.cut_ranges([("a", 100), ("b", 0), ("c", 31), ("d", 320)], 100) == [
+        [("a", 0, 96)], [("d", 0, 96)], [("d", 96, 96)], [("d", 192, 96)], [("d", 288, 32)]]
+    assert records.cut_ranges([("a", 64), ("b", 64)], 1 << 20) == [[("a", 0, 64), ("b", 0, 64)]]
+    bars = spark.range(5000).select(F.when(F.col("id") < 4000, "big").otherwise(F.concat(F.lit("c"), F.col("id") % 7)).alias("instrument"),
+                                    (F.col("id") + 20000101).cast("int").alias("date"), (F.col("id") / 100).alias("open"), F.lit(2.25).alias("high"),
+                                    F.lit(0.0).alias("low"), F.lit(1.5).alias("close"), F.lit(7).alias("volume"), F.lit(0.5).alias("amount"))
+    path = str(tmp_path / "bars")
+    files.write_fixed_width(bars.repartition(4), path)
+    (tmp_path / "bars" / "big-cut.day").write_bytes(b"x" * 20)
+    table = spark.read.format("records").option("rangeBytes", 32 * 300 + 5).load(path)
+    assert table.rdd.getNumPartitions() == 17
+    same = [c for c in bars.columns]
+    back = table.select(*same).orderBy("date").collect()
+    assert [tuple(r) for r in back] == [tuple(r) for r in bars.orderBy("date").collect()]
+    assert not [p for p in (tmp_path / "bars").iterdir() if p.name.startswith("_")]
+    assert files.read_fixed_width(spark, path).where("instrument = 'big'").count() == 4000
+    settled = bars.select("instrument", "date", "open", "high", "low", "close", F.lit(3).alias("interest"), "volume", F.lit(1.25).alias("settlement"))
+    files.write_fixed_width(settled, str(tmp_path / "settled"), settled=True)
+    assert files.read_fixed_width(spark, str(tmp_path / "settled"), settled=True).agg(F.sum("settlement"), F.sum("interest")).first() == (6250.0, 15000)
+    files.write_fixed_width(bars.limit(0), str(tmp_path / "none"))
+    assert files.read_fixed_width(spark, str(tmp_path / "none")).count() == 0

@@ -352,6 +352,14 @@ def _smoothed_columns(narrow: DataFrame, keys: list[str], position: str, chunk_r
     return chunks.cogroup(composed.groupBy(*keys, "_chunk")).applyInArrow(run, result)
 
 
+def last_value(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: str, name: str) -> DataFrame:
+    """The last value of the series on each of its rows, carried back over buckets: rows meet it on keys and bucket."""
+    ends = df.groupBy(*keys, bucket).agg(F.max_by(value, _order_key(order)).alias("_end"))
+    series = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = ends.select(*keys, bucket, F.last("_end").over(series).alias(name))
+    return df.join(carried, [*keys, bucket])
+
+
 def next_value(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: str, name: str) -> DataFrame:
     """Value of the row after, across buckets: the last row of a bucket takes the first later one."""
     firsts = df.groupBy(*keys, bucket).agg(F.min_by(value, _order_key(order)).alias("_next"))

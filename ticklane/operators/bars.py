@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklane import constants as K
-from ticklane.functions.series import SeriesColumns, next_value, previous_value
+from ticklane.functions.series import SeriesColumns, last_value, next_value, previous_value
 
 
 @dataclass(frozen=True)
@@ -147,12 +147,14 @@ def forward_returns(bars: DataFrame, keys: list[str], position: str = "pos", min
 
     The tail of a series uses its last close; the last bar has return 0.
     """
-    final = bars.groupBy(*keys).agg(F.max_by("close", position).alias("_final"))
+    # stretches of positions carry the last close, so bars never meet on the contract alone
+    stretch = F.floor(F.col(position) / max(chunk_rows, 1))
+    final = last_value(bars.withColumn("_stretch", stretch), keys, [position], "_stretch", "close", "_final")
     columns = SeriesColumns()
     entry = columns.lead("open", 1)
     for n in minutes:
         columns.lead("close", n * bars_per_minute + 1)
-    priced = columns.apply(bars, keys, position, chunk_rows).join(final, keys)
+    priced = columns.apply(final, keys, position, chunk_rows)
     for n in minutes:
         exit_price = F.coalesce(F.col(f"close__lead{n * bars_per_minute + 1}"), F.col("_final"))
         change = F.try_divide(exit_price - F.col(entry), F.col(entry))

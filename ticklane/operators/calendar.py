@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklane import constants as K
+from ticklane.functions.intervals import join_intervals
 
 
 def trading_dates(config: DataFrame, start=None, end=None) -> DataFrame:
@@ -105,9 +106,7 @@ def day_window(ticks: DataFrame, calendar: DataFrame, days: int) -> DataFrame:
 def expand_intervals(constituents: DataFrame, dates: DataFrame) -> DataFrame:
     """(product, date, tscode) of interval rows over a date list, with the default status."""
     distinct = dates.select("date").distinct()
-    # a calendar holds a few thousand dates
-    inside = F.col("date").between(F.col("start_date"), F.col("end_date"))
-    return constituents.join(F.broadcast(distinct), inside).select("product", "date", "tscode").distinct() \
+    return join_intervals(constituents, distinct, "start_date", "end_date", "date").select("product", "date", "tscode").distinct() \
         .withColumn("status", F.lit(K.STATUS_OK)).withColumn("is_st", F.lit(0))
 
 

@@ -13,6 +13,7 @@ from ticklane.functions.scalar import parse_parameters
 from ticklane.operators.calendar import main_spans
 from ticklane.operators.cross_section import SPOT_FACTORS, SpotFactor, align_to_bars, spot_factors
 from ticklane.operators.price_volume import FACTORS, OBV_CODE, PriceVolumeFactor, factor_columns
+from ticklane.session import with_key_rows
 
 Handler = Callable[[DataFrame], DataFrame]
 
@@ -72,7 +73,7 @@ def cut_to_main_span(table: DataFrame, contracts: DataFrame) -> DataFrame:
     Must follow the windows: cutting earlier would change the first values.
     """
     spans = main_spans(contracts).select("instrument", "start_date", "end_date")
-    return table.join(spans, "instrument").where(
+    return with_key_rows(table, spans, ["instrument"]).where(
         F.col("date").between(F.col("start_date"), F.col("end_date"))).drop("start_date", "end_date")
 
 

@@ -135,7 +135,6 @@ def enrich_stock_ticks(ticks: DataFrame, step: int = K.STOCK_TICK_SECONDS) -> Da
     )
 
 
-def compact_by_date(ticks: DataFrame, path: str, files_per_date: int = 1) -> None:
-    """Write one folder per date; ``files_per_date`` spreads a large date over several tasks."""
-    salt = F.pmod(F.hash("tscode"), F.lit(files_per_date))
-    ticks.repartition("date", salt).write.mode("overwrite").partitionBy("date").parquet(path)
+def compact_by_date(ticks: DataFrame, path: str) -> None:
+    """Write one folder per date; a large date is split over several tasks, small ones share a task."""
+    ticks.hint("rebalance", F.col("date")).write.mode("overwrite").partitionBy("date").parquet(path)

@@ -53,6 +53,11 @@ def stack_products(tables: dict[str, DataFrame]) -> DataFrame:
                   [table.withColumn("product", F.lit(product)) for product, table in tables.items()])
 
 
+def label_products(table: DataFrame, column: str, products: list[str], other: str = "other") -> DataFrame:
+    """The stacked table of products that lie in one table: their name as a column, in one scan."""
+    return table.withColumn("product", F.when(F.col(column).isin(products), F.col(column)).otherwise(F.lit(other)))
+
+
 def mirror_rows(table: DataFrame, unchanged: list[str]) -> DataFrame:
     """Append every row with the sign of all but the listed columns turned."""
     turned = [F.col(c) if c in unchanged else (-F.col(c)).alias(c) for c in table.columns]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,6 +234,28 @@ def _register_reports() -> None:
         f"{with_factors}, days AS (SELECT instrument, date, avg(momentum) AS mean, stddev_samp(momentum) AS std FROM factored "
         f"GROUP BY ALL), ranked AS ({parts}) SELECT instrument, CAST(date AS VARCHAR) AS date, measure, side, "
         f"place, {o.r('value')} AS value FROM ranked WHERE place <= 3")
+    measures = ("count", "mean", "std", "skewness", "kurtosis")
+
+    def several_reports(m):
+        """Reports over a list of factors, each a row per contract."""
+        made = rp.factor_reports(factored(m), ["william", "momentum"], {
+            "daily": lambda df, value: rp.daily_stability(df, value, ["instrument", "date"]).groupBy("instrument").agg(
+                F.count("mean").alias("count"), F.avg("mean").alias("mean"), F.avg("std").alias("std"),
+                F.lit(None).cast("double").alias("skewness"), F.lit(None).cast("double").alias("kurtosis")),
+            "moments": lambda df, value: rp.moments(df, value, KEYS).withColumn("count", F.lit(None).cast("long"))})
+        rows = [report.select("instrument", F.lit(name).alias("report"), F.lit(value).alias("factor"), "count", *[rounded(c) for c in measures[1:]])
+                for (name, value), report in made.items()]
+        return reduce(lambda a, b: a.unionByName(b), rows)
+
+    def several_sql(value):
+        pop = f"({value} - m) / nullif(d, 0)"
+        return (f"SELECT instrument, 'daily' AS report, '{value}' AS factor, count(m) AS count, {o.r('avg(m)')} AS mean, {o.r('avg(s)')} AS std, "
+                f"NULL AS skewness, NULL AS kurtosis FROM (SELECT instrument, date, avg({value}) AS m, stddev_samp({value}) AS s FROM factored GROUP BY ALL) "
+                f"GROUP BY instrument UNION ALL SELECT instrument, 'moments', '{value}', NULL, {o.r(f'avg({value})')}, {o.r(f'stddev_samp({value})')}, "
+                f"{o.r(f'avg(({pop}) ** 3)')}, {o.r(f'avg(({pop}) ** 4) - 3')} FROM (SELECT *, avg({value}) OVER w AS m, stddev_pop({value}) OVER w AS d "
+                f"FROM factored WINDOW w AS (PARTITION BY instrument)) GROUP BY instrument")
+
+    add("h14_reports_over_factors", several_reports, f"{with_factors} {several_sql('william')} UNION ALL {several_sql('momentum')}")
     add("f14_clip_outliers", lambda m: fs.clip_outliers(
         m.table("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice"), "l_extendedprice",
         ["l_returnflag"], width=0.8, output="clipped").select(
@@ -411,9 +435,7 @@ def _register_training() -> None:
         f"WITH {FACTORED} SELECT instrument, datetime, round(william * s, 6) + 0.0 AS william, {o.r('momentum')} AS momentum, "
         f"round(ret5 * s, 6) + 0.0 AS ret5 FROM factored, (VALUES (1), (-1)) sides(s)")
     products = ["click", "error", "purchase", "signup", "view"]
-    add("e15_stack_products", lambda m: tr.stack_products({
-        **{c: returned(m).where(F.col("instrument") == c) for c in products},
-        "other": returned(m).where(~F.col("instrument").isin(products))}).groupBy("product").agg(
+    add("e15_stack_products", lambda m: tr.label_products(returned(m), "instrument", products).groupBy("product").agg(
         F.count(F.lit(1)).alias("rows"), rounded(F.sum("ret5"), 5, "ret5")),
         f"WITH {o.BARS}, {RETURNS} SELECT CASE WHEN instrument IN {tuple(products)} THEN instrument ELSE 'other' END AS product, "
         f"count(*) AS rows, {o.r('sum(ret5)', 5)} AS ret5 FROM returned GROUP BY 1")

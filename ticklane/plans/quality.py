@@ -165,7 +165,7 @@ def _register_rules() -> None:
         F.col("issue_count").cast("bigint").alias("issue_count")),
         f"WITH {o.BARS}, {gaps} SELECT instrument, CAST(date AS VARCHAR) AS date, count(*) AS record_count, "
         f"count(CASE WHEN {seconds} > 300 AND {seconds} < 5400 THEN 1 END) AS issue_count FROM gaps GROUP BY ALL")
-    expected = lambda market: cal.expand_intervals(market.constituents(), market.stock_ticks().select("date"))
+    expected = lambda market: cal.expand_intervals(market.constituents(), market.stock_dates())
     add("v20_missing_stocks", lambda market: q.missing_stocks(
         expected(market), market.stock_ticks().where("volume > 0")).select(
         "product", "tscode", F.col("date").cast("string").alias("date")),

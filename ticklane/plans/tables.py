@@ -116,7 +116,7 @@ def _register_calendar() -> None:
         f"NOT NULL")
     add("o05_latest_dates", lambda m: cal.latest_dates(m.contract_calendar(), 5).select(date_text()),
         f"WITH {contracts} SELECT CAST(date AS VARCHAR) AS date FROM (SELECT DISTINCT date FROM calendar) ORDER BY 1 DESC LIMIT 5")
-    quarters = lambda m: m.stock_ticks().select("date").distinct()
+    quarters = lambda m: m.stock_dates()
     add("m11_load_constituents", lambda m: cal.expand_intervals(m.constituents(), quarters(m)).select(
         "product", date_text(), "tscode", "status"),
         f"WITH {BASE}, d AS (SELECT DISTINCT date FROM ticks) SELECT DISTINCT product, CAST(date AS VARCHAR) AS date, tscode, 0 AS "

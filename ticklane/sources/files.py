@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +9,7 @@ from ticklane import constants as K
 from ticklane.functions.scalar import contract_from_path
 from ticklane.operators.bars import strip_contract_prefix
 from ticklane.operators.ticks import name_stock_columns
+from ticklane.sources import records
 
 
 def read_table(spark: SparkSession, path: str, dates: list | None = None, stocks: list | None = None,
@@ -32,15 +28,13 @@ def read_pairs(spark: SparkSession, path: str, pairs: DataFrame, keys: tuple[str
     return spark.read.parquet(path).join(pairs.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def write_table(table: DataFrame, path: str, partitions: list[str], replace_touched: bool = False,
-                files_per_partition: int = 1) -> None:
+def write_table(table: DataFrame, path: str, partitions: list[str], replace_touched: bool = False) -> None:
     """Write a partitioned table. ``replace_touched`` overwrites only the partitions present in ``table``.
 
-    ``files_per_partition`` spreads one large partition over several tasks.
+    Rows are gathered by partition and rebalanced by bytes: small partitions share a task and have a file each, a large
+    one is split over as many tasks as ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` asks for.
     """
-    # a hash of the row, so that a task that runs again deals its rows alike
-    salt = F.pmod(F.xxhash64(*table.columns), F.lit(files_per_partition)) if files_per_partition > 1 else F.lit(0)
-    writer = table.repartition(*partitions, salt).write.mode("overwrite").partitionBy(*partitions)
+    writer = table.hint("rebalance", *[F.col(name) for name in partitions]).write.mode("overwrite").partitionBy(*partitions)
     if replace_touched:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
@@ -110,31 +104,20 @@ def read_daily_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", "\t").schema(schema).csv(path)
 
 
-DAILY_BAR = T.StructType([
-    T.StructField("date", T.IntegerType()), T.StructField("open", T.DoubleType()), T.StructField("high", T.DoubleType()),
-    T.StructField("low", T.DoubleType()), T.StructField("close", T.DoubleType()), T.StructField("amount", T.DoubleType()),
-    T.StructField("volume", T.LongType())])
-SETTLED_BAR = T.StructType([*DAILY_BAR.fields[:5], T.StructField("interest", T.LongType()),
-                            T.StructField("volume", T.LongType()), T.StructField("settlement", T.DoubleType())])
-RECORD_BYTES = 32
+def read_fixed_width(spark: SparkSession, path: str, settled: bool = False) -> DataFrame:
+    """Daily bars stored as 32-byte records, with the contract of the file's name; ``settled`` has float prices and a settlement price."""
+    records.register(spark)
+    return spark.read.format("records").option("layout", "settled" if settled else "daily").load(path)
 
 
-def read_fixed_width(spark: SparkSession, path: str, settled: bool = False) -> DataFrame:
-    """Daily bars stored as 32-byte records, a small file per contract; ``settled`` has float prices and a settlement price."""
-    schema = SETTLED_BAR if settled else DAILY_BAR
-    names = schema.fieldNames()
-    kinds = ["<i4", *["<f4"] * 4, "<i4", "<i4", "<f4"] if settled else [*["<u4"] * 5, "<f4", "<u4", "<u4"]
-    layout = [(name, kind) for name, kind in zip([*names, "unused"], kinds)]
-    cents = () if settled else ("open", "high", "low", "close")
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                # a record cut off at the end of a file is left out
-                rows = np.frombuffer(content, dtype=np.dtype(layout), count=len(content) // RECORD_BYTES)
-                yield pd.DataFrame({name: rows[name] / 100.0 if name in cents else rows[name] for name in names})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, schema)
+def write_fixed_width(bars: DataFrame, path: str, settled: bool = False) -> None:
+    """Write bars (instrument, date as yyyymmdd, and the fields of the layout) as records, a file per contract and task.
+
+    Whole fields that are missing are 0; values that a field can't hold fail.
+    """
+    records.register(bars.sparkSession)
+    ordered = bars.hint("rebalance", F.col("instrument")).sortWithinPartitions("instrument", "date")
+    ordered.write.format("records").option("layout", "settled" if settled else "daily").mode("append").save(path)
 
 
 def read_metadata(spark: SparkSession, path: str | None = None, url: str | None = None, table: str | None = None,

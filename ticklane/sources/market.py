@@ -102,6 +102,10 @@ class Market:
             self._ticks = self._quoted_ticks()
         return self._ticks
 
+    def stock_dates(self) -> DataFrame:
+        """The dates that have stock ticks, from one column."""
+        return self.table("lineitem").select(F.date_trunc("quarter", F.col("l_shipdate")).cast("date").alias("date")).distinct()
+
     def _quoted_ticks(self) -> DataFrame:
         line = self.table("lineitem")
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
