@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklane.functions.scalar import nan_to_null
 from ticklane.operators.evaluate import backtest_report, prediction_flags, prediction_scores
+from ticklane.session import stored
 
 FEATURES = "features"
 PREDICTION = "prediction"
@@ -168,37 +171,81 @@ def one_hot(table: DataFrame, column: str, levels: list[str]) -> DataFrame:
         f"{column}__other": other}).drop(column)
 
 
+# --- many models over one training set -------------------------------------------------------
+
+def binned_set(table: DataFrame, features: list[str], bins: int = 32) -> DataFrame:
+    """The table with ``features`` as a vector of band numbers, written once for all models that are fitted on it.
+
+    A band is a range between neighbouring quantiles (to 1/10,000 of the rows) of the whole table, so trees of up to
+    ``bins`` bands need not look for split points again. Rows with a missing feature are left out.
+    """
+    shares = [i / bins for i in range(1, bins)]
+    clean = table.withColumns({f"_f_{i}": nan_to_null(F.col(c).cast("double")) for i, c in enumerate(features)})
+    # one row
+    edges = clean.agg(*[F.percentile_approx(f"_f_{i}", shares, 10_000).alias(f"_e_{i}") for i in range(len(features))])
+    band = lambda i: F.size(F.filter(f"_e_{i}", lambda edge: edge < F.col(f"_f_{i}"))).cast("double")
+    placed = clean.na.drop(subset=[f"_f_{i}" for i in range(len(features))]).crossJoin(F.broadcast(edges))
+    return stored(placed.select(*table.columns, array_to_vector(F.array(*[band(i) for i in range(len(features))])).alias(FEATURES)))
+
+
+def _fit_and_predict(train: DataFrame, test: DataFrame, label: str, config: BoostConfig) -> DataFrame:
+    """Stored predictions of the test rows by a model of the training rows that have a label."""
+    known = train.withColumn("_label", nan_to_null(F.col(label).cast("double"))).where(F.col("_label").isNotNull())
+    model = GBTRegressor(featuresCol=FEATURES, labelCol="_label", predictionCol=PREDICTION, maxIter=config.max_iter, maxDepth=config.max_depth,
+                         stepSize=config.step_size, subsamplingRate=config.subsample, seed=config.seed).fit(known)
+    return stored(model.transform(test).drop(FEATURES))
+
+
+def _together(runs: list[Callable[[], DataFrame]], parallel: int) -> list[DataFrame]:
+    """Runs whose jobs share the cluster, ``parallel`` at a time; the driver only waits."""
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        return list(pool.map(lambda run: run(), runs))
+
+
 def walk_forward(table: DataFrame, features: list[str], label: str, splits: list, moment: str = "date",
-                 config: BoostConfig = BoostConfig()) -> DataFrame:
-    """Fit on everything before each split, predict up to the next one, merge the predictions."""
-    parts = []
-    for start, end in zip(splits, [*splits[1:], None]):
-        model = fit(table.where(F.col(moment) < F.lit(start)), features, label, config)
-        span = table.where(F.col(moment) >= F.lit(start))
+                 config: BoostConfig = BoostConfig(), parallel: int = 4) -> DataFrame:
+    """Fit on everything before each split, predict up to the next one, merge the predictions.
+
+    The expanding spans are cut from one binned and stored set; ``parallel`` models are fitted at a time.
+    """
+    rows = binned_set(table, features)
+
+    def run(start, end) -> DataFrame:
+        train, span = split_by_date(rows, start, moment)
         if end is not None:
             span = span.where(F.col(moment) < F.lit(end))
-        parts.append(predict(model, span, features).withColumn("trained_before", F.lit(str(start))))
+        return _fit_and_predict(train, span, label, config).withColumn("trained_before", F.lit(str(start)))
+
+    parts = _together([lambda s=s, e=e: run(s, e) for s, e in zip(splits, [*splits[1:], None])], parallel)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+RUN = ("label", "split", "max_depth", "max_iter", "step_size")
+
+
+def grid_predictions(table: DataFrame, features: list[str], labels: list[str], splits: list, configs: list[BoostConfig],
+                     moment: str = "date", parallel: int = 4) -> list[tuple[tuple, DataFrame]]:
+    """The predictions of every label, split and setting, each with its run (the fields of ``RUN``).
+
+    All models are fitted on one binned and stored set, ``parallel`` at a time.
+    """
+    rows = binned_set(table, features)
+    runs = [(label, split, config) for label in labels for split in splits for config in configs]
+    found = _together([lambda r=r: _fit_and_predict(*split_by_date(rows, r[1], moment), r[0], r[2]) for r in runs], parallel)
+    return [((label, str(split), c.max_depth, c.max_iter, c.step_size), made) for (label, split, c), made in zip(runs, found)]
+
+
 def grid_search(table: DataFrame, features: list[str], labels: list[str], splits: list, configs: list[BoostConfig],
                 product: str = "product", keys: list[str] = ("product",), length: int = 4800, width: float = 2.0,
-                moment: str = "date", evaluator: Callable[[DataFrame, str, str], DataFrame] = prediction_scores) -> DataFrame:
+                moment: str = "date", evaluator: Callable[[DataFrame, str, str], DataFrame] = prediction_scores, parallel: int = 4) -> DataFrame:
     """Fit every label, split and setting; one scored and backtested row (the total) per run.
 
     ``evaluator`` makes one row of scores from predictions and the names of prediction and label.
     """
     rows = []
-    for label in labels:
-        for split in splits:
-            train, test = split_by_date(table, split, moment)
-            for config in configs:
-                predictions = predict(fit(train, features, label, config), test, features)
-                scores = evaluator(predictions, PREDICTION, label)
-                flags = prediction_flags(predictions, PREDICTION, label, list(keys), length, width)
-                total = backtest_report(flags, product).where(F.col(product) == "all").drop(product)
-                rows.append(scores.crossJoin(F.broadcast(total)).select(
-                    F.lit(label).alias("label"), F.lit(str(split)).alias("split"),
-                    F.lit(config.max_depth).alias("max_depth"), F.lit(config.max_iter).alias("max_iter"),
-                    F.lit(config.step_size).alias("step_size"), "*"))
+    for run, predictions in grid_predictions(table, features, labels, splits, configs, moment, parallel):
+        scores = evaluator(predictions, PREDICTION, run[0])
+        flags = prediction_flags(predictions, PREDICTION, run[0], list(keys), length, width)
+        total = backtest_report(flags, product).where(F.col(product) == "all").drop(product)
+        rows.append(scores.crossJoin(F.broadcast(total)).select(*[F.lit(value).alias(name) for name, value in zip(RUN, run)], "*"))
     return reduce(lambda a, b: a.unionByName(b), rows)

@@ -19,6 +19,7 @@ from ticklane.operators import reports as rp
 from ticklane.operators import training as tr
 from ticklane.plans import oracle as o
 from ticklane.plans.catalog import add, date_text, rounded
+from ticklane.session import stored
 
 CHUNK = 400
 KEYS = ["instrument"]
@@ -482,6 +483,53 @@ def _register_training() -> None:
         factored(m), features, "ret5", ["2024-01-12", "2024-01-21"], config=tr.BoostConfig(max_iter=2, max_depth=2)).select(
         *key, "trained_before", rounded("prediction")))
     add("e16_tabular_regression", lambda m: _tabular(m, small))
+    # what any model must satisfy: the rows that get a prediction, and scores that follow from the stored predictions
+    ok = "true AS correlation_agrees, true AS winning_rate_agrees, true AS error_agrees"
+    add("e10_scores_follow_from_predictions", lambda m: _agreement(_boosted(m, features, small), "ret5", KEYS),
+        f"WITH {FACTORED} SELECT instrument, count(*) AS rows, {ok} FROM factored WHERE datetime >= '2024-01-20 00:00:00' GROUP BY instrument")
+    add("e16_scores_follow_from_predictions", lambda m: _agreement(stored(_tabular_predictions(m, small)), "p_retailprice", ["p_type"]),
+        f"SELECT p_type, count(*) AS rows, {ok} FROM part WHERE p_partkey % 4 = 0 GROUP BY p_type")
+    add("e12_rows_of_walk_forward", lambda m: tr.walk_forward(
+        factored(m), features, "ret5", ["2024-01-08", "2024-01-15", "2024-01-22"], config=tr.BoostConfig(max_iter=2, max_depth=2)).select(
+        *key, "trained_before", F.when(F.abs("prediction") < float("inf"), 1).otherwise(0).alias("predicted")),
+        f"WITH {FACTORED} SELECT instrument, datetime, CASE WHEN date >= DATE '2024-01-22' THEN '2024-01-22' WHEN date >= DATE '2024-01-15' THEN "
+        f"'2024-01-15' ELSE '2024-01-08' END AS trained_before, 1 AS predicted FROM factored WHERE date >= DATE '2024-01-08'")
+    grid_splits, grid = ["2024-01-12", "2024-01-20"], [tr.BoostConfig(max_iter=2, max_depth=d) for d in (1, 2)]
+
+    def grid_rows(m):
+        runs = tr.grid_predictions(factored(m), features, ["ret1", "ret5"], grid_splits, grid)
+        rows = [made.groupBy("instrument").agg(F.count("prediction").alias("rows")).select(
+            *[F.lit(value).alias(name) for name, value in zip(tr.RUN, run)], "instrument", "rows") for run, made in runs]
+        return reduce(lambda a, b: a.unionByName(b), rows)
+
+    add("e11_rows_of_grid", grid_rows,
+        f"WITH {FACTORED} SELECT label, split, max_depth, 2 AS max_iter, 0.1::DOUBLE AS step_size, instrument, count(*) AS rows FROM factored, "
+        f"(VALUES ('ret1'), ('ret5')) l(label), (VALUES ('2024-01-12'), ('2024-01-20')) s(split), (VALUES (1), (2)) d(max_depth) "
+        f"WHERE date >= CAST(split AS DATE) GROUP BY ALL")
+
+
+def _boosted(market, features: list[str], config: tr.BoostConfig) -> DataFrame:
+    train, test = tr.split_by_date(factored(market), "2024-01-20 00:00:00")
+    return stored(tr.predict(tr.fit(train, features, "ret5", config), test, features))
+
+
+def _agreement(predictions: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Whether the scores equal those that plain sums over the stored predictions give."""
+    x, y = F.col("prediction"), F.col(label).cast("double")
+    right = F.when((x != 0) & (y != 0), F.when(F.signum(x) == F.signum(y), 1).otherwise(0))
+    sums = predictions.groupBy(*keys).agg(
+        F.count(x).alias("rows"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"),
+        F.avg(right).alias("right"), F.avg((x - y) * (x - y)).alias("error"))
+    n = F.col("rows")
+    spread = lambda a, aa: n * F.col(aa) - F.col(a) * F.col(a)
+    pearson = F.try_divide(n * F.col("xy") - F.col("x") * F.col("y"), F.sqrt(spread("x", "xx") * spread("y", "yy")))
+    near = lambda a, b: F.coalesce(F.abs(a - b) <= 1e-6 * (1 + F.abs(b)), (a.isNull() | F.isnan(a)) & (b.isNull() | F.isnan(b)))
+    # constant predictions have no correlation, whatever rounding leaves of their spread
+    flat = spread("x", "xx") <= 1e-9 * n * F.col("xx")
+    scored = e.prediction_scores(predictions, "prediction", label, keys).join(sums, keys)
+    return scored.select(*keys, "rows", (near(F.col("correlation"), pearson) | flat).alias("correlation_agrees"),
+                         near(F.col("winning_rate"), F.col("right")).alias("winning_rate_agrees"),
+                         near(F.col("mean_squared_error"), F.col("error")).alias("error_agrees"))
 
 
 def _fit_and_predict(market, features: list[str], config: tr.BoostConfig) -> DataFrame:
@@ -490,11 +538,15 @@ def _fit_and_predict(market, features: list[str], config: tr.BoostConfig) -> Dat
     return e.prediction_scores(tr.predict(model, test, features), "prediction", "ret5", KEYS)
 
 
-def _tabular(market, config: tr.BoostConfig) -> DataFrame:
+def _tabular_predictions(market, config: tr.BoostConfig) -> DataFrame:
     parts = market.table("part").withColumn("p_size", F.col("p_size").cast("double"))
     held_out = F.col("p_partkey") % 4 == 0
     model = tr.tabular_pipeline(["p_size"], ["p_type"], "p_retailprice", config=config).fit(parts.where(~held_out))
-    return e.prediction_scores(model.transform(parts.where(held_out)), "prediction", "p_retailprice", ["p_type"])
+    return model.transform(parts.where(held_out)).select("p_partkey", "p_type", "p_retailprice", "prediction")
+
+
+def _tabular(market, config: tr.BoostConfig) -> DataFrame:
+    return e.prediction_scores(_tabular_predictions(market, config), "prediction", "p_retailprice", ["p_type"])
 
 
 def register() -> None:
