@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticklane.functions.quantiles import exact_quantiles
 from ticklane.functions.series import CHUNK_ROWS, SeriesColumns, running_totals
-from ticklane.session import cut_lineage
+from ticklane.session import cut_lineage, stored
 
 
 
@@ -29,7 +29,9 @@ def quantile_band_trades(data: DataFrame, factor: str, ret: str, keys: list[str]
     below the median is the short side. A trade uses open and return ``action_delay`` bars later.
     """
     points = [0.5 + i * 0.5 / group_number for i in range(group_number + 1)]
-    splits = exact_quantiles(data, factor, points, keys, output="_splits")
+    # the factor table is derived once, for the quantiles and for the trades
+    data = stored(data)
+    splits = exact_quantiles(data, factor, points, keys, output="_splits", reread=True)
     columns = SeriesColumns()
     later_open, later_ret = columns.lead("open", action_delay), columns.lead(ret, action_delay)
     rows = columns.apply(data, keys, position, chunk_rows).join(splits, keys)
@@ -80,8 +82,8 @@ def threshold_band_report(data: DataFrame, factor: str, keys: list[str], ret_len
     The factor of the bar before decides the side; bounds belong to both neighbouring bands.
     """
     shares = [i / (points - 1) for i in range(points)]
-    absolute = data.withColumn("_abs", F.abs(F.col(factor)))
-    levels = exact_quantiles(absolute, "_abs", shares, output="_levels")
+    data = stored(data)
+    levels = exact_quantiles(data.withColumn("_abs", F.abs(F.col(factor))), "_abs", shares, output="_levels", reread=True)
     columns = SeriesColumns()
     before, exit_open = columns.lag(factor, 1), columns.lead("open", ret_length)
     rows = columns.apply(data, keys, position, chunk_rows).where(F.col(before).isNotNull())
