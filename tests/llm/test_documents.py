@@ -261,3 +261,20 @@ def test_a_long_passage_goes_wherever_it_stands():
     shared = set(sentence_spans.run_hashes(one)) & set(sentence_spans.run_hashes(two))
     assert len(shared) == 3  # 55 words are five units
     assert sentence_spans.without_units("A b c d e.\nx y", {0}) == "x y"
+
+
+def test_near_duplicates_are_told_apart_by_row_and_not_by_id(spark):
+    rng = random.Random(31)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80))
+    a, b, c = text(), text(), text()
+    rows = [(5, a, 1), (5, b, 2), (7, b + " more", 3), (None, c, 4), (None, a + " end", 5), (9, c + " tail", 6), (5, a, 0), (5, a, 0), (None, None, 7), (8, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    kept = [tuple(r) for r in simhash.drop_similar_documents(df).collect()]
+    texts = collections.Counter(t for _, t, _ in kept)
+    # one row of each group: the null id is the smallest; b stays though its id is taken by a
+    assert texts[a + " end"] == 1 and texts[a] == 0 and texts[b] == 1 and texts[b + " more"] == 0 and texts[c] == 1 and texts[c + " tail"] == 0
+    assert len(kept) == 4 and (None, None, 7) in kept
+    again = [tuple(r) for r in simhash.drop_similar_documents(df.repartition(5)).collect()]
+    assert collections.Counter(map(str, again)) == collections.Counter(map(str, kept))
+    twice = spark.createDataFrame([(1, a, 9), (1, a, 4), (1, a, 4)], "doc_id long, text string, n_chars long")
+    assert simhash.drop_similar_documents(twice).count() == 1

@@ -249,3 +249,15 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, docs, tmp_path):
     assert now.filter("doc_id = 8").count() > 0
     spark.createDataFrame([], docs.schema).write.parquet(f"{folder}/documents.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_contaminated_rows_go_and_not_their_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    words = "some passage of the benchmark that is long enough to be one whole window of words"
+    spark.createDataFrame([(1, words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "a clean text"), (None, f"x {words} y"), (None, None), (5, f"before {words}"), (5, "another clean text"), (6, "clean too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({name: F.lit(1) for name in ("row", "hit_row", "key_id", "n_hit")})
+    left = corpus_pipeline.decontamination(spark, df, str(tmp_path))
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter([rows[0], rows[2], rows[4], rows[5]])
+    assert left.columns == df.columns

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklane.llm.components import connected_components
-from ticklane.llm.shared import NO_ID, stored
+from ticklane.llm.shared import NO_ID, row_key, stored
 
 SEED = 42
 SEGMENT_BITS = 32
@@ -181,6 +181,12 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     Texts with equal sets of shingles and texts without words are one group each. Null ids count as the smallest
     number there is and come back as null; equal rows give equal rows; an empty table gives no rows.
     """
+    groups = _similar_rows(docs, id_column, text_column, width, similarity)
+    return groups.select(*[F.when(F.col(name) != NO_ID, F.col(name)).alias(other) for name, other in (("id", id_column), ("component_id", "component_id"))])
+
+
+def _similar_rows(docs: DataFrame, id_column: str, text_column: str, width: int, similarity: float) -> DataFrame:
+    """Of each row its ``id`` (NO_ID for null), ``text_key``, the ``root`` of its group and the smallest id there."""
     # of two sets of one size and this similarity, the cosine; then the share of bits that differ
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = int(128 * share + SPREAD * math.sqrt(128 * share * (1 - share)))
@@ -240,18 +246,26 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
         roots = stored(families.join(joined, "family", "left").select("node", F.coalesce("joined", "family").alias("root")))
     smallest = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(roots, "node", "left").join(smallest, "root", "left").select(
-        "node", F.coalesce("component_id", "least").alias("component_id"))
-    ids = [F.when(F.col(name) != NO_ID, F.col(name)).alias(other) for name, other in (("id", id_column), ("component_id", "component_id"))]
-    return marked.join(stored(named), "node").select(*ids)
+        "node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return marked.join(stored(named), "node").select("id", "text_key", "root", "component_id")
 
 
 def drop_similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5,
                            similarity: float = 0.8) -> DataFrame:
-    """The document with the smallest id of each group, with all columns; of rows with one id and text one stays.
+    """The document with the smallest id of each group, with all columns; of several texts with that id the one with the
+    smallest hash, of rows with one id and text the one with the smallest hash of all columns.
 
     Nulls and empty tables are treated as in ``similar_documents``.
     """
-    groups = similar_documents(docs, id_column, text_column, width, similarity)
-    kept = groups.filter(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("kept_id")).distinct()
-    return (docs.join(kept, docs[id_column].eqNullSafe(kept["kept_id"]), "left_semi")
-            .dropDuplicates([id_column, text_column]))
+    groups = _similar_rows(docs, id_column, text_column, width, similarity)
+    first = groups.groupBy("root").agg(F.min(F.struct("id", "text_key")).alias("first")).select("first.id", "first.text_key")
+    whole = F.xxhash64(*docs.columns)
+    keys = docs.select(*row_key(id_column, text_column), whole.alias("key_row"))
+    same = (F.col("key_id") == F.col("id")) & (F.col("key_text") == F.col("text_key"))
+    kept = stored(keys.join(first, same, "left_semi").groupBy("key_id", "key_text").agg(F.min("key_row").alias("key_row")).withColumnsRenamed(
+        {name: f"kept_{name}" for name in ("key_id", "key_text", "key_row")}))
+    same = whole == F.col("kept_key_row")
+    for part, name in zip(row_key(id_column, text_column), ("key_id", "key_text")):
+        same = same & (part == F.col(f"kept_{name}"))
+    # what is left of equal ids and texts is equal in all columns
+    return docs.join(kept, same, "left_semi").dropDuplicates([id_column, text_column])
