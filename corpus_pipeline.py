@@ -42,8 +42,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without a window of the benchmark."""
     from ticklane.llm.decontaminate import decontaminate
 
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(stored(found), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    # a row is named by its id and text: ids may be null or repeated
+    named = F.xxhash64("doc_id", "text")
+    found = decontaminate(docs.select(named.alias("row"), "text"), table(spark, sf_dir, "benchmark"), doc_id="row")
+    hit = stored(found.filter("contaminated").select(F.col("row").alias("_hit_row")).distinct())
+    return docs.join(hit, named == F.col("_hit_row"), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
