@@ -261,3 +261,99 @@ def test_contaminated_rows_go_and_not_their_ids(spark, tmp_path):
     left = corpus_pipeline.decontamination(spark, df, str(tmp_path))
     assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter([rows[0], rows[2], rows[4], rows[5]])
     assert left.columns == df.columns
+
+
+def quality_rows(rng, count, labelled):
+    """Junk shouts, some of it in words that no labelled document has; toxic documents hold a bad word."""
+    plain = [f"w{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(count):
+        words = [rng.choice(plain) for _ in range(rng.randint(20, 60))]
+        junk, toxic = i % 4 == 0, i % 5 == 1
+        if junk:
+            words = [(word if i < labelled or rng.random() < 0.7 else "novelty").upper() + "!!" for word in words]
+        if toxic:
+            words[rng.randrange(len(words))] = rng.choice(["nasty", "horrid"])
+        rows.append((i, " ".join(words), "en" if i % 2 else None, f"s{i % 3}", None))
+        if i < labelled:
+            labels.append((i, int(not junk), int(toxic)))
+    return rows, labels
+
+
+def plain_co_training(frame, labels, rounds):
+    """Whole documents in memory, sets of features in loops; models of the module on the sums found so."""
+    import pandas as pd
+    import zlib
+
+    q = quality
+    words = [q.words_of(pa.array([text])) for text in frame["text"]]
+    rates = np.concatenate([q.shape_rates(w) for w in words])
+    meta = q.metadata(q.page_numbers(frame))
+    sets = [set(w.word[w.codes].tolist()) | set(w.prefix[w.codes].tolist()) for w in words]
+    stored_pairs = [np.diff(np.unique(w.word[w.codes] * q.FEATURES + w.prefix[w.codes]), prepend=0).astype("<i8").tobytes() for w in words]
+    half = [zlib.crc32(raw) & 1 for raw in stored_pairs]
+    stats = lambda i, weights: q.word_stats(words[i], weights)[0]
+    heads, kinds, parts = {}, {}, {}
+    for name, at in (("junk", 1), ("toxic", 2)):
+        kind = {row[0]: int(row[at] == 0) if name == "junk" else int(row[at] > 0) for row in labels}
+        part = {}
+        for k in (0, 1):
+            for place, i in enumerate(i for i, _ in labels_order(labels) if kind[i] == k):
+                part[i] = 0 if place % 4 == 0 else 1 + place % 2
+        kinds[name], parts[name] = kind, part
+    pseudo = {name: ([], []) for name in q.HEADS}
+    for turn in range(rounds + 1):
+        for name in q.HEADS:
+            kind, part = kinds[name], parts[name]
+            train, held = [[i for i in sorted(kind) if (part[i] > 0) == wanted] for wanted in (True, False)]
+            for_text = [(i, kind[i], part[i] - 1) for i in train] + [(i, k, half[i]) for i, k in pseudo[name][0]]
+            weights = []
+            for sides in ((0, 1), (0,), (1,)):
+                seen, n = np.zeros((2, q.FEATURES)), np.zeros(2)
+                for i, k, side in for_text:
+                    if side in sides:
+                        n[k] += 1
+                        for feature in sets[i]:
+                            seen[k, feature] += 1
+                weights.append(q.log_odds(seen, n))
+            y = np.array([kind[i] for i in train], dtype=float)
+            text = q.TextView(weights[0], q.logistic(np.array([np.r_[stats(i, weights[2 - (part[i] - 1)]), rates[i]] for i in train]), y))
+            for_meta = [(i, kind[i]) for i in train] + pseudo[name][1]
+            x = [meta[[i for i, k in for_meta if k == side]] for side in (0, 1)]
+            direction = q.discriminant(np.array([len(rows) for rows in x]), np.array([rows.sum(axis=0) for rows in x]), np.array([rows.T @ rows for rows in x]))
+            view = q.MetaView(direction, q.logistic((meta[train] @ direction)[:, None], y, ridge=0.1))
+            both = np.array([[q.logit(text.model, np.r_[stats(i, weights[0]), rates[i]][None])[0], view.scores(meta[[i]])[0]] for i in held])
+            heads[name] = q.Head(text, view, q.logistic(both, np.array([kind[i] for i in held], dtype=float), ridge=0.1), 0.0)
+            pool = [i for i in range(len(words)) if i not in kind]
+            p_text = {i: q.chance(text.scores(words[i], rates[[i]]))[0] for i in pool}
+            p_meta = {i: q.chance(view.scores(meta[[i]]))[0] for i in pool}
+            sure = lambda p: [(i, k) for i in pool for k in (0, 1) if (p[i] if k else 1 - p[i]) >= q.SURE]  # noqa: E731, B023
+            pseudo[name] = (sure(p_meta), sure(p_text))
+    return heads, [[heads[name].probability(words[i], rates[[i]], meta[[i]])[0] for name in q.HEADS] for i in range(len(words))]
+
+
+def labels_order(labels):
+    """Labelled ids in the order of the sample."""
+    import xxhash
+
+    signed = lambda i: (xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42) ^ 1 << 63) - (1 << 63)
+    return sorted(((row[0], row) for row in labels), key=lambda pair: (signed(pair[0]), pair[0]))
+
+
+def test_co_training_equals_brute_force_and_learns_from_all_documents(spark, monkeypatch):
+    rows, labels = quality_rows(random.Random(4), 360, 160)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    frame = df.orderBy("doc_id").select(*quality._columns("doc_id", "text", "lang", "source", "n_chars")).toPandas()
+    heads, expected = plain_co_training(frame, labels, quality.ROUNDS)
+    scored = quality.with_quality(df, known).orderBy("doc_id").collect()
+    found = np.array([list(row.quality_scores) for row in scored])
+    assert np.abs(found - np.array(expected)).max() < 1e-6
+    assert 0.95 < np.mean((found > 0.5) == np.array([[i % 4 == 0, i % 5 == 1] for i in range(360)]))
+    # a word that only unlabelled documents have counts as junk, and not without them
+    novelty = quality.words_of(pa.array(["novelty"])).word[0]
+    columns = df.select(*quality._columns("doc_id", "text", "lang", "source", "n_chars"))
+    assert quality.fit(columns, known)["junk"].text.weights[novelty] > 1
+    monkeypatch.setattr(quality, "ROUNDS", 0)
+    assert quality.fit(columns, known)["junk"].text.weights[novelty] == 0

@@ -98,6 +98,8 @@ def shape_rates(words: Words) -> np.ndarray:
     """Per document the share of words with decorations, without letters, in capitals, of digits, and repeated ones."""
     n = np.maximum(np.diff(words.offsets), 1)
     again = np.r_[False, words.codes[1:] == words.codes[:-1]].astype("float64") if len(words.codes) else np.zeros(0)
+    # the first word of a document repeats nothing, whatever document lies before it
+    again[words.offsets[:-1][np.diff(words.offsets) > 0]] = 0
     rates = [_sums(words.shapes[words.codes, i], words.offsets) / n for i in range(4)]
     return np.stack([*rates, _sums(again, words.offsets) / n], axis=1)
 
@@ -179,9 +181,14 @@ def discriminant(n: np.ndarray, total: np.ndarray, products: np.ndarray) -> np.n
     """
     mean = total / np.maximum(n, 1)[:, None]
     within = sum(products[k] - n[k] * np.outer(mean[k], mean[k]) for k in (0, 1)) / max(n.sum() - 2, 1)
-    scale = np.sqrt(np.maximum(np.diag(within), 0)) + 1e-3
-    ridge = within / np.outer(scale, scale) + np.eye(len(scale)) * 0.05
-    return np.linalg.solve(ridge, (mean[1] - mean[0]) / scale) / scale
+    # columns that are the same everywhere hold rounding errors only
+    between = (mean[1] - mean[0]) ** 2 * n[0] * n[1] / max(n.sum(), 1) ** 2
+    varies = np.diag(within) + between > 1e-9
+    scale = np.sqrt(np.maximum(np.diag(within), 0)[varies]) + 1e-3
+    ridge = within[np.ix_(varies, varies)] / np.outer(scale, scale) + np.eye(len(scale)) * 0.05
+    direction = np.zeros(len(varies))
+    direction[varies] = np.linalg.solve(ridge, (mean[1] - mean[0])[varies] / scale) / scale
+    return direction
 
 
 @dataclass
@@ -445,7 +452,7 @@ def co_train(labelled: DataFrame, pool: DataFrame) -> dict[str, Head]:
             y = known.kind[h].astype("float64")
             text = TextView(weights[h][0], logistic(np.c_[stats[train, h], known.rates[train]], y[train]))
             direction = discriminant(base.pages[h] + more.pages[h], base.total[h] + more.total[h], base.products[h] + more.products[h])
-            meta = MetaView(direction, logistic((known.meta[train] @ direction)[:, None], y[train]))
+            meta = MetaView(direction, logistic((known.meta[train] @ direction)[:, None], y[train], ridge=0.1))
             held = np.nonzero(known.part[h] == 0)[0]
             both = np.stack([logit(text.model, np.c_[stats[held, h], known.rates[held]]), meta.scores(known.meta[held])], axis=1)
             heads[HEADS[h]] = Head(text, meta, logistic(both, y[held], ridge=0.1), heads[HEADS[h]].constant)
