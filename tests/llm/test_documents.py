@@ -70,7 +70,40 @@ def test_links_connect_all_pairs_within_two_bits(spark):
     signed = [f - (1 << 64) if f >> 63 else f for f in prints]
     links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fingerprint long")).collect()
     near = [(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2]
-    assert components(signed, [(a, b) for a, b in links]) == components(signed, near)
+    assert sorted((a, b) for a, b in links) == sorted(near)
+    crowded = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fingerprint long"), crowd=1).collect()
+    assert sorted((a, b) for a, b in crowded) == sorted(near)
+
+
+def test_a_crowded_segment_loses_no_link(spark):
+    rng = random.Random(8)
+    # all share their low half; the high halves are close, so codes are crowded at the default bound
+    halves = {rng.getrandbits(32) for _ in range(60)}
+    for half in sorted(halves):
+        halves |= {half ^ 1 << rng.randrange(32) ^ 1 << rng.randrange(32), half ^ 1 << rng.randrange(32)}
+    signed = sorted((h << 32 | 12345) - ((1 << 64) if h >> 31 else 0) for h in halves)
+    near = sorted((a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2)
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fingerprint long")).collect()
+    assert len(near) > 100 and sorted((a, b) for a, b in links) == near
+
+
+def test_similar_texts_are_found_from_the_threshold_on(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows, pairs = [], collections.defaultdict(list)
+    shingles = lambda words: {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+    for i in range(400):
+        words = [word() for _ in range(rng.randint(120, 400))]
+        other = list(words)
+        for _ in range(rng.randint(1, max(2, len(words) // 40))):
+            other[rng.randrange(len(other))] = word()
+        one, two = shingles(words), shingles(other)
+        pairs[min(int(len(one & two) / len(one | two) * 20), 19)].append(i)
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(other))]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    recall = {band: sum(found[1000 + i] == i for i in ids) / len(ids) for band, ids in pairs.items()}
+    assert recall[16] >= 0.9 and recall[17] >= 0.9 and recall[18] >= 0.95 and recall[19] >= 0.98, recall
+    assert all(value == 0 for band, value in recall.items() if band < 16), recall
 
 
 def test_one_document_of_each_group_stays(docs, texts, none):
@@ -129,9 +162,9 @@ def test_all_members_of_a_code_are_compared(spark):
         parts[2:] = [segments[8][2] ^ 1 << rng.randrange(32), segments[8][3] ^ 1 << rng.randrange(32)]
         parts[0] = segments[8][0] ^ 7 << rng.randrange(29)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    nodes = [(i, i, signed(p[0] | p[1] << 32), signed(p[2] | p[3] << 32), 100) for i, p in enumerate(segments)]
+    nodes = [(i, i, signed(p[0] | p[1] << 32), signed(p[2] | p[3] << 32), 100, b"s" * 60) for i, p in enumerate(segments)]
     balls = [(s, p[s] ^ flip, *node) for node, p in zip(nodes, segments) for s in range(4) for flip in [0, *(1 << bit for bit in range(32))]]
-    entries = spark.createDataFrame(balls, "segment int, code long, node long, family long, f0 long, f1 long, shingles int")
+    entries = spark.createDataFrame(balls, "segment int, code long, node long, family long, f0 long, f1 long, shingles int, sketch binary")
     bits = lambda p, q: [(x ^ y).bit_count() for x, y in zip(p, q)]
     expected = sorted((i, j) for i, p in enumerate(segments) for j, q in enumerate(segments)
                       if i < j and min(bits(p, q)) <= 2 and sum(bits(p, q)) <= 26)
@@ -259,10 +292,44 @@ def test_a_long_passage_goes_wherever_it_stands():
     passage = " ".join(f"p{rng.randint(0, 999)}" for _ in range(55)) + "."
     one, two = (sentence_spans.units_of(f"{head}\n{passage}\n{tail}") for head, tail in (("A b.", "End here."), ("Some longer start of it.", "Z.")))
     shared = set(sentence_spans.run_hashes(one)) & set(sentence_spans.run_hashes(two))
-    assert len(shared) == 3  # 55 words are five units
+    assert len(shared) == len(sentence_spans.units_of(passage)) - 2 > 0
     assert sentence_spans.without_units("A b c d e.\nx y", {0}) == "x y"
 
 
+def test_a_passage_inside_longer_sentences_is_found(spark):
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    spaced = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    plain = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    rows, clean = [], []
+    for i in range(100):
+        for first, words, size in ((0, spaced, 200), (1000, spaced, 60), (2000, plain, 200)):
+            passage, gap = words(size), "" if words is plain else " "
+            for copy in (0, 500):
+                rows.append((first + copy + i, gap.join([words(rng.randint(20, 31)), passage, words(rng.randint(20, 31))])))
+        clean.append(3000 + i)
+        rows.append((3000 + i, spaced(250)))
+    result = {r.doc_id: r for r in sentence_spans.drop_repeated_spans(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    caught = lambda first: sum(result[first + 500 + i].n_removed > 0 for i in range(100))
+    assert caught(0) == 100 and caught(1000) >= 90 and caught(2000) == 100, (caught(0), caught(1000), caught(2000))
+    before = dict(rows)
+    assert all(result[i].text == before[i] for i in clean) and all(result[i].text == before[i] for i in before if i % 1000 < 500)
+    # what goes is one stretch of the passage, what stays is as it was
+    for i in [*range(500, 600), *range(2500, 2600)]:
+        assert len(result[i].text) < len(before[i]) - 80 and before[i].startswith(result[i].text[:40].strip()[:20])
+
+
+def test_units_cover_their_lines():
+    rng = random.Random(9)
+    for _ in range(300):
+        line = "".join(rng.choice(["a", "bc ", " ", ". ", "\t", "\u3002", "\u4e2d", "\u6587", "! ", "x" * 20]) for _ in range(rng.randint(0, 120)))
+        units = sentence_spans.units_of(line)
+        assert "".join(line[start:stop] for _, start, stop, _ in units).strip() == line.strip()
+        assert [w for *_, words in units for w in words] == sentence_spans.WORD.findall(line)
+    assert len(sentence_spans.units_of("same " * 3000)) > 40 and sentence_spans.units_of(" \n\t") == [] == sentence_spans.units_of(None)
+
+
 def test_near_duplicates_are_told_apart_by_row_and_not_by_id(spark):
     rng = random.Random(31)
     text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80))

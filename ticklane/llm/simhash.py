@@ -2,21 +2,22 @@
 
 A fingerprint has a bit for each of 64 positions, set where more than half of the hashes of the document's
 word shingles have it. Two fingerprints are linked at ``MAX_DISTANCE`` = 2 or fewer differing bits. The
-64 bits are two segments of 32; around each fingerprint the Hamming balls of radius 1 within each segment are
-enumerated (the fingerprint itself and 32 + 32 flips). Two fingerprints differ in at most two bits exactly if
-their balls share a code, wherever the two bits lie. A code is reached by at most 65 different fingerprints,
-so fetching all entries of a code is bounded; each is linked with the smallest fingerprint there after its
-complete distance is verified. That keeps every connection without listing all pairs of a group. Copies
-share one fingerprint and are expanded only in the result.
+64 bits are two segments of 32, each with a table of the fingerprints by their bits there. Of two fingerprints
+within two bits at least one segment differs in one bit or none, so each fingerprint looks up the Hamming ball of
+radius 1 of each of its segments (its bits and 32 flips), and what the tables hold there is verified by the
+complete distance. A code that more than ``CROWD`` fingerprints share is looked up together with a piece of the other
+segment: that differs in two bits at most, so one of its three pieces is equal. Nothing is capped, and a
+fingerprint has at most 2080 others within two bits. Copies share one fingerprint and are expanded only in the result.
 
 ``similar_documents`` looks further, for texts whose sets of shingles have a Jaccard similarity of ``similarity`` (0.8).
-Fingerprints only find candidates there: at that similarity about 15 % of all bits differ, so it takes a
-fingerprint of 128 bits in four segments of 32 and looks up the ball of radius 1 of each segment alone, which finds
-pairs with two or fewer differing bits in some segment: by calculation 97 % at a similarity of 0.95, 81 % at 0.9, 40 %
-at 0.8. What the complete distance allows, with ``SPREAD`` standard deviations of the estimate, is verified by the
-exact similarity of the two sets of shingle hashes; only then it is a link. A code is first compared by its smallest
-and largest node, which settles three nodes or fewer; of codes with more, all pairs that are not connected yet
-are compared, large codes as pairs of blocks of ``BUCKET`` nodes.
+At that similarity about 15 % of all bits differ, so it takes a fingerprint of 128 bits in four segments of 32 and
+shares the ball of radius 1 on both sides, which finds pairs with two or fewer differing bits in some segment: by
+calculation 97 % at a similarity of 0.95, 81 % at 0.9, 40 % at 0.8. As this is not enough, ``BANDS`` codes of
+``ROWS`` smallest hashes each are looked up beside the segments: two sets share one of them with 99 % at 0.8.
+What the complete distance (and, in crowded codes, the share of equal smallest hashes) allows, with ``SPREAD`` standard
+deviations of the estimate, is verified by the exact similarity of the two sets of shingle hashes; only then it
+is a link. A code is first compared by its smallest and largest node, which settles three nodes or fewer; of
+codes with more, all pairs that are not connected yet are compared, large codes as pairs of blocks of ``BUCKET`` nodes.
 """
 
 from __future__ import annotations
@@ -27,17 +28,21 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm.components import connected_components
-from ticklane.llm.shared import NO_ID, row_key, stored
+from ticklane.llm.shared import NO_ID, row_key, small, stored
 
 SEED = 42
 SEGMENT_BITS = 32
 MAX_DISTANCE = 2
 SPREAD = 2
 BUCKET = 1024
+# fingerprints of one segment code beyond which the other segment refines it
+CROWD = 64
+BANDS = 12
+ROWS = 5
 # shingles whose bits are counted at once, so that a very long text needs no more memory than this
 BLOCK = 65_536
 
@@ -84,6 +89,23 @@ def _fingerprint(blocks: Iterable[np.ndarray], parts: int) -> list[int]:
     return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
+# odd factors, one for each order in which the smallest hash is taken
+_ORDERS = _mixed(np.arange(BANDS * ROWS, dtype="uint64"), 1) | np.uint64(1)
+
+
+def smallest_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The smallest of the hashes in each of ``BANDS * ROWS`` orders; the largest number if there are none."""
+    best = np.full(len(_ORDERS), np.iinfo("uint64").max, dtype="uint64")
+    for start in range(0, len(hashes), 4096):
+        best = np.minimum(best, (hashes[start:start + 4096, None] * _ORDERS).min(axis=0))
+    return best
+
+
+def band_codes(smallest: np.ndarray) -> list[int]:
+    """A signed 64-bit code of each band."""
+    return [int(np.uint64(xxhash.xxh64_intdigest(band.tobytes(), SEED)).astype("int64")) for band in smallest.reshape(BANDS, ROWS)]
+
+
 def with_fingerprint(docs: DataFrame, text_column: str = "text", width: int = 5, name: str = "fingerprint") -> DataFrame:
     """Add the fingerprint (long). Words are split at ASCII white space after lower-casing A-Z; null text is empty."""
 
@@ -94,15 +116,31 @@ def with_fingerprint(docs: DataFrame, text_column: str = "text", width: int = 5,
     return docs.withColumn(name, fingerprint(F.col(text_column)))
 
 
-def fingerprint_links(fingerprints: DataFrame, column: str = "fingerprint") -> DataFrame:
-    """Links ``a``, ``b`` between different fingerprints that connect all pairs within ``MAX_DISTANCE`` bits."""
-    flips = [1 << bit if bit < 63 else -(1 << 63) for segment in (0, SEGMENT_BITS)
-             for bit in range(segment, segment + SEGMENT_BITS)]
-    code = F.explode(F.array(F.col("a"), *[F.col("a").bitwiseXOR(F.lit(flip)) for flip in flips]))
-    entries = fingerprints.select(F.col(column).alias("a")).distinct().select("a", code.alias("code"))
-    return (entries.withColumn("b", F.min("a").over(Window.partitionBy("code")))
-            .filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE))
-            .select("a", "b").distinct())
+def _keys(key: Column, other: Column, crowded: Column) -> Column:
+    """The keys a code is looked up by: itself, or one for each piece of the other segment if the code is crowded."""
+    pieces = [(0, 11), (11, 11), (22, 10)]
+    refined = [key.bitwiseOR(F.lit(number << 33)).bitwiseOR(
+        F.shiftleft(F.shiftrightunsigned(other, first).bitwiseAND(F.lit((1 << size) - 1)), 35)) for number, (first, size) in enumerate(pieces, 1)]
+    return F.explode(F.when(crowded, F.array(*refined)).otherwise(F.array(key)))
+
+
+def fingerprint_links(fingerprints: DataFrame, column: str = "fingerprint", crowd: int = CROWD) -> DataFrame:
+    """The pairs ``a`` < ``b`` of different fingerprints within ``MAX_DISTANCE`` bits, each once."""
+    low, high = F.col("f").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("f", SEGMENT_BITS)
+    # a key is the bits of a segment, and at bit 32 its number
+    segments = [(low, high), (high.bitwiseOR(F.lit(1 << SEGMENT_BITS)), low)]
+    flips = [0] + [1 << bit for bit in range(SEGMENT_BITS)]
+    entry = lambda key, other: F.struct(key.alias("key"), other.alias("other"))
+    prints = stored(fingerprints.select(F.col(column).alias("f")).distinct())
+    table = prints.select("f", F.inline(F.array(*[entry(key, other) for key, other in segments])))
+    ball = prints.select("f", F.inline(F.array(*[entry(key.bitwiseXOR(F.lit(flip)), other) for key, other in segments for flip in flips])))
+    crowded = small(stored(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd)
+                           .select("key", F.lit(True).alias("crowded"))))
+    is_crowded = F.coalesce(F.col("crowded"), F.lit(False))
+    sides = [side.join(crowded, "key", "left").select(F.col("f").alias(name), _keys(F.col("key"), F.col("other"), is_crowded).alias("key"))
+             for side, name in ((ball, "a"), (table, "b"))]
+    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    return sides[0].join(sides[1], "key").filter((F.col("a") < F.col("b")) & (distance <= MAX_DISTANCE)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5) -> DataFrame:
@@ -141,9 +179,13 @@ def _bits(values: np.ndarray) -> np.ndarray:
 def crowded_pairs(entries: DataFrame, most: int, similarity: float, block: int = BUCKET) -> DataFrame:
     """Pairs ``a``, ``b`` of nodes of two families that share a code and may be similar.
 
-    ``entries`` has ``segment``, ``code``, ``node``, ``family``, ``f0``, ``f1``, ``shingles``. A pair shares several codes; it
-    is taken in the first segment that has one, there with the smallest code on the way from one to the other.
+    ``entries`` has ``segment``, ``code``, ``node``, ``family``, ``f0``, ``f1``, ``shingles`` and ``sketch``, a byte of each
+    smallest hash. A pair shares several codes; it is taken in the first segment that has one, there with the
+    smallest code on the way from one to the other. Segments from 4 on are bands; a pair that only they
+    bring together is listed for each.
     """
+    least = BANDS * ROWS * similarity - SPREAD * math.sqrt(BANDS * ROWS * similarity * (1 - similarity))
+
     buckets = entries.groupBy("segment", "code").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("one"), F.max("family").alias("two"))
     buckets = stored(buckets.filter(F.col("one") < F.col("two")).select("segment", "code", F.ceil(F.col("n") / block).alias("blocks")))
     dealt = (entries.join(buckets, ["segment", "code"]).withColumn("own", F.pmod("node", "blocks"))
@@ -159,15 +201,22 @@ def crowded_pairs(entries: DataFrame, most: int, similarity: float, block: int =
         keep = np.minimum(size[0][left], size[1][right]) >= similarity * np.maximum(size[0][left], size[1][right])
         keep &= node[0][left] < node[1][right] if low == high else True
         left, right = left[keep], right[keep]
+        sketch = [np.frombuffer(b"".join(part["sketch"]), dtype="uint8").reshape(len(part), -1) for part in (one, two)]
+        equal = np.ones(len(left), dtype=bool)
+        for at in range(0, len(left), BLOCK):
+            span = slice(at, at + BLOCK)
+            equal[span] = (sketch[0][left[span]] == sketch[1][right[span]]).sum(axis=1) >= least
+        left, right = left[equal], right[equal]
         parts = [[(f[side][at].view("u8") >> np.uint64(shift)) & np.uint64(0xFFFFFFFF) for side, at in ((0, left), (1, right))]
                  for f in (f0, f1) for shift in (0, SEGMENT_BITS)]
         new = np.ones(len(left), dtype=bool)
         for x, y in parts[:segment]:
             new &= np.bitwise_count(x ^ y) > 2
-        x, y = parts[segment]
-        flip = (x ^ y) & (~(x ^ y) + np.uint64(1))
-        way = np.where(np.bitwise_count(x ^ y) == 2, np.minimum(x ^ flip, y ^ flip), np.minimum(x, y))
-        new &= way == np.uint64(code)
+        if segment < len(parts):
+            x, y = parts[segment]
+            flip = (x ^ y) & (~(x ^ y) + np.uint64(1))
+            way = np.where(np.bitwise_count(x ^ y) == 2, np.minimum(x ^ flip, y ^ flip), np.minimum(x, y))
+            new &= way == np.uint64(code)
         a, b = node[0][left[new]], node[1][right[new]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -191,31 +240,34 @@ def _similar_rows(docs: DataFrame, id_column: str, text_column: str, width: int,
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = int(128 * share + SPREAD * math.sqrt(128 * share * (1 - share)))
 
-    @F.pandas_udf("node long, f0 long, f1 long, shingles int")
+    @F.pandas_udf("node long, f0 long, f1 long, shingles int, bands array<long>, sketch binary")
     def fingerprint(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             blocks = list(_shingle_hashes(text, width))
             hashes = np.unique(np.concatenate([np.empty(0, dtype="<u8"), *blocks]))
             node = int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype("int64"))
-            rows.append((node, *_fingerprint(blocks, 2), len(hashes)))
-        return pd.DataFrame(rows, columns=["node", "f0", "f1", "shingles"])
+            smallest = smallest_hashes(hashes)
+            rows.append((node, *_fingerprint(blocks, 2), len(hashes), band_codes(smallest), smallest.astype("uint8").tobytes()))
+        return pd.DataFrame(rows, columns=["node", "f0", "f1", "shingles", "bands", "sketch"])
 
     @F.pandas_udf("array<long>")
     def hashes_of(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(text, width).view("<i8") for text in texts])
 
     texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text"))
+    described = ("f0", "f1", "shingles", "bands", "sketch")
     marked = stored(texts.select("id", F.xxhash64("text").alias("text_key"), fingerprint("text").alias("f")).select("id", "text_key", "f.*"))
     # texts of one set of shingles are one node, so copies are neither compared nor verified; fingerprints of one set
     # may differ with the number of times it has each shingle
     nodes = stored(marked.groupBy("node").agg(F.min("id").alias("least"), F.min("text_key").alias("text_key"),
-                                              *[F.min_by(name, "text_key").alias(name) for name in ("f0", "f1", "shingles")]))
+                                              *[F.min_by(name, "text_key").alias(name) for name in described]))
     segments = [F.col(name).bitwiseAND(F.lit(0xFFFFFFFF)) if low else F.shiftrightunsigned(name, 32)
                 for name in ("f0", "f1") for low in (True, False)]
     ball = F.array(*[F.struct(F.lit(number).alias("segment"), (value.bitwiseXOR(F.lit(flip))).alias("code"))
                      for number, value in enumerate(segments) for flip in [0] + [1 << bit for bit in range(SEGMENT_BITS)]])
-    entries = nodes.select("node", F.explode(ball).alias("e")).select("node", "e.segment", "e.code")
+    bands = F.transform("bands", lambda code, number: F.struct((number + 4).alias("segment"), code.alias("code")))
+    entries = nodes.select("node", F.explode(F.concat(ball, bands)).alias("e")).select("node", "e.segment", "e.code")
     hubs = stored(entries.groupBy("segment", "code").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"))
                   .filter(F.col("low") < F.col("high")))
     near = stored(entries.join(hubs, ["segment", "code"]))
@@ -234,9 +286,9 @@ def _similar_rows(docs: DataFrame, id_column: str, text_column: str, width: int,
         return stored(sets.groupBy("node").agg(F.first("text").alias("text")).select("node", hashes_of("text").alias("hashes")))
 
     roots = connected_components(_verified(pairs, sets_of(pairs), similarity))
-    families = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("family"), "f0", "f1", "shingles")
+    families = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("family"), "f0", "f1", "shingles", "sketch")
     crowded = stored(near.filter("n > 3").select("segment", "code", "node").join(families, "node"))
-    others = stored(crowded_pairs(crowded, most, similarity))
+    others = stored(crowded_pairs(crowded, most, similarity).distinct())
     if not others.isEmpty():
         # the families that these connect, as a graph of families only
         links = _verified(others, sets_of(others), similarity)
