@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -201,37 +202,67 @@ def test_url_keys():
 
 def test_cross_entropy_difference(spark, docs, none, texts):
     targets = spark.createDataFrame([(1,), (2,), (206,), (None,), (77777,)], "doc_id long")
-    found = {(r.doc_id, r.n_tokens): r for r in lm_scores.cross_entropy_difference(docs, targets).collect()}
-    assert len(found) <= len(texts)
-    symbols = lambda t: [0] * 3 + [int(lm_scores.TABLE[b]) for b in (t or "").encode()]
-    counts = [collections.Counter(), collections.Counter()]
-    for i, text in texts:
-        s = symbols(text)
-        for k in range(3, len(s)):
-            for model in [0, 1] if i in (1, 2, 206) else [1]:
-                for order in range(1, 5):
-                    counts[model][tuple(s[k - order + 1:k + 1])] += 1
-    context = [collections.Counter(), collections.Counter()]
-    for model in (0, 1):
-        for gram, n in counts[model].items():
-            context[model][(len(gram), gram[:-1])] += n
-
-    def probability(model, gram):
-        if not gram:
-            return 1 / 64
-        return (counts[model][gram] + 4 * probability(model, gram[1:])) / (context[model][(len(gram), gram[:-1])] + 4)
-
-    for i, text in texts:
-        row = found[(i, len((text or "").encode()))]
-        s = symbols(text)
-        if len(s) == 3:
-            assert row.score is None
-        elif len(s) < 4000:
-            losses = [-sum(math.log(probability(m, tuple(s[k - 3:k + 1]))) for k in range(3, len(s))) / (len(s) - 3) for m in (0, 1)]
-            assert abs(row.target_loss - losses[0]) < 1e-4 and abs(row.score - losses[0] + losses[1]) < 1e-4
+    extra = [(900001, "Straße, naïve ZEBRA 12ab — 日本語 zebra"), (900002, "\t\x00 \n"), (None, "the zebra"), (None, "the zebra"), (2, "другой Текст")]
+    rows = texts + extra
+    given = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, id int, block string").repartition(3)
+    found = lm_scores.cross_entropy_difference(given, targets).collect()
+    # small blocks and many parts give the same rows
+    cut = lm_scores.cross_entropy_difference(given, targets, block_bytes=3000, part_bytes=2000).collect()
+    order = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.score or 0, 6))
+    assert len(found) == len(cut) == len(rows)
+    for left, right in zip(sorted(found, key=order), sorted(cut, key=order)):
+        assert left[:2] == right[:2] and (left.score is None) == (right.score is None)
+        assert left.score is None or abs(left.score - right.score) < 1e-9
+
+    fold = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    split = [["^"] + re.findall("[0-9a-z\u0080-\u07ff]+|[^\x00-\x20\x7f]", (t or "").translate(fold)) for _, t in rows]
+    wanted = [i in (1, 2, 206) for i, _ in rows]
+
+    def counted(tokens):
+        words = collections.Counter(tokens if len(tokens) > 1 else [])
+        return words, collections.Counter(zip(tokens, tokens[1:]))
+
+    vocabulary = len({w for tokens in split for w in tokens[1:]})
+    own = [counted(tokens) for tokens in split]
+    models = []
+    for members in (wanted, [True] * len(rows)):
+        total = (collections.Counter(), collections.Counter())
+        for parts, yes in zip(own, members):
+            if yes:
+                total[0].update(parts[0])
+                total[1].update(parts[1])
+        models.append((members, *total, sum(n for w, n in total[0].items() if w != "^")))
+    expected = []
+    for k, (i, _) in enumerate(rows):
+        n, losses = len(split[k]) - 1, []
+        for members, words, pairs, size in models:
+            mine = members[k]
+            loss = 0.0
+            for v, w in zip(split[k], split[k][1:]):
+                single = (words[w] - mine * own[k][0][w] + 1 / vocabulary) / (size - mine * n + 1)
+                loss -= math.log((pairs[v, w] - mine * own[k][1][v, w] + single) / (words[v] - mine * own[k][0][v] + 1))
+            losses.append(loss / n if n else None)
+        expected.append((i, n, *losses))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[2] or 0, 6), round(r[3] or 0, 6))
+    for row, want in zip(sorted(found, key=key), sorted(expected, key=key)):
+        assert tuple(row[:2]) == want[:2]
+        assert row[2:4] == (None, None) if want[2] is None else max(abs(row[2] - want[2]), abs(row[3] - want[3])) < 1e-9
+        assert row.score == (None if want[2] is None else row.target_loss - row.background_loss)
     assert lm_scores.cross_entropy_difference(none, targets).count() == 0
 
 
+def test_scores_tell_documents_that_occur_twice(spark):
+    """A near copy elsewhere in the corpus makes a document likelier; its own words alone don't."""
+    rng = random.Random(5)
+    lexicon = [f"w{n}" for n in range(3000)]
+    texts = [" ".join(rng.choices(lexicon, k=80)) for _ in range(200)]
+    rows = list(enumerate(texts)) + [(500, texts[7] + " more words"), (501, texts[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = {r.doc_id: r.background_loss for r in lm_scores.cross_entropy_difference(docs, docs.limit(0)).collect()}
+    twice = {7, 8, 500, 501}
+    assert max(scored[i] for i in twice) < min(loss for i, loss in scored.items() if i not in twice)
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -1,167 +1,273 @@
 """Language-model scores by cross-entropy difference.
 
-A target model (documents one wants more of) and a background model (all documents) are n-gram models of order
-``ORDER`` = 4 over one vocabulary: 64 symbol classes of bytes, which cover every text, so no token is unknown to
-either model. Both are counted over all of their documents, whole, and smoothed alike: each order falls back on
-the next lower one with ``KAPPA`` pseudo-counts. A document's score is the mean over its tokens of target loss
-minus background loss, in nats; lower is more like the target.
-
-Counting is partial per task and summed by a shuffle. The table of observed n-grams grows with the corpus; it
-cannot exceed 64**4 entries, so it may be broadcast.
+A target model (documents one wants more of) and a background model (all documents) are word bigram models over one
+vocabulary, the distinct words of all documents. Words are runs of ASCII letters and digits and of characters below
+U+0800, A-Z in lower case; any other sign, and each character from U+0800 on, is a word of its own; control characters
+and spaces separate. Both models are counted over all of their documents, whole, and smoothed alike: a bigram falls
+back on the word with ``KAPPA`` pseudo-counts, the word on the uniform distribution. A document is scored by what the
+*other* documents hold: its own counts are taken out of both models first, or it would vouch for itself. Its score
+is the mean over its words of target loss minus background loss, in nats; lower is more like the target.
+
+The counts grow with the corpus and are never gathered in one place. A task packs documents into blocks of about
+``BLOCK`` bytes and sends each distinct word and bigram of a block, with its counts there, to the part of its hash;
+a part adds them up and answers each block with the totals; blocks and answers meet and the block's documents
+are scored. The number of parts follows the size of the corpus, and a frequent word is sent once a block. Words and
+bigrams are named by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm.shared import small, stored
 
-ORDER = 4
-SYMBOLS = 64
-KAPPA = 4.0
-# bytes counted or scored at once
-BLOCK = 4 * 1024 * 1024
-
-
-def symbol_table() -> np.ndarray:
-    """Class of each byte: 1-26 letters of either case, 0 line ends, 27-31 space, digits, sentence ends, commas, other
-    signs, 32-63 the bytes of other characters by their low five bits."""
-    table = np.full(256, 31, dtype="uint8")
-    for i in range(26):
-        table[65 + i] = table[97 + i] = 1 + i
-    table[[10, 13]] = 0
-    table[[9, 32]] = 27
-    table[48:58] = 28
-    table[[ord(c) for c in ".!?"]] = 29
-    table[[ord(c) for c in ",;:"]] = 30
-    table[128:] = 32 + np.arange(128) % 32
+KAPPA = 1.0
+# bytes of documents in a block, and bytes of documents for each part of the counts
+BLOCK = 2 * 1024 * 1024
+PART = 16 * 1024 * 1024
+# bytes hashed at once
+WINDOW = 1 << 20
+BEGIN = np.uint64(1)
+SPACE, LETTER, CONTINUED, SINGLE = range(4)
+FACTOR = 0x9E3779B97F4A7C15
+PACKED = "kind int, block long, part long, texts binary, keys binary, target binary, background binary"
+TOTALS = "block long, kind int, part long, target binary, background binary, n_distinct long, n_target long, n_background long"
+
+
+def byte_classes() -> np.ndarray:
+    table = np.full(256, SINGLE, dtype="uint8")
+    table[:33] = table[127] = SPACE
+    for first, last in ("09", "AZ", "az"):
+        table[ord(first):ord(last) + 1] = LETTER
+    table[0x80:0xC0] = CONTINUED
+    table[0xC0:0xE0] = LETTER
     return table
 
 
-TABLE = symbol_table()
-
-
-def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram code that ends at each byte, and the documents' offsets; a document begins after line ends."""
-    sizes = np.fromiter(map(len, texts), dtype="int64", count=len(texts))
-    pad = b"\n" * (ORDER - 1)
-    symbols = TABLE[np.frombuffer(pad + pad.join(texts), dtype="uint8")].astype("int32")
-    codes = symbols[ORDER - 1:].copy()
-    for back in range(1, ORDER):
-        codes += symbols[ORDER - 1 - back:len(symbols) - back] * SYMBOLS ** back
-    # leave out the codes that end in the padding between documents
-    own = np.ones(len(codes), dtype=bool)
-    ends = np.cumsum(sizes + ORDER - 1)[:-1] - (ORDER - 1)
-    own[(ends[:, None] + np.arange(ORDER - 1)).ravel()] = False
-    return codes[own], np.r_[0, np.cumsum(sizes)]
-
-
-def blocks(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Ranges of documents of about BLOCK bytes."""
-    start, size, part = 0, 0, []
-    for i, text in enumerate(texts):
-        raw = text.as_py().encode("utf-8", "surrogatepass")
-        part.append(raw)
-        size += len(raw)
-        if size >= BLOCK:
-            yield start, i + 1, part
-            start, size, part = i + 1, 0, []
-    if part:
-        yield start, start + len(part), part
-
-
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """``code``, ``target``, ``background``: occurrences of each n-gram. ``docs`` has ``text`` (not null) and ``is_target``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        # per task: the n-grams seen so far with their counts, merged block by block
-        codes, totals = np.zeros(0, dtype="int64"), np.zeros((0, 2), dtype="int64")
+CLASSES = byte_classes()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Each bit of a 64-bit number decides each bit of the result."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def byte_values() -> np.ndarray:
+    """A number for each byte, the same for both cases of a letter."""
+    values = mixed(np.arange(1, 257, dtype="uint64") * np.uint64(FACTOR))
+    values[65:91] = values[97:123]
+    return values
+
+
+VALUES = byte_values()
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, dtype="uint64")
+    out[:1] = 1
+    return np.cumprod(out, dtype="uint64")
+
+
+def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the bytes starts, and its hash: a polynomial from differences of prefix sums."""
+    classes = CLASSES[raw]
+    chars = np.flatnonzero(classes != CONTINUED)
+    kinds = classes[chars]
+    letter = kinds == LETTER
+    inside = letter & np.r_[False, letter[:-1]]
+    edges = np.flatnonzero(~inside)
+    first = kinds[edges] != SPACE
+    starts = chars[edges][first]
+    ends = np.r_[chars[edges][1:], len(raw)][first]
+    hashes = np.empty(len(starts), dtype="uint64")
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + WINDOW, "right")))
+        base, size = starts[at], int(ends[stop - 1] - starts[at])
+        sums = np.r_[np.uint64(0), np.cumsum(VALUES[raw[base:base + size]] * powers(size, FACTOR), dtype="uint64")]
+        back = powers(size, pow(FACTOR, -1, 1 << 64))
+        hashes[at:stop] = (sums[ends[at:stop] - base] - sums[starts[at:stop] - base]) * back[starts[at:stop] - base]
+        at = stop
+    # 0 and 1 are no word's hash
+    return starts, np.maximum(mixed(hashes), np.uint64(2))
+
+
+class Block:
+    """Words and bigrams of some documents: distinct hashes in ascending order, and each occurrence's place there."""
+
+    def __init__(self, texts: list[bytes]):
+        offsets = np.r_[0, np.cumsum(np.fromiter((len(t) + 1 for t in texts), "int64", len(texts)))]
+        starts, hashes = words(np.frombuffer(b"\n".join(texts), dtype="uint8"))
+        self.doc = np.searchsorted(offsets, starts, "right") - 1
+        self.n_words = np.bincount(self.doc, minlength=len(texts))
+        opens = np.r_[True, self.doc[1:] != self.doc[:-1]][:len(starts)]
+        before = np.where(opens, BEGIN, np.r_[BEGIN, hashes[:-1]][:len(starts)])
+        # a begin mark per document that has words is counted among the words, as a context
+        begun = np.unique(self.doc)
+        self.words, places = np.unique(np.r_[hashes, np.full(len(begun), BEGIN)], return_inverse=True)
+        self.word, self.word_doc, self.all_places = places[:len(hashes)], np.r_[self.doc, begun], places
+        self.before = np.searchsorted(self.words, before)
+        self.pairs, self.pair = np.unique(mixed(before * np.uint64(FACTOR) + hashes), return_inverse=True)
+
+    def requests(self, parts: int, wanted: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+        """Kind (1 words, 2 bigrams), part, hashes, and their counts in target and all documents."""
+        for kind, keys, places, doc in ((1, self.words, self.all_places, self.word_doc), (2, self.pairs, self.pair, self.doc)):
+            every = np.bincount(places, minlength=len(keys))
+            of_target = np.bincount(places[wanted[doc]], minlength=len(keys))
+            part = part_of(keys, parts)
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][:len(part)])
+            for start, stop in zip(cuts, np.r_[cuts[1:], len(part)]):
+                yield kind, int(part[start]), keys[start:stop].tobytes(), packed(of_target[start:stop]), packed(every[start:stop])
+
+    def own(self, places: np.ndarray, doc: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """How often the document of each word holds the entry ``asked`` itself."""
+        size = max(len(self.words), len(self.pairs), 1)
+        found, number = np.unique(doc * size + places, return_counts=True)
+        return number[np.searchsorted(found, self.doc * size + asked)]
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are ranges of hashes, so sorted hashes lie in the order of the parts."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(counts, dtype="int64").tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), dtype="int64")
+
+
+def packed_documents(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def block_and_requests(docs: DataFrame, parts: int, block_bytes: int) -> DataFrame:
+    """Rows of kind 0 hold the documents of a block, the others what it asks of each part."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        waiting, size = [], 0
+
+        def rows() -> pa.RecordBatch:
+            ids, texts, flags = (list(column) for column in zip(*waiting))
+            held = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(flags, pa.bool_())], ["id", "text", "wanted"])
+            out = [(0, number, 0, packed_documents(held), None, None, None)]
+            out += [(kind, number, part, None, *sent) for kind, part, *sent in Block(texts).requests(parts, np.array(flags, dtype=bool))]
+            types = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out), types)],
+                                              ["kind", "block", "part", "texts", "keys", "target", "background"])
+
         for batch in batches:
-            wanted = batch.column(1).to_numpy(zero_copy_only=False)
-            for start, stop, part in blocks(batch.column(0)):
-                of_target = wanted[start:stop].astype(bool)
-                pieces = [(part, 1), ([text for text, yes in zip(part, of_target) if yes], 0)]
-                for texts, column in pieces:
-                    if texts:
-                        found, number = np.unique(coded(texts)[0], return_counts=True)
-                        new = np.zeros((len(found), 2), dtype="int64")
-                        new[:, column] = number
-                        codes, place = np.unique(np.r_[codes, found], return_inverse=True)
-                        both = np.r_[totals, new]
-                        totals = np.stack([np.bincount(place, both[:, i], len(codes)) for i in (0, 1)], axis=1).astype("int64")
-        if len(codes):
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(
-                {"code": codes.astype("int32"), "target": totals[:, 0], "background": totals[:, 1]}), preserve_index=False)
-
-    return (docs.select("text", "is_target").mapInArrow(count, "code int, target long, background long")
-            .groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
-
-
-class Model:
-    """Losses of one model's observed n-grams, and what unobserved ones need."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        size = SYMBOLS ** (ORDER - 1)
-        probability = np.full(1, 1.0 / SYMBOLS)
-        for order in range(1, ORDER):
-            # counts of the last ``order`` symbols, and of the context they stand in
-            tail = np.bincount(codes % SYMBOLS ** order, counts, SYMBOLS ** order)
-            context = tail.reshape(-1, SYMBOLS).sum(axis=1)
-            lower = probability[np.arange(SYMBOLS ** order) % len(probability)]
-            probability = (tail + KAPPA * lower) / (np.repeat(context, SYMBOLS) + KAPPA)
-        self.lower = probability
-        self.context = np.bincount(codes // SYMBOLS, counts, size)
-        self.losses = self.loss(codes, counts).astype("float32")
-
-    def loss(self, codes: np.ndarray, counts: np.ndarray | float) -> np.ndarray:
-        return -np.log((counts + KAPPA * self.lower[codes % SYMBOLS ** (ORDER - 1)]) / (self.context[codes // SYMBOLS] + KAPPA))
+            for i, text, flag in zip(*batch.columns):
+                waiting.append((i.as_py(), text.as_py().encode("utf-8", "surrogatepass"), flag.as_py()))
+                size += len(waiting[-1][1]) + 16
+                if size >= block_bytes:
+                    yield rows()
+                    number, waiting, size = number + 1, [], 0
+        if waiting:
+            yield rows()
+
+    return docs.select("id", "text", "is_target").mapInArrow(pack, PACKED)
+
+
+def total_counts(requests: DataFrame) -> DataFrame:
+    """For each request the totals over all blocks; the first row of a part and kind also has the sums for the vocabulary."""
+
+    def add_up(table: pa.Table) -> pa.Table:
+        out = []
+        for kind in (1, 2):
+            rows = [row for row in table.to_pylist() if row["kind"] == kind]
+            if not rows:
+                continue
+            keys = [np.frombuffer(row["keys"], dtype="uint64") for row in rows]
+            found, place = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = []
+            for name in ("target", "background"):
+                totals = np.zeros(len(found), dtype="int64")
+                np.add.at(totals, place, np.concatenate([unpacked(row[name]) for row in rows]))
+                sums.append(totals)
+            real = found != BEGIN
+            extra = [int(real.sum()), *(int(totals[real].sum()) for totals in sums)] if kind == 1 else [0, 0, 0]
+            ends = np.cumsum([len(k) for k in keys])
+            for row, own, stop in zip(rows, keys, ends):
+                at = place[stop - len(own):stop]
+                out.append((row["block"], kind, row["part"], packed(sums[0][at]), packed(sums[1][at]), *extra))
+                extra = [0, 0, 0]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.Table.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out), types)],
+                                    names=[field.split()[0] for field in TOTALS.split(", ")])
+
+    return requests.groupBy("part").applyInArrow(add_up, TOTALS)
+
+
+def scored_blocks(blocks: DataFrame, totals: DataFrame, vocabulary: int, sizes: tuple[int, int], kappa: float) -> DataFrame:
+    """Mean losses of the documents of each block."""
+
+    def score(held: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = pa.ipc.open_stream(held.column("texts")[0].as_py()).read_all()
+        block = Block(docs.column("text").to_pylist())
+        wanted = docs.column("wanted").to_numpy().astype(bool)
+        n = block.n_words
+        counts = {}
+        for row in sorted(answers.to_pylist(), key=lambda row: (row["kind"], row["part"])):
+            for name in ("target", "background"):
+                counts.setdefault((row["kind"], name), []).append(unpacked(row[name]))
+        own_word = block.own(block.all_places, block.word_doc, block.word)
+        own_before = block.own(block.all_places, block.word_doc, block.before)
+        own_pair = block.own(block.pair, block.doc, block.pair)
+        means = []
+        for name, size, mine in (("target", sizes[0], wanted), ("background", sizes[1], np.ones(len(n), dtype=bool))):
+            if len(block.doc):
+                word, pair = (np.concatenate(counts[kind, name]) for kind in (1, 2))
+                own = mine[block.doc]
+                single = (word[block.word] - own * own_word + kappa / vocabulary) / (size - own * n[block.doc] + kappa)
+                double = (pair[block.pair] - own * own_pair + kappa * single) / (word[block.before] - own * own_before + kappa)
+                loss = np.bincount(block.doc, -np.log(double), len(n))
+            else:
+                loss = np.zeros(len(n))
+            means.append(pa.array(loss / np.maximum(n, 1), mask=n == 0))
+        return pa.Table.from_arrays([docs.column("id"), pa.array(n.astype("int64")), *means],
+                                    names=["id", "n_tokens", "target_loss", "background_loss"])
+
+    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
+        score, "id long, n_tokens long, target_loss double, background_loss double")
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                             target_column: str = "doc_id") -> DataFrame:
-    """One row per input row: its id, ``n_tokens`` (bytes of the text), ``target_loss``, ``background_loss`` (mean nats a token)
+                             target_column: str = "doc_id", kappa: float = KAPPA, block_bytes: int = BLOCK,
+                             part_bytes: int = PART) -> DataFrame:
+    """One row per input row: its id, ``n_tokens`` (words of the text), ``target_loss``, ``background_loss`` (mean nats a word)
     and ``score`` (their difference).
 
     ``targets`` names the documents of the target model by id; ids that are null or have no document count for
-    nothing, and without any target the target model is uniform. Null and empty texts have no tokens and null
-    losses. Equal rows give equal rows and count as often; other columns are left out; an empty table gives no
-    rows.
+    nothing, and without any target the target model is uniform. Null texts, and texts without words, have no tokens
+    and null losses. Equal rows give equal rows and each counts for the others; other columns are left out; an
+    empty table gives no rows. Block and part sizes don't change the result. A document is held whole by its task.
     """
     names = small(stored(targets.select(F.col(target_column).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
                          .withColumn("is_target", F.lit(True))))
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    counts = stored(ngram_counts(rows.join(names, "id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))))
-    # at most SYMBOLS ** ORDER rows
-    table = counts.toPandas().sort_values("code", ignore_index=True)
-    codes = table["code"].to_numpy("int64")
-    models = docs.sparkSession.sparkContext.broadcast(
-        (codes.astype("int32"), [Model(codes, table[name].to_numpy("float64")) for name in ("target", "background")]))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, both = models.value
-        for batch in batches:
-            for start, stop, part in blocks(batch.column(1)):
-                found, offsets = coded(part)
-                n = np.diff(offsets)
-                at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
-                new = np.nonzero(known[at] != found)[0] if len(known) else np.arange(len(found))
-                means = []
-                for model in both:
-                    each = model.losses[at].astype("float64") if len(known) else np.zeros(len(found))
-                    each[new] = model.loss(found[new], 0.0)
-                    total = np.r_[0.0, np.cumsum(each)]
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        means.append((total[offsets[1:]] - total[offsets[:-1]]) / n)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, stop - start), pa.array(n), *(pa.array(mean, mask=n == 0) for mean in means)],
-                    ["id", "n_tokens", "target_loss", "background_loss"])
-
-    return rows.mapInArrow(scored, "id long, n_tokens long, target_loss double, background_loss double").select(
-        F.col("id").alias(id_column), "n_tokens", "target_loss", "background_loss",
-        (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    marked = rows.join(names, "id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    sent = stored(block_and_requests(marked, max(1, math.ceil(size / part_bytes)), block_bytes))
+    totals = stored(total_counts(sent.filter("kind > 0").select("kind", "block", "part", "keys", "target", "background")))
+    vocabulary, *sizes = totals.agg(*(F.coalesce(F.sum(name), F.lit(0)) for name in ("n_distinct", "n_target", "n_background"))).first()
+    scored = scored_blocks(sent.filter("kind = 0").select("block", "texts"), totals.select("block", "kind", "part", "target", "background"),
+                           max(vocabulary, 1), tuple(sizes), kappa)
+    return scored.select(F.col("id").alias(id_column), "n_tokens", "target_loss", "background_loss",
+                         (F.col("target_loss") - F.col("background_loss")).alias("score"))
