@@ -31,14 +31,14 @@ from ticklane.llm.shared import small, stored
 
 KAPPA = 1.0
 # bytes of documents in a block, and bytes of documents for each part of the counts
-BLOCK = 2 * 1024 * 1024
+BLOCK = 4 * 1024 * 1024
 PART = 16 * 1024 * 1024
 # bytes hashed at once
 WINDOW = 1 << 20
 BEGIN = np.uint64(1)
 SPACE, LETTER, CONTINUED, SINGLE = range(4)
 FACTOR = 0x9E3779B97F4A7C15
-PACKED = "kind int, block long, part long, texts binary, keys binary, target binary, background binary"
+ASKED = "kind int, block long, part long, keys binary, target binary, background binary"
 TOTALS = "block long, kind int, part long, target binary, background binary, n_distinct long, n_target long, n_background long"
 
 
@@ -127,13 +127,14 @@ class Block:
             part = part_of(keys, parts)
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][:len(part)])
             for start, stop in zip(cuts, np.r_[cuts[1:], len(part)]):
-                yield kind, int(part[start]), keys[start:stop].tobytes(), packed(of_target[start:stop]), packed(every[start:stop])
+                steps = np.diff(keys[start:stop], prepend=np.uint64(0))
+                yield kind, int(part[start]), packed(steps), packed(of_target[start:stop]), packed(every[start:stop])
 
-    def own(self, places: np.ndarray, doc: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        """How often the document of each word holds the entry ``asked`` itself."""
+    def own(self, places: np.ndarray, doc: np.ndarray, *asked: np.ndarray) -> list[np.ndarray]:
+        """How often the document of each word holds the entries ``asked`` itself."""
         size = max(len(self.words), len(self.pairs), 1)
         found, number = np.unique(doc * size + places, return_counts=True)
-        return number[np.searchsorted(found, self.doc * size + asked)]
+        return [number[np.searchsorted(found, self.doc * size + entries)] for entries in asked]
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -141,12 +142,14 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def packed(counts: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(counts, dtype="int64").tobytes(), 1)
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers with like bytes side by side, compressed: most counts and the high bytes of steps are small."""
+    return zstandard.compress(np.ascontiguousarray(numbers).view("uint8").reshape(-1, 8).T.tobytes(), 1)
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), dtype="int64")
+def unpacked(raw: bytes, kind: str = "int64") -> np.ndarray:
+    columns = np.frombuffer(zstandard.decompress(raw), dtype="uint8").reshape(8, -1)
+    return np.ascontiguousarray(columns.T).view(kind).ravel()
 
 
 def packed_documents(batch: pa.RecordBatch) -> bytes:
@@ -156,51 +159,67 @@ def packed_documents(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def block_and_requests(docs: DataFrame, parts: int, block_bytes: int) -> DataFrame:
-    """Rows of kind 0 hold the documents of a block, the others what it asks of each part."""
+def document_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """The documents of each block, packed into one row."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         waiting, size = [], 0
 
-        def rows() -> pa.RecordBatch:
+        def row() -> pa.RecordBatch:
             ids, texts, flags = (list(column) for column in zip(*waiting))
             held = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(flags, pa.bool_())], ["id", "text", "wanted"])
-            out = [(0, number, 0, packed_documents(held), None, None, None)]
-            out += [(kind, number, part, None, *sent) for kind, part, *sent in Block(texts).requests(parts, np.array(flags, dtype=bool))]
-            types = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out), types)],
-                                              ["kind", "block", "part", "texts", "keys", "target", "background"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed_documents(held)], pa.binary())], ["block", "texts"])
 
         for batch in batches:
             for i, text, flag in zip(*batch.columns):
                 waiting.append((i.as_py(), text.as_py().encode("utf-8", "surrogatepass"), flag.as_py()))
                 size += len(waiting[-1][1]) + 16
                 if size >= block_bytes:
-                    yield rows()
+                    yield row()
                     number, waiting, size = number + 1, [], 0
         if waiting:
-            yield rows()
+            yield row()
 
-    return docs.select("id", "text", "is_target").mapInArrow(pack, PACKED)
+    return docs.select("id", "text", "is_target").mapInArrow(pack, "block long, texts binary")
+
+
+def unpacked_block(texts: bytes) -> tuple[pa.Table, Block, np.ndarray]:
+    docs = pa.ipc.open_stream(texts).read_all()
+    return docs, Block(docs.column("text").to_pylist()), docs.column("wanted").to_numpy().astype(bool)
+
+
+def block_requests(blocks: DataFrame, parts: int) -> DataFrame:
+    """What each block asks of each part."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 3
+        names = [field.split()[0] for field in ASKED.split(", ")]
+        for batch in batches:
+            for number, texts in zip(*batch.columns):
+                _, block, wanted = unpacked_block(texts.as_py())
+                out = [(kind, number.as_py(), part, *sent) for kind, part, *sent in block.requests(parts, wanted)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out), types)], names)
+
+    return blocks.select("block", "texts").mapInArrow(ask, ASKED)
 
 
 def total_counts(requests: DataFrame) -> DataFrame:
     """For each request the totals over all blocks; the first row of a part and kind also has the sums for the vocabulary."""
 
     def add_up(table: pa.Table) -> pa.Table:
-        out = []
+        out, every = [], table.to_pylist()
         for kind in (1, 2):
-            rows = [row for row in table.to_pylist() if row["kind"] == kind]
+            rows = [row for row in every if row["kind"] == kind]
             if not rows:
                 continue
-            keys = [np.frombuffer(row["keys"], dtype="uint64") for row in rows]
+            keys = [np.cumsum(unpacked(row["keys"], "uint64"), dtype="uint64") for row in rows]
             found, place = np.unique(np.concatenate(keys), return_inverse=True)
             sums = []
             for name in ("target", "background"):
-                totals = np.zeros(len(found), dtype="int64")
-                np.add.at(totals, place, np.concatenate([unpacked(row[name]) for row in rows]))
-                sums.append(totals)
+                # sums of doubles are exact here: counts stay below 2**53
+                sums.append(np.bincount(place, np.concatenate([unpacked(row[name]) for row in rows]), len(found)).astype("int64"))
             real = found != BEGIN
             extra = [int(real.sum()), *(int(totals[real].sum()) for totals in sums)] if kind == 1 else [0, 0, 0]
             ends = np.cumsum([len(k) for k in keys])
@@ -219,17 +238,14 @@ def scored_blocks(blocks: DataFrame, totals: DataFrame, vocabulary: int, sizes:
     """Mean losses of the documents of each block."""
 
     def score(held: pa.Table, answers: pa.Table) -> pa.Table:
-        docs = pa.ipc.open_stream(held.column("texts")[0].as_py()).read_all()
-        block = Block(docs.column("text").to_pylist())
-        wanted = docs.column("wanted").to_numpy().astype(bool)
+        docs, block, wanted = unpacked_block(held.column("texts")[0].as_py())
         n = block.n_words
         counts = {}
         for row in sorted(answers.to_pylist(), key=lambda row: (row["kind"], row["part"])):
             for name in ("target", "background"):
                 counts.setdefault((row["kind"], name), []).append(unpacked(row[name]))
-        own_word = block.own(block.all_places, block.word_doc, block.word)
-        own_before = block.own(block.all_places, block.word_doc, block.before)
-        own_pair = block.own(block.pair, block.doc, block.pair)
+        own_word, own_before = block.own(block.all_places, block.word_doc, block.word, block.before)
+        own_pair, = block.own(block.pair, block.doc, block.pair)
         means = []
         for name, size, mine in (("target", sizes[0], wanted), ("background", sizes[1], np.ones(len(n), dtype=bool))):
             if len(block.doc):
@@ -264,10 +280,10 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_column: str
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     marked = rows.join(names, "id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
-    sent = stored(block_and_requests(marked, max(1, math.ceil(size / part_bytes)), block_bytes))
-    totals = stored(total_counts(sent.filter("kind > 0").select("kind", "block", "part", "keys", "target", "background")))
+    blocks = stored(document_blocks(marked, block_bytes))
+    totals = stored(total_counts(block_requests(blocks, max(1, math.ceil(size / part_bytes)))))
     vocabulary, *sizes = totals.agg(*(F.coalesce(F.sum(name), F.lit(0)) for name in ("n_distinct", "n_target", "n_background"))).first()
-    scored = scored_blocks(sent.filter("kind = 0").select("block", "texts"), totals.select("block", "kind", "part", "target", "background"),
+    scored = scored_blocks(blocks, totals.select("block", "kind", "part", "target", "background"),
                            max(vocabulary, 1), tuple(sizes), kappa)
     return scored.select(F.col("id").alias(id_column), "n_tokens", "target_loss", "background_loss",
                          (F.col("target_loss") - F.col("background_loss")).alias("score"))
