@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,8 +122,11 @@ def window_sample(data: DataFrame, keys: list[str], position: str, rows: int, pi
 def paired_sample(left: DataFrame, right: DataFrame, keys: list[str], picks: int, seed: int = 7) -> DataFrame:
     """Rows of both layers for randomly chosen keys that occur in both, tagged with their layer."""
     both = left.select(*keys).distinct().join(right.select(*keys).distinct(), keys, "left_semi")
-    chosen = both.orderBy(_hash_order(seed, keys)).limit(picks)
-    tag = lambda df, layer: df.join(chosen, keys, "left_semi").withColumn("layer", F.lit(layer))
+    # a few keys; as values they are looked for where the layers are read
+    chosen = both.orderBy(_hash_order(seed, keys)).limit(picks).collect()
+    of_key = lambda row: reduce(and_, [F.col(key) == F.lit(row[key]) for key in keys])
+    wanted = reduce(or_, [of_key(row) for row in chosen], F.lit(False))
+    tag = lambda df, layer: df.where(wanted).withColumn("layer", F.lit(layer))
     return tag(left, "original").unionByName(tag(right, "organized"))
 
 
