@@ -8,6 +8,8 @@ pass and 1 a failure.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,20 +32,20 @@ class Rule:
 
 
 def _order_columns(ticks: DataFrame) -> DataFrame:
-    """Columns that compare a row with its neighbours; all windows share keys and one exchange."""
+    """Columns that compare a row with its neighbours; all windows share keys and one exchange, and but one share a sort."""
     day = Window.partitionBy(*KEYS).orderBy("time", "tick_order")
     by_volume = Window.partitionBy(*KEYS).orderBy("time", "daily_accumulated_volume")
     half = F.when(F.col("time").between(K.SESSION_START, K.NOON_END), 1).when(
         F.col("time").between(K.NOON_START, K.SESSION_END), 2)
-    halves = Window.partitionBy(*KEYS, "_half").orderBy("time", "tick_order")
     second = whole_seconds("time")
     first_number = F.min(F.when(F.col("transaction_number") != 0, F.col("time"))).over(Window.partitionBy(*KEYS))
+    # the rows of a half follow each other in the day
     return (
         ticks.withColumn("_half", half)
         .withColumn("_reversed", F.lag("daily_accumulated_volume").over(by_volume) > F.col("daily_accumulated_volume"))
         .withColumn("_volume_change", F.col("daily_accumulated_volume") - F.lag("daily_accumulated_volume").over(day))
+        .withColumn("_gap", F.when(F.lag("_half").over(day) == F.col("_half"), second - F.lag(second).over(day)))
         .withColumn("_same_time", F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "time")))
-        .withColumn("_gap", F.when(F.col("_half").isNotNull(), second - F.lag(second).over(halves)))
         .withColumn("_first_number", first_number)
     )
 
@@ -60,7 +62,7 @@ def missing_level(is_st: Column | None = None) -> Column:
         edge = F.when(present == 0, F.col("price")).otherwise(F.get(prices, present - 1))
         return F.when(present < K.BOOK_DEPTH, ~nearly_equal(edge, bound))
 
-    any_zero = F.exists(F.array(*[F.col(c).cast("double") for c in BOOK_COLUMNS]), lambda v: v == 0)
+    any_zero = reduce(or_, [F.col(c) == 0 for c in BOOK_COLUMNS])
     quoting = (F.col("time") < K.CLOSING_AUCTION_START) & (F.col("time") > K.AUCTION_SECOND_STAGE_END) \
         & ((F.col("time") >= K.NOON_START) | (F.col("time") <= K.NOON_END))
     return quoting & any_zero & F.coalesce(off_limit("bid", down), off_limit("ask", up), F.lit(True))
@@ -101,7 +103,7 @@ def stock_rules(minimum_rows: int = K.TICKS_PER_SESSION) -> dict[str, Rule]:
         "repeat_records": Rule(repeats, "Repeat records"),
         "close_missing": Rule(flag((close_rows == 0) | (at(K.NOON_END) == 0)), "The close record is missing"),
         "no_volume": Rule(flag(_count(F.col("volume") == 0) / rows > 0.999), "Nearly no traded rows"),
-        "level_missing": Rule(_count(missing_level()), "The bid or ask data is missing"),
+        "level_missing": Rule(_count(F.col("_level_missing")), "The bid or ask data is missing"),
         "incomplete_day": Rule(flag(F.max(time) < K.SESSION_END), "The day ends before the close"),
         "always_fail": Rule(F.lit(1), "Marked as bad"),
         "always_pass": Rule(F.lit(0), ""),
@@ -113,6 +115,9 @@ def validate_stock_ticks(ticks: DataFrame, rules: list[str] | None = None, suspe
     """One result row per stock, date and rule. Suspended (date, stock) pairs fail with that message alone."""
     known = stock_rules(minimum_rows)
     chosen = {name: known[name] for name in (rules or known)}
+    if "level_missing" in chosen:
+        # ahead of the windows, so that their sorts don't carry the book
+        ticks = ticks.withColumn("_level_missing", missing_level())
     issues = _order_columns(ticks).groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("record_count"),
         *[rule.issues.cast("bigint").alias(name) for name, rule in chosen.items()])
