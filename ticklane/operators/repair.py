@@ -7,8 +7,10 @@ of rows in their source.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklane import constants as K
@@ -40,14 +42,29 @@ def restore_auction_duplicates(data: DataFrame, raw: DataFrame) -> DataFrame:
     return _union(data, repeated)
 
 
+def _beside(data: DataFrame, rows: DataFrame) -> DataFrame:
+    """The layer and, tagged by ``_extra``, raw rows that may join it.
+
+    What a day of the layer holds is then a window over both: the layer is read once. ``_known`` tells the days that the
+    layer has; keys with nulls are no day.
+    """
+    both = data.withColumn("_extra", F.lit(False)).unionByName(_like(rows, data).withColumn("_extra", F.lit(True)))
+    has_key = F.col(KEYS[0]).isNotNull() & F.col(KEYS[1]).isNotNull()
+    return both.withColumn("_known", has_key & _any(~F.col("_extra")))
+
+
+def _any(condition: Column) -> Column:
+    """Whether some row of the day meets the condition."""
+    return F.max(F.when(condition, 1).otherwise(0)).over(_day()) == 1
+
+
 def replace_closing_record(data: DataFrame, raw: DataFrame) -> DataFrame:
     """Where 15:00:00 holds no trade, take the traded raw rows of that time instead."""
     at_close = F.col("time") == K.SESSION_END
-    traded_close = data.where(at_close & (F.col("volume") > 0)).select(*KEYS).distinct()
-    kept = data.where(~at_close).unionByName(data.where(at_close).join(traded_close, KEYS, "left_semi"))
-    wanted = raw.where(at_close & (F.col("volume") > 0)).join(traded_close, KEYS, "left_anti") \
-        .join(data.select(*KEYS).distinct(), KEYS, "left_semi")
-    return _union(kept, wanted)
+    traded = at_close & (F.col("volume") > 0)
+    both = _beside(data, raw.where(traded)).withColumn("_closed", F.col("_known") & _any(traded & ~F.col("_extra")))
+    stays = F.when(F.col("_extra"), F.col("_known") & ~F.col("_closed")).otherwise(~at_close | (at_close & F.col("_closed")))
+    return _like(both.where(stays), data)
 
 
 def carry_transaction_number(data: DataFrame) -> DataFrame:
@@ -75,24 +92,33 @@ def restore_close_records(data: DataFrame, raw: DataFrame, step: int = K.STOCK_T
     the last raw morning row every ``step`` seconds. Raw days without volume take it from the cumulative columns.
     """
     raw = _with_traded_volume(raw)
-    flags = data.groupBy(*KEYS).agg(
-        F.max((F.col("time") == K.SESSION_END).cast("int")).alias("_has_close"),
-        F.max((F.col("time") == K.NOON_END).cast("int")).alias("_has_noon"))
-    summed = F.max(F.when(F.col("volume") > 0, F.col("time"))).over(_day())
-    source = raw.withColumn("_last_trade", summed).join(flags, KEYS)
-    no_close = source.where((F.col("_has_close") == 0) & F.col("_last_trade").isNotNull())
+    last_trade = F.max(F.when(F.col("volume") > 0, F.col("time"))).over(_day())
+    morning = F.col("time") <= K.NOON_END
+    rank = F.row_number().over(Window.partitionBy(*KEYS, morning).orderBy(F.desc("time"), F.desc("tick_order")))
     close_time = F.when(F.col("_last_trade") <= K.SESSION_END, F.lit(K.SESSION_END)).otherwise(F.col("_last_trade"))
-    close_rows = no_close.where(F.col("time") == close_time).withColumn("time", F.lit(K.SESSION_END))
-    morning = source.where((F.col("_has_close") == 1) & (F.col("_has_noon") == 0) & (F.col("time") <= K.NOON_END))
-    last = morning.withColumn("_rank", F.row_number().over(
-        Window.partitionBy(*KEYS).orderBy(F.desc("time"), F.desc("tick_order")))).where(F.col("_rank") == 1)
+    # the few raw rows of a day that either record can come from
+    source = raw.withColumns({"_last_trade": last_trade, "_rank": rank}).withColumns({
+        "_closes": F.coalesce(F.col("time") == close_time, F.lit(False)),
+        "_before_noon": F.coalesce(morning, F.lit(False)) & (F.col("_rank") == 1)})
+    source = source.where(F.col("_closes") | F.col("_before_noon"))
+    marks = {"_closes": F.lit(False), "_before_noon": F.lit(False)}
+    columns = [*data.columns, *marks]
+    both = _beside(data.withColumns(marks), source.select(*columns))
+    of_layer = ~F.col("_extra")
+    both = both.withColumns({"_has_close": _any(of_layer & (F.col("time") == K.SESSION_END)),
+                             "_has_noon": _any(of_layer & (F.col("time") == K.NOON_END))})
+    closes = F.col("_closes") & ~F.col("_has_close")
+    leads = F.col("_before_noon") & F.col("_has_close") & ~F.col("_has_noon")
     second = whole_seconds("time")
     gap = whole_seconds(F.lit(K.NOON_END)) - second
-    steps = last.withColumn("_gap", gap).withColumn("_step", F.explode(F.when(
-        F.col("_gap") > 0, F.sequence(F.lit(1), F.floor(F.col("_gap") / step).cast("int"))).otherwise(F.array(F.lit(0)))))
-    steps = steps.where(F.col("_step") * step <= F.col("_gap"))
-    noon_rows = steps.withColumn("time", time_string(second + F.col("_step") * step))
-    return _union(_union(data, close_rows), noon_rows)
+    # less than a step before noon the row itself is repeated
+    steps = F.when(gap >= step, F.sequence(F.lit(1), F.floor(gap / step).cast("int"))).when(
+        gap >= 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    added = both.where(of_layer | (F.col("_known") & (closes | leads))).withColumn(
+        "_step", F.explode(F.when(of_layer | closes, F.array(F.lit(0))).otherwise(steps)))
+    time = F.when(of_layer, F.col("time")).when(closes, F.lit(K.SESSION_END)) \
+        .otherwise(time_string(second + F.col("_step") * step))
+    return _like(added.withColumn("time", time), data)
 
 
 def volume_from_totals(data: DataFrame) -> DataFrame:
@@ -148,14 +174,13 @@ def patch_book_levels(data: DataFrame, patch: DataFrame) -> DataFrame:
 
 def restore_book_levels(data: DataFrame, raw: DataFrame) -> DataFrame:
     """Undo a patch: where a raw row has a zero level, take all levels from it."""
-    zero = F.exists(F.array(*[F.col(c).cast("double") for c in BOOK_COLUMNS]), lambda v: v == 0)
-    # the levels travel as one struct: as forty renamed columns next to a condition on all of them they
-    # would make Catalyst derive the condition for every combination of names
-    book = F.struct(*BOOK_COLUMNS)
-    latest = F.max_by(F.when(zero, book), F.when(zero, F.col("tick_order")))
-    source = raw.groupBy(*KEYS, "time").agg(latest.alias("_raw_book"))
+    zero = reduce(or_, [F.col(c) == 0 for c in BOOK_COLUMNS])
+    # a value per level keeps the aggregate in a hash table and free of levels that are not asked for
+    marked = raw.withColumn("_order", F.when(zero, F.col("tick_order")))
+    source = marked.groupBy(*KEYS, "time").agg(F.max("_order").alias("_raw_order"), *[
+        F.max_by(c, "_order").alias(f"_raw_{c}") for c in BOOK_COLUMNS])
     joined = data.join(source, [*KEYS, "time"], "left")
-    return joined.withColumns({c: F.when(F.col("_raw_book").isNotNull(), F.col(f"_raw_book.{c}")).otherwise(F.col(c))
+    return joined.withColumns({c: F.when(F.col("_raw_order").isNotNull(), F.col(f"_raw_{c}")).otherwise(F.col(c))
                                for c in BOOK_COLUMNS}).select(*data.columns)
 
 
@@ -163,18 +188,18 @@ def rebuild_closing_record(data: DataFrame, raw: DataFrame, step: int = K.STOCK_
     """Make the last traded raw row the 15:00:00 record, drop later rows, and fill up to it if it was missing."""
     traded = raw.where(F.col("volume") > 0).withColumn("_rank", F.row_number().over(
         Window.partitionBy(*KEYS).orderBy(F.desc("time"), F.desc("tick_order")))).where(F.col("_rank") == 1)
-    closing = traded.withColumn("time", F.lit(K.SESSION_END)).join(data.select(*KEYS).distinct(), KEYS, "left_semi")
-    found = closing.select(*KEYS).withColumn("_found", F.lit(True))
-    known = data.join(found, KEYS, "left")
-    untouched = known.where(F.col("_found").isNull())
-    has_close = F.max((F.col("time") == K.SESSION_END).cast("int")).over(_day())
-    rank = F.row_number().over(Window.partitionBy(*KEYS, F.col("time") < K.SESSION_END).orderBy(
+    closing = traded.withColumn("time", F.lit(K.SESSION_END))
+    both = _beside(data, closing).withColumn("_found", F.col("_known") & _any(F.col("_extra")))
+    has_close = _any(~F.col("_extra") & (F.col("time") == K.SESSION_END))
+    rank = F.row_number().over(Window.partitionBy(*KEYS, "_extra", F.col("time") < K.SESSION_END).orderBy(
         F.desc("time"), "tick_order"))
-    rest = known.where(F.col("_found")).withColumns({"_has_close": has_close, "_rank": rank}) \
-        .where(F.col("time") < K.SESSION_END)
+    rest = ~F.col("_extra") & F.col("_found")
+    # of a found day its rows before the close, and the closing row; other days as they are
+    both = both.withColumns({"_has_close": has_close, "_rank": rank}).where(
+        F.when(F.col("_extra"), F.col("_found")).otherwise(~F.col("_found") | (F.col("time") < K.SESSION_END)))
     gap = whole_seconds(F.lit(K.SESSION_END)) - whole_seconds("time")
-    copies = F.when((F.col("_has_close") == 0) & (F.col("_rank") == 1), F.floor((gap - 1) / step)).otherwise(0)
-    filled = rest.withColumn("_copies", copies.cast("int")).withColumn(
+    copies = F.when(rest & ~F.col("_has_close") & (F.col("_rank") == 1), F.floor((gap - 1) / step)).otherwise(0)
+    filled = both.withColumn("_copies", copies.cast("int")).withColumn(
         "_copy", F.explode(F.sequence(F.lit(0), F.col("_copies"))))
     second = whole_seconds("time")
     copied = F.col("_copy") > 0
@@ -184,7 +209,7 @@ def rebuild_closing_record(data: DataFrame, raw: DataFrame, step: int = K.STOCK_
     for column in ("volume", "amount", "transaction_number"):
         filled = filled.withColumn(
             column, F.when(copied, F.lit(0)).otherwise(F.col(column)).cast(data.schema[column].dataType))
-    return _union(_union(_like(filled, data), _like(untouched, data)), closing)
+    return _like(filled, data)
 
 
 def gaps_of(ticks: DataFrame, low: float, high: float) -> DataFrame:
