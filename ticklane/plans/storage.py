@@ -58,7 +58,7 @@ def _stock_csv(market) -> DataFrame:
     path = _path(market)
     ticks = market.stock_ticks()
     raw = ticks.select(*[(F.col(name) if name in ticks.columns else F.lit(0)).cast("string").alias(name) for name in K.STOCK_TICK_COLUMNS])
-    raw.write.option("header", True).option("encoding", "GBK").csv(path)
+    raw.write.option("header", True).option("encoding", "GBK").option("compression", "gzip").csv(path)
     members = market.table("supplier").select(stock_code(F.col("s_suppkey")).alias("tscode"))
     back = stored(_ticks_back(files.read_stock_csv(market.spark, path, members)))
     conf.set(name, before)
