@@ -1,14 +1,18 @@
 """What the plans of tick queries read, sort and check; their rows are tested beside their SQL."""
 
+import math
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from ticklane.functions.scalar import nearest_integer
 from ticklane.operators import explore as ex
 from ticklane.operators import quality as q
 from ticklane.operators import repair as x
 from ticklane.operators import ticks as t
+from ticklane.plans import load_catalog
 from ticklane.sources.market import Market
 
 LINE = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
@@ -81,3 +85,20 @@ def test_restored_levels_are_those_asked_for(market):
     raw = market.raw_stock_ticks()
     restored = x.restore_book_levels(raw.withColumns({c: F.col(c) + 1 for c in t.BOOK_COLUMNS}), raw).select("bid_price1")
     assert "SortAggregate" not in plan(restored) and plan(restored).count("max_by") < 10
+
+
+def test_patched_levels_are_those_asked_for(market):
+    patched = x.patch_book_levels(t.clean_stock_ticks(market.raw_stock_ticks()), market.stock_ticks()).select("bid_price1")
+    # neither the other levels' columns nor the rows that they lag behind
+    assert "bid_price1" in plan(patched) and not re.search(r"(bid|ask)_(price|volume)([2-9]|10)#", plan(patched))
+
+
+def test_planted_times_keep_the_grid_and_totals_are_whole_without_decimals(spark, market):
+    assert "round(" not in plan(market.stock_ticks().select("price", "amount")).split("FileScan")[1]
+    rng = random.Random(5)
+    values = [0.0, -0.0, 0.5, -0.5, 2.5, -2.5, 0.49999999999999994, -0.49999999999999994, 4503599627370495.5, -4503599627370495.5,
+              4503599627370497.0, 9e18, -1e-300, None]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-3, 17) for _ in range(3000)]
+    values += [math.nextafter(rng.randint(-10**6, 10**6) + 0.5, way) for way in (-1e9, 1e9) for _ in range(500)]
+    numbers = spark.createDataFrame([(v,) for v in values], "v double")
+    assert numbers.where(~F.round("v").cast("bigint").eqNullSafe(nearest_integer("v"))).count() == 0

@@ -161,13 +161,14 @@ def patch_book_levels(data: DataFrame, patch: DataFrame) -> DataFrame:
 
     ``patch`` has tscode, date, time and the level columns.
     """
-    levels = patch.select(*KEYS, "time", F.struct(*BOOK_COLUMNS).alias("_patch"))
+    # a column per level: levels that are not asked for are neither worked out nor shuffled
+    levels = patch.select(*KEYS, "time", *[F.col(c).alias(f"_patch_{c}") for c in BOOK_COLUMNS])
     change = F.try_divide(F.col("price") - F.col("close"), F.col("close"))
     limit = price_limit_rate("tscode", swap_date_format(F.col("date").cast("string")))
     open_book = (F.col("time") >= K.SESSION_START) & (F.col("time") < K.CLOSING_AUCTION_START) \
         & ~F.coalesce(nearly_equal(F.abs(change), limit), F.lit(False))
     joined = data.join(levels, [*KEYS, "time"], "left").withColumn("_open_book", open_book)
-    fixed = {c: F.when(F.col("_open_book") & (F.col(c) == 0), F.coalesce(F.col(f"_patch.{c}"), F.col(c)))
+    fixed = {c: F.when(F.col("_open_book") & (F.col(c) == 0), F.coalesce(F.col(f"_patch_{c}"), F.col(c)))
              .otherwise(F.col(c)) for c in BOOK_COLUMNS}
     return joined.withColumns(fixed).select(*data.columns)
 
