@@ -102,3 +102,16 @@ def test_planted_times_keep_the_grid_and_totals_are_whole_without_decimals(spark
     values += [math.nextafter(rng.randint(-10**6, 10**6) + 0.5, way) for way in (-1e9, 1e9) for _ in range(500)]
     numbers = spark.createDataFrame([(v,) for v in values], "v double")
     assert numbers.where(~F.round("v").cast("bigint").eqNullSafe(nearest_integer("v"))).count() == 0
+
+
+def test_layers_that_are_compared_are_read_once(market):
+    raw = market.raw_stock_ticks()
+    both = t.clean_stock_ticks(raw, original=F.lit(True))
+    assert both.where("_original").drop("_original").exceptAll(raw).count() == 0
+    assert both.where("not _original").drop("_original").exceptAll(t.clean_stock_ticks(raw)).count() == 0
+    assert both.count() == raw.count() + t.clean_stock_ticks(raw).count()
+    found = q.content_differences(both)
+    two = q.content_differences(raw, t.clean_stock_ticks(raw))
+    assert two.count() > 0 and found.exceptAll(two).count() == 0 == two.exceptAll(found).count()
+    query = load_catalog()[0]["v21_content_differences"](market)
+    assert plan(query).count("FileScan") == 1 and query.collect()[0].surplus == 1

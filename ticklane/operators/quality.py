@@ -217,9 +217,17 @@ def reconcile_report(reconciled: DataFrame, keys: list[str]) -> DataFrame:
         *[count(s).alias(f"{s}_count") for s in ("same", "different", "only_in_target", "only_in_compare")])
 
 
-def content_differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Row fingerprints that occur on one side more often than on the other."""
+def content_differences(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """Row fingerprints that occur on one side more often than on the other.
+
+    Without ``right`` one table holds both sides and the left one is marked in ``_original``: rows that agree can then meet
+    before they are shuffled.
+    """
     mark = lambda df: F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
-                                              for c in sorted(df.columns)])).alias("fingerprint")
-    signed = left.select(mark(left), F.lit(1).alias("_n")).unionByName(right.select(mark(right), F.lit(-1).alias("_n")))
+                                              for c in sorted(df.columns) if right is not None or c != "_original"])
+                            ).alias("fingerprint")
+    if right is None:
+        signed = left.select(mark(left), F.when(F.col("_original"), 1).otherwise(-1).alias("_n"))
+    else:
+        signed = left.select(mark(left), F.lit(1).alias("_n")).unionByName(right.select(mark(right), F.lit(-1).alias("_n")))
     return signed.groupBy("fingerprint").agg(F.sum("_n").alias("surplus")).where(F.col("surplus") != 0)
