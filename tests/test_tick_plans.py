@@ -115,3 +115,17 @@ def test_layers_that_are_compared_are_read_once(market):
     assert two.count() > 0 and found.exceptAll(two).count() == 0 == two.exceptAll(found).count()
     query = load_catalog()[0]["v21_content_differences"](market)
     assert plan(query).count("FileScan") == 1 and query.collect()[0].surplus == 1
+
+
+def test_auction_duplicates_come_from_one_reading(spark, market):
+    raw = market.raw_stock_ticks()
+    # a stock with a null key, a null time and a time that comes three times
+    odd = raw.where("time < '09:24:00.000'").withColumn("time", F.when(F.col("tick_order") % 5 == 0, F.lit("09:20:00.000")).when(
+        F.col("tick_order") % 7 > 0, F.col("time"))).withColumn("tscode", F.when(F.col("date") > "1996-04-01", F.col("tscode")))
+    rows = raw.unionByName(odd).unionByName(odd.where("tick_order % 3 = 0"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    one, two = x.restore_auction_duplicates(t.clean_stock_ticks, rows), x.restore_auction_duplicates(t.clean_stock_ticks(rows), rows)
+    assert one.columns == two.columns and two.count() > t.clean_stock_ticks(rows).count()
+    assert one.exceptAll(two).count() == 0 == two.exceptAll(one).count()
+    assert plan(one).count("Sort [") == 1
+    assert plan(load_catalog()[0]["x01_restore_auction_duplicates"](market)).count("FileScan") == 1

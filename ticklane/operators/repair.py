@@ -34,12 +34,17 @@ def _union(data: DataFrame, rows: DataFrame) -> DataFrame:
     return data.unionByName(_like(rows, data))
 
 
-def restore_auction_duplicates(data: DataFrame, raw: DataFrame) -> DataFrame:
-    """Add the raw auction rows whose time occurs more than once."""
-    same = Window.partitionBy(*KEYS, "time")
-    auction = raw.where((F.col("time") >= K.AUCTION_START) & (F.col("time") < K.AUCTION_SECOND_STAGE_END))
-    repeated = auction.withColumn("_n", F.count(F.lit(1)).over(same)).where(F.col("_n") > 1)
-    return _union(data, repeated)
+def restore_auction_duplicates(data: DataFrame | Callable[..., DataFrame], raw: DataFrame) -> DataFrame:
+    """Add the raw auction rows whose time occurs more than once.
+
+    ``data`` is the layer or the function that organizes it (``clean_stock_ticks``): then the raw rows are read and sorted
+    once for both.
+    """
+    auction = (F.col("time") >= K.AUCTION_START) & (F.col("time") < K.AUCTION_SECOND_STAGE_END)
+    rows = F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "time"))
+    if not isinstance(data, DataFrame):
+        return data(raw, original=auction & (rows > 1)).drop("_original")
+    return _union(data, raw.where(auction).withColumn("_n", rows).where(F.col("_n") > 1))
 
 
 def _beside(data: DataFrame, rows: DataFrame) -> DataFrame:
