@@ -129,3 +129,8 @@ def test_auction_duplicates_come_from_one_reading(spark, market):
     assert one.exceptAll(two).count() == 0 == two.exceptAll(one).count()
     assert plan(one).count("Sort [") == 1
     assert plan(load_catalog()[0]["x01_restore_auction_duplicates"](market)).count("FileScan") == 1
+
+
+def test_failed_keys_are_looked_up_without_a_sort(market):
+    checked = plan(load_catalog()[0]["v22_recheck_failed_keys"](market))
+    assert "ShuffledHashJoin" in checked and "SortMergeJoin" not in checked
