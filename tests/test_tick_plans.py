@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,30 @@ def test_auction_duplicates_come_from_one_reading(spark, market):
 def test_failed_keys_are_looked_up_without_a_sort(market):
     checked = plan(load_catalog()[0]["v22_recheck_failed_keys"](market))
     assert "ShuffledHashJoin" in checked and "SortMergeJoin" not in checked
+
+
+def test_enriching_fills_every_three_seconds(market):
+    seconds = lambda time: int(time[:2]) * 3600 + int(time[3:5]) * 60 + int(time[6:8])
+    aligned = t.move_closing_trade(t.snap_to_grid(t.fill_opening_prices(t.clean_stock_ticks(market.raw_stock_ticks()))))
+    days = {}
+    for row in aligned.select("tscode", F.col("date").cast("string").alias("date"), "time", "tick_order", "volume").collect():
+        days.setdefault((row.tscode, row.date), []).append((row.time, row.tick_order, row.volume))
+    expected = set()
+    for key, rows in days.items():
+        rows.sort()
+        copies = []
+        for (time, _, _), (later, _, _) in zip(rows, rows[1:], strict=False):
+            gap = seconds(later) - seconds(time)
+            reached = seconds(time) + (5400 if time == "11:30:00.000" else 0)
+            if time >= "09:30:00.000":
+                copies += [reached + s for s in range(3, gap - 5400 if gap >= 5400 else gap, 3)]
+        assert len(copies) > 4000
+        expected.add((*key, len(rows) + len(copies), len(copies), sum(v for _, _, v in rows),
+                      sum(copies) + sum(seconds(time) for time, _, _ in rows)))
+    name = "t02_enrich_stock_ticks"
+    queries, sql = load_catalog()
+    assert {tuple(row) for row in queries[name](market).collect()} == expected
+    lines = f"'{market.folder}/lineitem.parquet/*.parquet'"
+    connection = duckdb.connect()
+    connection.sql(f"create view lineitem as select * from {lines}")
+    assert set(connection.sql(sql[name]).fetchall()) == expected
