@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ticklane.functions.scalar import nearest_integer
+from ticklane.functions.scalar import nearest_integer, time_string
 from ticklane.operators import explore as ex
 from ticklane.operators import quality as q
 from ticklane.operators import repair as x
@@ -162,3 +162,20 @@ def test_enriching_fills_every_three_seconds(market):
     connection = duckdb.connect()
     connection.sql(f"create view lineitem as select * from {lines}")
     assert set(connection.sql(sql[name]).fetchall()) == expected
+
+
+def test_times_are_looked_up(spark):
+    seconds = [*range(-90_000, 180_000, 7), *range(80_000, 87_000), -1, 2**31 - 1, -2**31, None]
+    rows = spark.createDataFrame([(s,) for s in seconds], "s int").select("s", time_string("s").alias("time"))
+    for row in rows.collect():
+        clock = None if row.s is None else row.s % 86_400
+        assert row.time == (None if clock is None else f"{clock // 3600:02d}:{clock // 60 % 60:02d}:{clock % 60:02d}.000")
+    assert "interval" not in plan(rows) and "split(" not in plan(rows)
+
+
+def test_copies_share_what_their_row_knows(market):
+    # the time is parsed and the next one looked up before the copies are made
+    filled = plan(t.fill_tick_gaps(market.raw_stock_ticks()).select("tscode", "time", "volume"))
+    above, below = filled.split("Generate explode(sequence", 1)
+    assert "substr" not in above and "substr" in below
+    assert below.count("lead(") == 1
